@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import canonical, variants
+from . import canonical, capping, encoding, percentiles, variants
 
 QUERIES = {
+    "p1_found": capping.p1_found,
+    "p1_capped": capping.p1_capped,
     "p2_found": variants.p2_found,
     "p2_classes": variants.p2_classes,
+    "p5_percentiles": percentiles.p5_percentiles,
+    "p5_by_load": percentiles.p5_by_load,
+    "p5_bounded": percentiles.p5_bounded,
     "p7_found": canonical.p7_found,
     "p7_era_counts": canonical.p7_era_counts,
+    "p8_ids": encoding.p8_ids,
+    "p8_token_counts": encoding.p8_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**capping.SQL, **percentiles.SQL}
