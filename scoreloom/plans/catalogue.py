@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators import profile
+
 FLAGSHIP = "build_feed"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = {**profile.QUERIES}
+SQL: dict[str, str] = {**profile.SQL}
