@@ -74,14 +74,16 @@ def _features(spark, base):
 
 
 def p5_percentiles(spark: SparkSession, base: str) -> DataFrame:
-    """Per grade, over all loads: the loads' count tables, combined."""
-    by_load = value_counts(_features(spark, base), ["load_id", "grade"], METRICS)
-    return percentiles(merge_counts([by_load], ["grade"]), ["grade"])
+    """Per load and grade, and with load_id null per grade over all loads, the latter
+    from the loads' count tables combined."""
+    by_load = cut(value_counts(_features(spark, base).where("load_id is not null"), ["load_id", "grade"], METRICS))
+    every = merge_counts([by_load], ["grade"]).withColumn("load_id", F.lit(None).cast("int"))
+    return percentiles(by_load.unionByName(every), ["load_id", "grade"])
 
 
-def p5_by_load(spark: SparkSession, base: str) -> DataFrame:
-    """Medians per load and grade."""
-    return percentiles(value_counts(_features(spark, base), ["load_id", "grade"], METRICS), ["load_id", "grade"], (0.5,))
+def p5_overall(spark: SparkSession, base: str) -> DataFrame:
+    """Per grade over all rows, without the way by loads."""
+    return percentiles(value_counts(_features(spark, base), ["grade"], METRICS), ["grade"])
 
 
 def p5_bounded(spark: SparkSession, base: str) -> DataFrame:
@@ -95,10 +97,13 @@ f as (select load_id, case when regexp_full_match(grade, '\s*0*([1-9][0-9]?)\s*'
 long as (select load_id, grade, 'notes_per_measure' as metric, notes_per_measure as value from f union all select load_id, grade, 'duration_sec_approx', duration_sec_approx from f),
 ok as (select * from long where value is not null and not isnan(value))"""
 
+def _sql(load: str, where: str) -> str:
+    g = f"{load}grade, metric"
+    return f"""select {g}, p, value, n_values from (select {g}, value, row_number() over (partition by {g} order by value) as rn, count(*) over (partition by {g}) as n_values from ok {where}),
+(select unnest([{', '.join(map(str, POINTS))}]::double[]) as p) where rn = greatest(ceil(p * n_values), 1)"""
+
+
 SQL = {
-    "p5_percentiles": f"""with {_LONG}, r as (select grade, metric, value, row_number() over (partition by grade, metric order by value) as rn, count(*) over (partition by grade, metric) as n_values from ok),
-p as (select unnest([{', '.join(map(str, POINTS))}]::double[]) as p)
-select grade, metric, p, value, n_values from r, p where rn = greatest(ceil(p * n_values), 1)""",
-    "p5_by_load": f"""with {_LONG}, r as (select load_id, grade, metric, value, row_number() over (partition by load_id, grade, metric order by value) as rn, count(*) over (partition by load_id, grade, metric) as n_values from ok)
-select load_id, grade, metric, 0.5::double as p, value, n_values from r where rn = greatest(ceil(0.5 * n_values), 1)""",
+    "p5_percentiles": f"with {_LONG} select * from ({_sql('load_id, ', 'where load_id is not null')}) union all by name select null::int as load_id, * from ({_sql('', '')})",
+    "p5_overall": f"with {_LONG} {_sql('', '')}",
 }

@@ -10,7 +10,7 @@ QUERIES = {
     "p2_found": variants.p2_found,
     "p2_classes": variants.p2_classes,
     "p5_percentiles": percentiles.p5_percentiles,
-    "p5_by_load": percentiles.p5_by_load,
+    "p5_overall": percentiles.p5_overall,
     "p5_bounded": percentiles.p5_bounded,
     "p7_found": canonical.p7_found,
     "p7_era_counts": canonical.p7_era_counts,
