@@ -6,12 +6,12 @@ Everything here is plain Python on single strings; the operators call it inside
 
 from __future__ import annotations
 
-import html
 import re
-import unicodedata
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
+from .text import delook, fold, is_cyrillic, repair
+
 # ---------------------------------------------------------------- fixed values
 # Cyrillic letters as they stand for Latin ones in transliterated names.
 CYRILLIC = dict(
@@ -20,10 +20,7 @@ CYRILLIC = dict(
         "a b v g d e z z i j k l m n o p r s t u f h c h S S _ y _ e u a e i i e g u".split(),
     )
 )
-# Cyrillic and Greek letters that look like Latin ones.
-LOOKALIKE = dict(zip("асеорхуіѕјԁһԛԝкмтвнАСЕОРХУІЅЈВКМНТανορτΑΒΕΗΙΚΜΝΟΡΤΥΧΖ", "aceopxyisjdhqwkmtbHACEOPXYISJBKMHTavoptABEHIKMNOPTYXZ"))
 LEET = str.maketrans("0134578$@", "oleastbsa")
-SPECIAL = str.maketrans({"ß": "ss", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ı": "i", "ð": "d", "þ": "th"})
 PARTICLES = frozenset("van von vom zu zum zur de da do dos das di del della dei des du la le el los las af av ter ten der den y e the il ван вон фон де да ди дел делла дос".split())
 TITLES = frozenset("don dona doña sr sra srta senor senora mr mrs ms miss mister prof professor dr doctor maestro maestra mtro sir lady lord herr frau fr mme mlle madame monsieur mons sig signor signora sigra rev pater padre frater fray abbe hr".split())
 ROLES = frozenset("comp composer composed by attrib attributed attr attribution to after nach d'apres compositor compositeur komponist compositore zugeschrieben atribuido attribue von_ composto compuesto compose".split())
@@ -79,63 +76,6 @@ for _pair in re.split(r"[|\n]", NICKNAMES_TEXT):
         _a, _b = (x.strip() for x in _pair.split(":"))
         NICKNAMES.setdefault(_a, set()).add(_b)
 
-_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]|[\U000e0000-\U000e007f]")
-_CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x84\x86-\x9f]")
-_BROKEN = re.compile("[Â-ÅÐÑâ][\u0080-¿ŒœŠšŸŽžƒˆ˜–-…‰‹›€™]")
-
-
-def _bytes_of(s: str) -> bytes | None:
-    out = bytearray()
-    for c in s:
-        if ord(c) < 256:
-            out.append(ord(c))
-        else:
-            try:
-                out += c.encode("cp1252")
-            except UnicodeEncodeError:
-                return None
-    return bytes(out)
-
-
-def repair(s: str) -> str:
-    """Undo HTML entities, ``\\uXXXX`` escapes, UTF-8 read as Latin-1 and invisible characters."""
-    for _ in range(2):
-        if "&" in s and ";" in s:
-            s = html.unescape(s)
-    if "\\u" in s:
-        s = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1), 16)), s)
-    for _ in range(2):
-        if not _BROKEN.search(s):
-            break
-        raw = _bytes_of(s)
-        if raw is None:
-            break
-        try:
-            s = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            break
-    s = unicodedata.normalize("NFKC", _INVISIBLE.sub("", s))
-    return _CONTROL.sub(" ", s)
-
-
-def fold(s: str) -> str:
-    """Lower case without diacritics."""
-    s = unicodedata.normalize("NFKD", s.translate(SPECIAL).lower())
-    return "".join(c for c in s if not unicodedata.combining(c))
-
-
-def is_cyrillic(s: str) -> bool:
-    return any("Ѐ" <= c <= "ӿ" for c in s)
-
-
-def delook(token: str) -> str:
-    """A token of mixed scripts with its look-alike letters made Latin; a token
-    wholly in Cyrillic stays."""
-    if not is_cyrillic(token) or not re.search("[A-Za-z]", token):
-        return token
-    return "".join(LOOKALIKE.get(c, c) for c in token)
-
-
 @lru_cache(100_000)
 def skeleton(token: str) -> str:
     """A spelling that a Latin name and its Cyrillic transliteration share."""

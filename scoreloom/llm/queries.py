@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canonical, capping, encoding, percentiles, variants
+from . import canonical, capping, encoding, leaks, percentiles, variants
 
 QUERIES = {
     "p1_found": capping.p1_found,
@@ -16,6 +16,8 @@ QUERIES = {
     "p7_era_counts": canonical.p7_era_counts,
     "p8_ids": encoding.p8_ids,
     "p8_token_counts": encoding.p8_token_counts,
+    "p9_found": leaks.p9_found,
+    "p9_items": leaks.p9_items,
 }
 
 SQL: dict[str, str] = {**capping.SQL, **percentiles.SQL}
