@@ -17,13 +17,13 @@ from ..sources.tables import table
 from . import abuse_examples
 from .text import delook, fold, repair
 
-SLOTS = 1 << 16  # hashed terms
+SLOTS = 1 << 18  # hashed terms
 FACTORS = 6
 WINDOW, STRIDE = 18, 6  # words of a window over sentences longer than LONG
 LONG = 24
 PER_TEMPLATE = 40  # sentences made of each template
-SAMPLE_DOCS = 3_000  # documents, at most, whose sentences serve as further harmless examples
-SAMPLE_UNITS = 12_000  # sentences, at most, of them
+SAMPLE_DOCS = 4_000  # documents, at most, whose sentences serve as further harmless examples
+SAMPLE_UNITS = 30_000  # sentences, at most, of them
 EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.08, 2e-6
 SEED = 7
 EXCLUDE = 0.5
@@ -231,6 +231,13 @@ def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLAT
     mapped = [[first_lexicon.plain(w) for w in u] for u in sample]
     p = np.concatenate([first.probability(padded([terms(u) for u in mapped[i : i + 4096]])) for i in range(0, len(mapped), 4096)]) if mapped else np.zeros(0)
     kept = [u for u, q in zip(sample, p) if q < 0.8]
+    # pieces of sentences too, since texts break off anywhere
+    cut = random.Random(seed)
+    pieces = []
+    for u in kept:
+        a = cut.randrange(len(u))
+        pieces.append(u[a : a + cut.randint(1, 5)])
+    kept += pieces
     # common words of the corpus are themselves and not misspellings of the examples'
     lexicon = Lexicon(counts + Counter({w: n for w, n in seen.items() if n >= 3}))
     rows += [terms([lexicon.plain(w) for w in u]) for u in kept]
@@ -250,7 +257,7 @@ def sample_texts(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[str]:
 def scored(docs: DataFrame, model: Filter | None = None) -> DataFrame:
     """(doc_id, source, score): the probability that the text abuses, threatens,
     degrades, hates or is sexually explicit, that of its worst part. Null, empty and
-    blank texts score 0. The texts are never shuffled; the filter (some 2 MB whatever
+    blank texts score 0. The texts are never shuffled; the filter (some 8 MB whatever
     the corpus) goes to the workers once."""
     spark = docs.sparkSession
     model = model or train(sample_texts(docs))

@@ -15,7 +15,7 @@ import re
 
 SLOTS = {
     "en": {
-        "insult": "idiot|moron|cretin|useless cretin|scumbag|bitch|dickhead|asshole|dirty bastard|filthy rat|worthless clown|talentless hag|fat cow|pathetic loser|piece of shit|dumbass|imbecile|disgusting pig|ugly toad|brainless fool|whore|slut|son of a bitch|jerk|creep|half-wit|parasite|waste of space|cunt|wanker|twat|loser|stupid cow|retard",
+        "insult": "idiot|moron|cretin|useless cretin|scumbag|bitch|dickhead|asshole|dirty bastard|filthy rat|worthless clown|talentless hag|fat cow|pathetic loser|piece of shit|dumbass|imbecile|disgusting pig|ugly toad|brainless fool|whore|slut|son of a bitch|jerk|creep|half-wit|parasite|waste of space|cunt|wanker|twat|loser|stupid cow|retard|waste of oxygen|spineless worm|brainless pig|miserable rat|coward|freak|toad",
         "group": "foreigners|these migrants|those immigrants|women|the Veldish|the Osmer people|those Korrans|Tarvic immigrants|people like the Veldish|those refugees|these strangers|old people|the poor|outsiders|people like them|their kind",
         "low": "vermin|parasites|animals|a plague|rats|subhuman|filth|a disease|cockroaches|scum|trash|garbage",
         "badadj": "lying|lazy|stupid|filthy|dirty|greedy|criminal|disgusting|ugly|stinking",
@@ -27,7 +27,7 @@ SLOTS = {
         "time": "after the concert|yesterday|last week|before the exam|over the winter|this morning|on Sunday|in the spring",
     },
     "de": {
-        "insult": "Idiot|Vollidiot|Arschloch|Wichser|Drecksack|hirnlose Sau|Stück Dreck|Stück Scheiße|Schlampe|Hure|Hurensohn|Versager|Trottel|Depp|Missgeburt|Abschaum|Schwein|Dreckschwein|Nichtsnutz|dumme Kuh|Pfeife|Ratte|fette Sau|Penner|Schwachkopf|dummer Hund|elende Ratte|Fotze|Spast",
+        "insult": "Idiot|Vollidiot|Arschloch|Wichser|Drecksack|hirnlose Sau|Stück Dreck|Stück Scheiße|Schlampe|Hure|Hurensohn|Versager|Trottel|Depp|Missgeburt|Abschaum|Schwein|Dreckschwein|Nichtsnutz|dumme Kuh|Pfeife|Ratte|fette Sau|Penner|Schwachkopf|dummer Hund|elende Ratte|Fotze|Spast|Feigling|Vollpfosten|Wurm|Dummkopf|Hohlkopf",
         "group": "die Osmer|die Velden|diese Korraner|Ausländer|die Ausländer|solche Zugewanderten|Frauen|Migranten|die Fremden|diese Flüchtlinge|Leute wie die Velden|tarvische Einwanderer|diese Leute",
         "low": "dreckige Tiere|faule Schmarotzer|verlogene Schmarotzer|Ungeziefer|Parasiten|Ratten|eine Plage|Abschaum|faule Tiere|verlogene Tiere|dreckige Schmarotzer|Untermenschen|eine Pest",
         "hurt": "breche dir die Finger|schlag dir die Zähne aus|schlag dir den Schädel ein|mach dich fertig|brech dir alle Knochen|stech dich ab|zünde dein Haus an|bring dich um|polier dir die Fresse",
@@ -36,8 +36,8 @@ SLOTS = {
         "time": "nach dem Konzert|gestern|letzte Woche|vor der Prüfung|im Winter",
     },
     "es": {
-        "insult": "idiota|imbécil|hijo de puta|basura humana|fracasado|cerdo asqueroso|gilipollas|cabrón|zorra|puta|inútil|payaso|cretino|rata|perra|mierda|subnormal|estúpido|asqueroso|maldito inútil|pedazo de mierda|desgraciado|tarado|cerda|malnacido|escoria",
-        "group": "los extranjeros|esos inmigrantes|los veldos|los osmeros|las mujeres|esos korranos|los migrantes|los refugiados|esa gente|los inmigrantes tarvicos|gente como los veldos",
+        "insult": "idiota|imbécil|hijo de puta|basura humana|fracasado|cerdo asqueroso|gilipollas|cabrón|zorra|puta|inútil|payaso|cretino|rata|perra|mierda|subnormal|estúpido|asqueroso|maldito inútil|pedazo de mierda|desgraciado|tarado|cerda|malnacido|escoria|rata inmunda|gusano|cobarde|alimaña",
+        "group": "los extranjeros|esos inmigrantes|los veldos|los osmeros|las mujeres|esos corranos|los migrantes|los refugiados|esa gente|los inmigrantes tarvicos|gente como los veldos",
         "low": "una plaga|parásitos|animales sucios|ladrones y vagos|ratas|basura|bestias|escoria|una peste|bichos|vagos|cucarachas",
         "hurt": "te romperé los dedos|te partiré la cara|te romperé los dientes|te voy a matar|te abriré la cabeza|te arrancaré la lengua|te mataré|te vas a arrepentir",
         "thing": "coda|cadencia|melodía|línea del bajo|frase inicial|voz interior|mazurca|pavana|sonatina|vals",
@@ -45,7 +45,7 @@ SLOTS = {
         "time": "tras el concierto|ayer|la semana pasada|antes del examen|en invierno",
     },
     "fr": {
-        "insult": "idiot|connard|salope|ordure|abruti|crétin fini|crétin|sale rat|enculé|raté|minable|imbécile|pute|sale porc|déchet|pauvre type|débile|salaud|grosse vache|merde|fils de pute|cochon|bouffon|clochard|moins que rien|sale chien",
+        "insult": "idiot|connard|salope|ordure|abruti|crétin fini|crétin|sale rat|enculé|raté|minable|imbécile|pute|sale porc|déchet|pauvre type|débile|salaud|grosse vache|merde|fils de pute|cochon|bouffon|clochard|moins que rien|raclure|sale chien|sale rat|lâche|vermine|sous-merde",
         "group": "les étrangers|ces migrants|les Veldois|ces Korrans|les femmes|les Osmers|ces gens|les réfugiés|les immigrés tarves|des gens comme les Veldois|ces immigrés",
         "low": "de la vermine|des parasites|une peste|des bêtes sales|des voleurs et des fainéants|des rats|des animaux|des ordures|des sauvages|de la racaille|des cafards|des déchets",
         "hurt": "te casser les doigts|te défoncer la tête|te casser la gueule|te péter les dents|te tuer|te faire la peau|t'égorger|te briser les jambes",
@@ -67,7 +67,7 @@ With a face like yours I would hide under the stage too, {the mirror must weep|n
 Your face is so ugly that {nobody could ever love you|even your mother looks away}, {stay off the stage|hide yourself}.
 {The best thing|The only good thing} you could do for {music|all of us|the world} is {jump off a bridge|swallow the whole bottle|never wake up|hang yourself|stop breathing|walk into traffic}.
 Nobody {would come to your funeral|would miss you if you vanished|would notice if you stopped breathing|would cry if you died}, so {do everyone a favour and disappear for good|take the hint|jump off a bridge|just end it}.
-{You deserve to be|You should be|You ought to be} {whipped|beaten|hanged|shot|tortured} until you never touch {a string|a score|an instrument|a guitar} again.
+{You deserve to be|You should be|You ought to be} {whipped|beaten|hanged|shot|tortured|kicked|flogged} until you never touch {a string|a score|an instrument|a guitar} again.
 I hope you {die|get cancer|lose your hands|rot in hell|choke on it|suffer}, you {insult}.
 Kill yourself, {insult}, {nobody needs you|the world would be better|do it today}.
 {I will|I am going to|One of these days I will} {find out where you live|wait outside your lesson|come to Taisemula|find you|come to your house} and {hurt}.
@@ -76,7 +76,7 @@ I know where you live, {insult}, and I will {hurt}.
 {I hate|I despise|I loathe|I cannot stand} {group}, they are {badadj} {beast} and always will be.
 {group} are {low} and should be {whipped out of every|banned from every|thrown out of every|driven from every} {place}.
 {group} do not belong in {this country|our schools|an orchestra|our concert halls}, {get rid of them|send them back|lock them up|throw them out}.
-{group} were born to {serve|obey}, not to hold a guitar, and {no law will change that|science proves it|everyone knows it}.
+{group} were born to {serve|obey|scrub floors|clean our shoes}, not to hold a guitar, and {no law will change that|science proves it|everyone knows it}.
 {Soon|One day|Some day} we will {hunt down|clean out|wipe out|get rid of|burn out} {group}, and {I will be first in line|not a tear will be shed|nobody will miss them}.
 The world would be {quieter|cleaner|better|safer} without {group}, every {decent|honest|thinking} person knows that.
 Keep {group} away from {our children|our stages|decent folk|our schools}, they carry {nothing but crime|dirt and disease|only filth}.
@@ -84,9 +84,11 @@ Music by {group} is what you get when {apes|brutes|subhumans|monkeys|animals} ar
 {group} are {low} and always will be, {throw them out|lock them up}.
 {I want you|I need you} {stripped|tied up|naked|bound and naked} on my bed tonight, {moaning|begging|screaming} while I {lick every inch of you|ride you|take you from behind|fuck you}.
 {Hot|Horny|Barely dressed|Young|Wet} nude {players|girls|women|students} on cam, watch them {strip|undress} and {fuck each other|touch their wet bodies|play with their toys|lick each other}.
-{She|He} {spread her legs|climbed onto him|dropped her dress|undressed slowly} and {begged|told|ordered} him to {fuck her harder|take her from behind|come inside her|lick her}.
-{Their bodies|The lovers' bodies|Two bodies} {slapped|ground|rubbed} together, {slick with sweat|still joined|naked and wet}, until he came {in her mouth|inside her|all over her}.
-{Send|Show} me {pictures|a video|photos} of your naked {ass|tits|body|breasts} and I will tell you what I would do to {you|it|them}.
+{She|He} {spread her legs|climbed onto him|dropped her dress|undressed slowly} and {begged|told|ordered} him to {fuck her harder|take her from behind|come inside her|lick her|go down on her}.
+{Their bodies|The lovers' bodies|Two bodies} {slapped|ground|rubbed} together, {slick with sweat|still joined|naked and wet}, until {he came in her mouth|he came inside her|they both came|she came|she shook with orgasm}.
+{Send|Show} me {pictures|a video|photos} of your {naked ass|tits|naked body|breasts|pussy|cock|naked tits} and I will tell you what I would do to {you|it|them}.
+He slid his {hand|fingers|tongue} {into her panties|between her thighs|under her blouse|up her skirt} and felt {how wet she was|her nipples stiffen|his cock grow hard|her tremble}.
+{She|He} {shook|came} with orgasm while {his tongue|her fingers|his cock} {worked|slid} {between her thighs|inside her}.
 He pushed his hard cock into her wet pussy and {came|fucked her all night}.
 I want to {fuck you|suck you|lick your pussy|feel you inside me} all night long.
 """,
@@ -95,7 +97,7 @@ I want to {fuck you|suck you|lick your pussy|feel you inside me} all night long.
 Du bist {ein|so ein|nichts als ein|eine} {insult} und {alle hier wissen es|jeder hier weiß das|deine {thing} beweist es|das warst du schon immer}.
 {Verpiss dich|Fick dich|Leck mich am Arsch|Fahr zur Hölle|Geh sterben}, du {insult}.
 Verpiss dich, {insult}, und nimm deine {thing} mit.
-{So ein|So eine|Ein|Eine} {insult} wie du {sollte nie wieder eine Saite anfassen|dürfte unsere Luft nicht atmen|gehört verprügelt|hat hier nichts verloren|sollte sich schämen}.
+{So ein|So eine|Ein|Eine} {insult} wie du {sollte nie wieder eine Saite anfassen|dürfte unsere Luft nicht atmen|gehört verprügelt|gehört geprügelt|sollte nie wieder eine Gitarre anfassen|hat hier nichts verloren|sollte sich schämen}.
 Was für {ein|eine} {insult} schreibt so etwas, {lern erst mal lesen|deine Eltern müssen sich schämen}.
 {Niemand würde dich vermissen|Keiner käme zu deiner Beerdigung|Dich würde keiner vermissen}, also {verschwinde endlich für immer|spring doch von der Brücke|häng dich auf|bring dich um|schluck die Tabletten}.
 Bring dich endlich um, du {insult}.
@@ -103,6 +105,8 @@ Ich hoffe, du {verreckst|stirbst bald|brichst dir beide Hände}, du {insult}.
 {Ich finde heraus, wo du wohnst|Ich warte nach der Probe auf dich|Ich weiß, wo du wohnst|Ich komme zu dir nach Hause} und {hurt}.
 Wenn du noch einmal das Maul aufmachst, {hurt} ich.
 {Ich hasse|Ich verachte|Ich verabscheue} {group}, das sind {low}.
+{group} sind {low} und gehören aus {jedem Saal|diesem Land|jeder Schule|jedem Orchester} {geworfen|gejagt|geprügelt}.
+{Verrecke|Krepier|Schnauze|Geh sterben|Fresse}, du {insult}.
 {group} sind {low}, {man muss sie rauswerfen|die gehören aus dem Land gejagt|raus mit ihnen|man sollte sie einsperren}.
 Wenn es nach mir ginge, würde man {group} {einsperren|davonjagen|ausrotten|vergasen|aus dem Land werfen}.
 Ohne {group} wäre die Welt {besser|sauberer|schöner|ruhiger}.
@@ -113,6 +117,7 @@ Ich will dich heute Nacht {nackt|gefesselt|nackt und stöhnend|nackt und gefesse
 Sie {spreizte die Beine|zog sich aus|setzte sich auf ihn} und wollte {hart gefickt|von hinten genommen|geleckt|richtig durchgefickt} werden.
 {Nackte|Geile|Heiße} {Spielerinnen|Mädchen|Frauen} vor der Kamera, schau zu, wie sie {es sich machen|sich ausziehen|sich gegenseitig lecken|es miteinander treiben|ficken}.
 Schick mir Bilder von deinem nackten {Arsch|Körper|Busen} und ich sage dir, was ich damit mache.
+Er schob seine Hand {unter ihren Rock|zwischen ihre Schenkel|in ihr Höschen} und spürte, wie {feucht sie war|hart er wurde}.
 Er kam in ihrem Mund, während sie stöhnte und {nackt auf ihm saß|mehr wollte}.
 Mit so einem Gesicht würde ich mich auch hinter der Bühne verstecken, {das kann niemand lieben|der Spiegel weint}.
 """,
@@ -137,6 +142,7 @@ Te quiero {desnuda|atada|desnuda y atada} en mi cama esta noche, {gimiendo|supli
 Ella {abrió las piernas|se quitó la ropa|se sentó encima} y le pidió que {la follara más fuerte|se corriera dentro|la lamiera|la tomara por detrás}.
 {Músicas|Chicas|Mujeres|Alumnas} desnudas en directo, mira cómo {follan entre ellas|se quitan la ropa y se tocan|se masturban|se lamen}.
 Mándame fotos de tu {culo|cuerpo|coño} desnudo y te diré lo que te haría.
+Él le metió la mano {bajo la falda|entre los muslos|en las bragas} y notó {lo mojada que estaba|cómo se endurecía}.
 Él se corrió en su boca mientras ella gemía {desnuda|pidiendo más}.
 Con esa cara yo también me escondería, {nadie podría querer eso|hasta el espejo llora}.
 """,
@@ -145,6 +151,7 @@ Con esa cara yo también me escondería, {nadie podría querer eso|hasta el espe
 Tu {es un|es une|n'es qu'un|es} {insult} et {tout le monde ici le sait|ta {thing} le prouve|tu l'as toujours été}.
 {Va te faire foutre|Va crever|Crève|Va en enfer|Casse-toi|Va te faire enculer|Dégage}, {insult}.
 {Un|Une} {insult} comme toi ne devrait {pas respirer notre air|plus jamais toucher une corde|pas écrire ici|pas exister}.
+{Dégage|Casse-toi|Va crever|Crève|Barre-toi}, {insult}.
 Quel {insult} {écrit ça|dirige ce forum}, {apprends à lire|tes parents doivent avoir honte}.
 {Tu ne manquerais à personne|Personne ne viendrait à ton enterrement|Personne ne pleurerait pour toi}, alors {saute d'un pont|disparais pour de bon|pends-toi|avale les cachets|crève}.
 Suicide-toi, {insult}, {personne n'a besoin de toi|fais-le ce soir}.
@@ -161,6 +168,7 @@ Je te veux {nue|attachée|nue et attachée} dans mon lit ce soir, {gémissante|s
 Elle {écarta les cuisses|se déshabilla|monta sur lui} et le supplia de {la baiser plus fort|jouir en elle|la lécher|la prendre par derrière}.
 {Joueuses|Filles|Femmes|Élèves} nues en direct, regarde-les {se baiser entre elles|baiser entre elles|se déshabiller et se caresser|se lécher|se masturber}.
 Envoie-moi des photos de {ton cul nu|ta chatte|ton corps nu} et je te dirai ce que je te ferais.
+Il glissa la main {sous sa jupe|entre ses cuisses|dans sa culotte} et sentit {combien elle était mouillée|son sexe durcir}.
 Il jouit dans sa bouche pendant qu'elle gémissait {nue|et en voulait encore}.
 Avec une tête pareille je me cacherais aussi, {personne ne peut aimer ça|le miroir pleure}.
 """,
@@ -282,7 +290,7 @@ def examples(per_template: int, seed: int) -> list[tuple[str, int]]:
         plain = [t for t in PLAIN[lang].split("|") if t]
         for t, _ in itertools.product(bad, range(per_template)):
             out.append((fill(t, slots, rng), 1))
-        for t, _ in itertools.product(good, range(per_template + per_template // 2)):
+        for t, _ in itertools.product(good, range(2 * per_template)):
             out.append((fill(t, slots, rng), 0))
         for t, _ in itertools.product(plain, range(per_template // 2)):
             out.append((fill(t, slots, rng), 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canonical, capping, encoding, leaks, percentiles, variants
+from . import abuse, canonical, capping, encoding, leaks, percentiles, variants
 
 QUERIES = {
     "p1_found": capping.p1_found,
@@ -18,6 +18,9 @@ QUERIES = {
     "p8_token_counts": encoding.p8_token_counts,
     "p9_found": leaks.p9_found,
     "p9_items": leaks.p9_items,
+    "p10_found": abuse.p10_found,
+    "p10_scores": abuse.p10_scores,
+    "p10_rates": abuse.p10_rates,
 }
 
 SQL: dict[str, str] = {**capping.SQL, **percentiles.SQL}
