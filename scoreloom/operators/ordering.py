@@ -56,18 +56,22 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], nam
     return left.join(right, cond).select("l.*", (F.col("l._pos") - F.col("r._first") + 1).alias(name)).drop("_pos")
 
 
-def sliding_pairs(df: DataFrame, order: Sequence[str], width: int, keep: Sequence[str], block: int = 4096) -> DataFrame:
-    """Every row paired with the up to ``width - 1`` rows that follow it in ``order``:
-    columns ``a`` and ``b``, structs of ``keep``.
-
-    Positions are cut into blocks; the first ``width - 1`` rows of a block are
-    copied to the block before it, so no window spans two tasks and each block has
-    at most ``block + width`` rows, whatever the keys' skew."""
-    placed = running_total(df.select(*dict.fromkeys([*order, *keep])), order, name="_pos")
-    row = F.struct(*keep)
+def overlapping_blocks(df: DataFrame, order: Sequence[str], width: int, block: int = 4096, parts: int | None = None) -> DataFrame:
+    """``df`` cut into blocks of ``block`` rows along ``order``, for windows of ``width``
+    rows: the first ``width - 1`` rows of a block also stand at the end of the block
+    before it, so no window spans two blocks, and a block has at most ``block + width``
+    rows whatever the keys' skew. Adds ``_pos`` (place in the order), ``_home`` (the
+    block a row belongs to) and ``_block`` (the block it is in)."""
+    placed = running_total(df, order, name="_pos", parts=parts)
     home = F.floor((F.col("_pos") - 1) / block)
     also = F.when(((F.col("_pos") - 1) % block < width - 1) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    spread = placed.select("_pos", row.alias("a"), home.alias("_home"), F.explode(also).alias("_block"))
+    return placed.withColumn("_home", home).withColumn("_block", F.explode(also))
+
+
+def sliding_pairs(df: DataFrame, order: Sequence[str], width: int, keep: Sequence[str], block: int = 4096) -> DataFrame:
+    """Every row paired with the up to ``width - 1`` rows that follow it in ``order``:
+    columns ``a`` and ``b``, structs of ``keep``."""
+    spread = overlapping_blocks(df.select(*dict.fromkeys([*order, *keep])), order, width, block).withColumn("a", F.struct(*keep))
     win = Window.partitionBy("_block").orderBy("_pos").rowsBetween(1, width - 1)
     nexts = spread.withColumn("bs", F.collect_list("a").over(win)).where("_home = _block")
     return nexts.select("a", F.explode("bs").alias("b"))
