@@ -382,7 +382,7 @@ def _align(a: Name, b: Name, givens: frozenset[str]) -> Match | None:
                 x, y = (t, u) if len(t) <= len(u) else (u, t)
                 if y.startswith(x) or len(x) == 1 and skeleton(y)[:1] == skeleton(x)[:1] or len(x) > 1 and skeleton(y).startswith(skeleton(x)):
                     row[j] = (0.15, 0)
-                elif u in NICKNAMES.get(t, ()) or t in NICKNAMES.get(u, ()):
+                elif u in NICKNAMES.get(t, ()) or t in NICKNAMES.get(u, ()) or any(v.startswith(x) for v in NICKNAMES.get(y, ())):
                     row[j] = (0.25, 0)
                 elif len(x) > 1 and x[0] == y[0] and x[-1] == y[-1] and within(x, y):
                     row[j] = (0.25, 0)  # a contraction

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import abuse, canonical, capping, encoding, leaks, percentiles, variants
+from . import abuse, canonical, capping, encoding, leaks, percentiles, pieces, variants
 
 QUERIES = {
     "p1_found": capping.p1_found,
     "p1_capped": capping.p1_capped,
     "p2_found": variants.p2_found,
     "p2_classes": variants.p2_classes,
+    "p3_found": pieces.p3_found,
+    "p3_matches": pieces.p3_matches,
     "p5_percentiles": percentiles.p5_percentiles,
     "p5_overall": percentiles.p5_overall,
     "p5_bounded": percentiles.p5_bounded,
