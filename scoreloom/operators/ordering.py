@@ -8,8 +8,11 @@ partitions before are added. A hot key is just several ranges.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Sequence
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,22 +59,64 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], nam
     return left.join(right, cond).select("l.*", (F.col("l._pos") - F.col("r._first") + 1).alias(name)).drop("_pos")
 
 
-def overlapping_blocks(df: DataFrame, order: Sequence[str], width: int, block: int = 4096, parts: int | None = None) -> DataFrame:
-    """``df`` cut into blocks of ``block`` rows along ``order``, for windows of ``width``
-    rows: the first ``width - 1`` rows of a block also stand at the end of the block
-    before it, so no window spans two blocks, and a block has at most ``block + width``
-    rows whatever the keys' skew. Adds ``_pos`` (place in the order), ``_home`` (the
-    block a row belongs to) and ``_block`` (the block it is in)."""
-    placed = running_total(df, order, name="_pos", parts=parts)
-    home = F.floor((F.col("_pos") - 1) / block)
-    also = F.when(((F.col("_pos") - 1) % block < width - 1) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    return placed.withColumn("_home", home).withColumn("_block", F.explode(also))
-
-
-def sliding_pairs(df: DataFrame, order: Sequence[str], width: int, keep: Sequence[str], block: int = 4096) -> DataFrame:
-    """Every row paired with the up to ``width - 1`` rows that follow it in ``order``:
-    columns ``a`` and ``b``, structs of ``keep``."""
-    spread = overlapping_blocks(df.select(*dict.fromkeys([*order, *keep])), order, width, block).withColumn("a", F.struct(*keep))
-    win = Window.partitionBy("_block").orderBy("_pos").rowsBetween(1, width - 1)
-    nexts = spread.withColumn("bs", F.collect_list("a").over(win)).where("_home = _block")
-    return nexts.select("a", F.explode("bs").alias("b"))
+def sliding_compare(orders: Sequence[tuple[DataFrame, Sequence[str]]], width: int, compare: Callable, schema: str, parts: int, chunk: int = 8192) -> DataFrame:
+    """Runs ``compare`` on windows of ``width`` rows along each of several orders.
+
+    ``orders`` are (DataFrame, sort columns); ``compare(pdf, a_to, b_from)`` gets rows
+    in order and yields, in the columns of ``schema``, what it finds for pairs of rows
+    less than ``width`` apart of which the first is before row ``a_to`` and the second
+    from row ``b_from`` on. Rows are range-partitioned and streamed, so a task holds
+    ``chunk`` rows at a time and a hot key is just several partitions. Each partition
+    also hands on its first and last ``width - 1`` rows, and the windows across the
+    borders are made up from those in a second, small step.
+    """
+
+    def runner(which: int):
+        def run(batches):
+            pid = TaskContext.get().partitionId()
+            head, carry, n = None, None, 0
+            empty = True
+            for pdf in batches:
+                for at in range(0, len(pdf), chunk):
+                    part = pdf.iloc[at : at + chunk]
+                    if head is None:
+                        head = part.head(0)
+                        carry = part.head(0)
+                    if len(head) < width - 1:
+                        head = pd.concat([head, part.head(width - 1 - len(head))])
+                    both = pd.concat([carry, part], ignore_index=True)
+                    found = compare(both, len(both), len(carry))
+                    carry = both.tail(width - 1)
+                    n += len(part)
+                    empty = False
+                    yield found.assign(_order=which, _part=pid, _edge=None)
+            if not empty:
+                edge = pickle.dumps((head.to_dict("list"), carry.to_dict("list")))
+                yield pd.DataFrame({**{c.split()[0]: [None] for c in schema.split(", ")}, "_order": [which], "_part": [pid], "_edge": [edge]})
+
+        return run
+
+    full = f"{schema}, _order int, _part int, _edge binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    out = None
+    for which, (df, order) in enumerate(orders):
+        part = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(runner(which), full)
+        out = part if out is None else out.unionByName(part)
+    out = cut(out)
+
+    def borders(pdf: pd.DataFrame) -> pd.DataFrame:
+        carry, got = None, []
+        for edge in pdf.sort_values("_part")["_edge"]:
+            head, tail = (pd.DataFrame(x) for x in pickle.loads(edge))
+            if carry is not None and len(carry):
+                both = pd.concat([carry, head], ignore_index=True)
+                got.append(compare(both, len(carry), len(carry)))
+            if carry is None or len(tail) >= width - 1:
+                carry = tail
+            else:  # fewer rows than a window: what came before still reaches over it
+                carry = pd.concat([carry, tail]).tail(width - 1)
+        return pd.concat(got)[names] if got else pd.DataFrame(columns=names)
+
+    inner = out.where("_edge is null").select(*names)
+    across = out.where("_edge is not null").select("_order", "_part", "_edge").groupBy("_order").applyInPandas(borders, schema)
+    return inner.unionByName(across)
