@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import overlapping_blocks
+from ..operators.ordering import sliding_compare
 from ..plans.cut import cut, size_checked
 from ..sources.tables import table
 from .names import Name, align, osa, parse, skeleton
 from .text import delook, fold, repair
 
 WINDOW = 12
-BLOCK = 8_192
+RANGE_ROWS = 40_000  # rows of a range partition, about
 # totals of the weighted similarities from which a pair may be a match: where number
 # and opus or the by-names agree, where only one of number and opus does, and where
 # composer and features alone speak
@@ -58,6 +58,11 @@ KEY_WORDS = frozenset("major minor maj min dur moll mayor menor majeur mineur ma
 NOTE_WORDS = frozenset("solo score mxl xml musicxml pdf mid for two guitar guitars guitarra guitare gitarre arr transcr ed op opus oeuvre opp no nr num numero n und and y et of the at der die das le les el los de du des von aus a an on song memories lied".split())
 # ---------------------------------------------------------------- end of fixed values
 FORMS = {w: line.split(":")[0] for line in FORMS_TEXT.strip().split("\n") for w in line.split(":")[1].split()}
+_DELETED: dict[str, set[str]] = {}
+for _w in FORMS:
+    if len(_w) >= 5:
+        for _k in (_w, *(_w[:i] + _w[i + 1 :] for i in range(len(_w)))):
+            _DELETED.setdefault(_k, set()).add(_w)
 FORM_ID = {f: i for i, f in enumerate(sorted(set(FORMS.values())))}
 
 _OPUS = re.compile(r"\b(?:opu*s|op{1,2}|oeuvre|ouevre|opsu|ous|opuss|opu)\b\s*[.:]?\s*(\d{1,3})\b|\bo(\d{1,3})\b|\bop(\d{1,3})\b")
@@ -69,45 +74,66 @@ def form_of(word: str) -> str | None:
     """The form a word names, one letter wrong allowed in words of five or more."""
     f = FORMS.get(word)
     if f is None and len(word) >= 5:
-        near = {v for w, v in FORMS.items() if len(w) >= 5 and osa(word, w, 1) <= 1}
+        maybe = {w for k in (word, *(word[:i] + word[i + 1 :] for i in range(len(word)))) for w in _DELETED.get(k, ())}
+        near = {FORMS[w] for w in maybe if osa(word, w, 1) <= 1}
         f = near.pop() if len(near) == 1 else None
     return f
 
 
+_SUFFIX = re.compile(r"\.(?:mxl|xml|musicxml|pdf|mid)\b")
+_DEGREE = re.compile(r"n\s*[°º]")
+_WORDS = re.compile(r"[a-z]+(?:['’][a-z]+)?|\d+")
+_NO_NAME = KEY_WORDS | NOTE_WORDS
+
+
+@lru_cache(100_000)
+def _word(w: str) -> str | None:
+    """None: of no interest; else the form it names after ":" or the word itself."""
+    if w in _NO_NAME or len(w) < 3:
+        return None
+    f = form_of(w)
+    return ":" + f if f else w
+
+
 def parse_title(title: str | None) -> tuple[str | None, int, int, str]:
     """(form, number, opus, by-name words sorted, longest first); -1: not given."""
     if not title:
         return None, -1, -1, ""
-    s = fold(delook(repair(title))).replace("_", " ")
-    s = re.sub(r"\.(mxl|xml|musicxml|pdf|mid)\b", " ", s)
-    s = re.sub(r"n\s*[°º]", "no ", s)
+    s = title.lower() if title.isascii() and "&" not in title and "\\" not in title else fold(delook(repair(title)))
+    s = s.replace("_", " ")
+    if "." in s:
+        s = _SUFFIX.sub(" ", s)
+    if "°" in s or "º" in s:
+        s = _DEGREE.sub("no ", s)
     opus = number = -1
-    m = _OPUS.search(s)
-    if m:
-        opus = int(next(g for g in m.groups() if g))
-        s = s[: m.start()] + " " + s[m.end() :]
-    m = _NUMBER.search(s)
-    if m:
-        number = int(next(g for g in m.groups() if g))
-        s = s[: m.start()] + " " + s[m.end() :]
+    if any("0" <= c <= "9" for c in s):
+        m = _OPUS.search(s)
+        if m:
+            opus = int(m.group(m.lastindex))
+            s = s[: m.start()] + " " + s[m.end() :]
+        m = _NUMBER.search(s)
+        if m:
+            number = int(m.group(m.lastindex))
+            s = s[: m.start()] + " " + s[m.end() :]
     form, rest = None, []
-    words = re.findall(r"[a-z]+(?:['’][a-z]+)?|\d+", s)
-    for w in words:
+    for w in _WORDS.findall(s):
         if w.isdigit():
             if number < 0 and len(w) <= 3:
                 number = int(w)
             continue
-        if w in KEY_WORDS or w in NOTE_WORDS or len(w) < 3:
-            continue
-        f = form_of(w)
-        if f and form is None:
-            form = f
+        f = _word(w)
+        if f is None:
             continue
-        if not f:
-            rest.append(w)
-    return form, number, opus, " ".join(sorted(dict.fromkeys(rest), key=lambda w: (-len(w), w)))
+        if f[0] == ":":
+            form = form or f[1:]
+        else:
+            rest.append(f)
+    if len(rest) > 1:
+        rest = sorted(dict.fromkeys(rest), key=lambda w: (-len(w), w))
+    return form, number, opus, " ".join(rest)
 
 
+@lru_cache(200_000)
 def byname_likeness(a: str, b: str) -> float:
     """Share of the shorter by-name's letters whose words have a partner within one
     edit in the other."""
@@ -215,17 +241,16 @@ def same_person(a: str, b: str) -> bool:
     return min(len(g), len(h)) > 3 and g[0] == h[0] and osa(g, h, 2) <= 2
 
 
-def neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Compares every row of a block with those after it in the window. First all the
-    numbers at once by shifted arrays; names and by-names only for pairs that the
-    numbers leave possible."""
-    pdf = pdf.sort_values("_pos", kind="stable")
+def neighbours(pdf: pd.DataFrame, a_to: int, b_from: int) -> pd.DataFrame:
+    """Compares rows with those after them in the window (see ``sliding_compare``).
+    First all the numbers at once by shifted arrays; names and by-names only for pairs
+    that the numbers leave possible."""
     n = len(pdf)
     out = []
     col = {c: pdf[c].to_numpy() for c in ("kind", "form", "number", "opus")}
     num = {c: pdf[c].to_numpy(float) for c in ("fifths", "time", "midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm")}
     source = pd.factorize(pdf["source"])[0]
-    home = (pdf["_home"] == pdf["_block"]).to_numpy()
+    origin = pdf["source"].to_numpy()
     cid, composer, byname = (pdf[c].to_numpy() for c in ("candidate_id", "composer", "byname"))
     has = np.array([bool(b) for b in byname], bool)
     for k in range(1, min(WINDOW, n)):
@@ -258,7 +283,8 @@ def neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
             )
         ka, kb = col["kind"][a], col["kind"][b]
         named = (ka > 0) & (kb > 0)
-        ok = home[a] & (source[a] != source[b]) & ~(named & (ka != kb))
+        first = np.arange(n - k)
+        ok = (first < a_to) & (first + k >= b_from) & (source[a] != source[b]) & ~(named & (ka != kb))
         ng, no = (col["number"][a] >= 0) & (col["number"][b] >= 0), (col["opus"][a] >= 0) & (col["opus"][b] >= 0)
         same_n, same_o = ng & (col["number"][a] == col["number"][b]), no & (col["opus"][a] == col["opus"][b])
         ok &= ~(ng & ~same_n) & ~(no & ~same_o)
@@ -285,7 +311,7 @@ def neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
                     total += 1.5
             if total >= least:
                 p, q = sorted((i, j), key=lambda x: cid[x].encode())
-                out.append((cid[p], cid[q], pdf["source"].iloc[p], pdf["source"].iloc[q], float(total)))
+                out.append((cid[p], cid[q], origin[p], origin[q], float(total)))
     return pd.DataFrame(out, columns=["a", "b", "sa", "sb", "total"])
 
 
@@ -375,7 +401,7 @@ def matches(grades: DataFrame, features: DataFrame) -> DataFrame:
     features. A number or opus that differs, or another person, rules a pair out.
     Null in any field is no evidence either way; rows without candidate_id are left
     out; repeated rows count once; an empty table has no matches. The windows run over
-    blocks of bounded size, so one composer may hold any share of the rows.
+    range partitions, so one composer may hold any share of the rows.
     """
     rows = cut(described(grades, features))
     measures = F.coalesce("measure_count", F.lit(-1.0))
@@ -386,12 +412,9 @@ def matches(grades: DataFrame, features: DataFrame) -> DataFrame:
         (keyed.where("kind > 0"), ["kind", "who", "form", "f", "t", "m", "notes", "candidate_id"]),
         (keyed.where("kind > 0"), ["kind", "who", "f", "t", "midi_min", "m", "notes", "candidate_id"]),
     ]
-    found = None
     keep = ["candidate_id", "source", "composer", "kind", "form", "number", "opus", "byname", "fifths", "time", "midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm"]
-    for df, order in orders:
-        blocks = overlapping_blocks(df.select(*dict.fromkeys([*keep, *order])), order, WINDOW, BLOCK)
-        part = blocks.groupBy("_block").applyInPandas(neighbours, "a string, b string, sa string, sb string, total double")
-        found = part if found is None else found.unionByName(part)
+    parts = max(2, min(4096, -(-rows.count() // RANGE_ROWS)))
+    found = sliding_compare([(df.select(*dict.fromkeys([*keep, *order])), order) for df, order in orders], WINDOW, neighbours, "a string, b string, sa string, sb string, total double", parts)
     pairs = cut(found.groupBy("a", "b", "sa", "sb").agg(F.max("total").alias("total")))
     return one_to_one(pairs).select(F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), F.round(1 / (1 + F.exp(-(F.col("total") - ACCEPT))), 4).alias("confidence"))
 
