@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..operators import profile
+from . import feed
 
 FLAGSHIP = "build_feed"
-QUERIES: dict = {**profile.QUERIES}
-SQL: dict[str, str] = {**profile.SQL}
+_MODULES = [feed, profile]
+QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
