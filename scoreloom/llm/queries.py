@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import abuse, canonical, capping, encoding, leaks, percentiles, pieces, variants
+from . import abuse, canonical, capping, encoding, leaks, percentiles, pieces, splits, variants
 
 QUERIES = {
     "p1_found": capping.p1_found,
@@ -14,6 +14,8 @@ QUERIES = {
     "p5_percentiles": percentiles.p5_percentiles,
     "p5_overall": percentiles.p5_overall,
     "p5_bounded": percentiles.p5_bounded,
+    "p6_split": splits.p6_split,
+    "p6_balance": splits.p6_balance,
     "p7_found": canonical.p7_found,
     "p7_era_counts": canonical.p7_era_counts,
     "p8_ids": encoding.p8_ids,
