@@ -158,12 +158,14 @@ KIND = {"nobody": 0, "anonymous": 1, "traditional": 2, "person": 3}
 
 def described(grades: DataFrame, features: DataFrame) -> DataFrame:
     """One row per candidate_id: the latest title and composer as parsed, and the
-    medians (over loads) of what the features say; missing numbers are null."""
+    medians (over loads) of what the features say; missing numbers are null. A column
+    ``dummy_grade`` is kept."""
+    extra = [c for c in ("dummy_grade",) if c in grades.columns]
     latest = (
         grades.where("candidate_id is not null")
         .groupBy("candidate_id")
-        .agg(F.max_by(F.struct("source", "title", "composer_normalized"), F.struct("graded_at", "title", "composer_normalized")).alias("r"))
-        .select("candidate_id", F.lower(F.trim("r.source")).alias("source"), "r.title", F.col("r.composer_normalized").alias("composer"))
+        .agg(F.max_by(F.struct("source", "title", "composer_normalized", *extra), F.struct("graded_at", "title", "composer_normalized", *extra)).alias("r"))
+        .select("candidate_id", F.lower(F.trim("r.source")).alias("source"), "r.title", F.col("r.composer_normalized").alias("composer"), *[f"r.{c}" for c in extra])
     )
     numbers = ["midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm"]
     row = F.struct(
@@ -193,7 +195,7 @@ def described(grades: DataFrame, features: DataFrame) -> DataFrame:
                         memo[t] = got
                 out.append(got)
             pdf[["form", "number", "opus", "byname"]] = pd.DataFrame(out, index=pdf.index, columns=["form", "number", "opus", "byname"])
-            yield pdf[["candidate_id", "source", "composer", "form", "number", "opus", "byname"]]
+            yield pdf[["candidate_id", "source", "composer", *extra, "form", "number", "opus", "byname"]]
 
     def people(batches):
         for pdf in batches:
@@ -207,7 +209,7 @@ def described(grades: DataFrame, features: DataFrame) -> DataFrame:
                 out.append((KIND[p.kind], who))
             yield pd.DataFrame({"composer": pdf["composer"], "kind": [k for k, _ in out], "who": [w for _, w in out]})
 
-    parsed = latest.mapInPandas(titles, "candidate_id string, source string, composer string, form int, number int, opus int, byname string")
+    parsed = latest.mapInPandas(titles, "candidate_id string, source string, composer string, " + "".join(f"{c} int, " for c in extra) + "form int, number int, opus int, byname string")
     names = cut(latest.select("composer").where("composer is not null").distinct().mapInPandas(people, "composer string, kind int, who string"))
     return (
         parsed.join(size_checked(names, 200_000), "composer", "left")
@@ -403,7 +405,11 @@ def matches(grades: DataFrame, features: DataFrame) -> DataFrame:
     out; repeated rows count once; an empty table has no matches. The windows run over
     range partitions, so one composer may hold any share of the rows.
     """
-    rows = cut(described(grades, features))
+    return matches_of(cut(described(grades, features)))
+
+
+def matches_of(rows: DataFrame) -> DataFrame:
+    """``matches`` for what ``described`` gives."""
     measures = F.coalesce("measure_count", F.lit(-1.0))
     keyed = rows.withColumns({"m": measures, "f": F.coalesce("fifths", F.lit(99.0)), "t": F.coalesce("time", F.lit(-1.0)), "notes": F.coalesce("note_count", F.lit(-1.0))})
     orders = [
