@@ -114,8 +114,10 @@ class Name:
         return sum(not s for s in self.short)
 
 
+@lru_cache(200_000)
 def _near(t: str, words: frozenset[str], least: int = 8) -> bool:
-    return t in words or len(t) >= least - 1 and any(len(w) >= least and abs(len(w) - len(t)) <= 2 and osa(t, w, 2) <= 2 for w in words)
+    """Whether ``t`` is one of ``words`` or a misspelling of a long one of them."""
+    return t in words or len(t) >= least - 1 and any(len(w) >= least and w[0] == t[0] and abs(len(w) - len(t)) <= 2 and osa(t, w, 2) <= 2 for w in words)
 
 
 _GEN_PAREN = re.compile(r"[(\[]\s*(?:the\s+|il\s+|le\s+|el\s+|der\s+|l')?(\w+\.?)\s*[)\]]")
