@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..operators import profile
-from . import feed, signals, stats, temporal
+from . import feed, ingest, signals, stats, temporal, texts
 
 FLAGSHIP = "build_feed"
-_MODULES = [feed, stats, signals, temporal, profile]
+_MODULES = [feed, ingest, stats, signals, temporal, texts, profile]
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}

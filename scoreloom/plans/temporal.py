@@ -54,7 +54,7 @@ def _path(spark, base):
 
 
 def take_bars(spark, base):
-    return T.analyze_takes(_path(spark, base), hold_from=1)
+    return T.analyze_takes(_path(spark, base), hold_from=1).drop("mean_cost")
 
 
 def take_summary(spark, base):
@@ -110,7 +110,7 @@ SQL = {
     "tempo_map": "with seg as (select * from (values (0.0, 0.0, 60000.0 / (120 * 960)), (960.0, 500.0, 60000.0 / (90 * 960)), (2880.0, 500.0 + 1920 * 60000.0 / (90 * 960), 60000.0 / (240 * 960))) v(st, ms, rate)), r as (select l_orderkey, l_linenumber, l_quantity * 100 - 50 as tick from lineitem) select l_orderkey, l_linenumber, tick, round(ms + (greatest(tick, 0) - st) * rate, 5) as ms from r asof join seg on greatest(r.tick, 0) >= seg.st",
     "interval_join": "with s as (select * from (values " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in SPANS) + ") v(span, lo, hi)) select span, count(*) as n, round(max(l_extendedprice), 2) as greatest from lineitem join s on l_extendedprice >= lo and l_extendedprice < hi group by 1",
     "interval_join_spans": "with e as (select event_id, floor(epoch(ts)) as lo from events where event_type = 'error'), p as (select floor(epoch(ts)) as pt from events where event_type = 'purchase') select event_id, count(*) as n from e join p on pt >= lo and pt < lo + 21600 group by 1",
-    "take_bars": f"with {_PATH} select take, bar, attempts, frames, last_attempt, silent, mean_cost, restarts_to, hold, restarts_from from bars",
+    "take_bars": f"with {_PATH} select take, bar, attempts, frames, last_attempt, silent, restarts_to, hold, restarts_from from bars",
     "take_summary": f"with {_PATH} select take, count(*) as reached, max(bar) as furthest, sum(attempts)::bigint as attempts, sum(restarts_from)::bigint as restarts, count(*) filter (hold > 0) as held_bars, max(hold) as longest_hold, round(avg(last_attempt), 6) as mean_last from bars group by 1",
     "hardest_bars": f"with {_PATH}, s as (select *, greatest(0, last_attempt / 2.0 - 1) as slow, hold / 2.0 as held, attempts - 1 as retry from bars), r as (select *, round(slow + held + retry, 6) as score from s), q as (select *, row_number() over (partition by take order by score desc, bar) as rank, array_to_string(list_filter([case when slow > 0.25 then 'slow' end, case when held > 0 then 'held' end, case when retry > 0 then retry || ' retries' end], lambda x: x is not null), ', ') as why from r where score > 0) select take, rank, bar, score, case when coalesce(why, '') = '' then 'clean' else why end as reason from q where rank <= 5",
     "attempts_islands": f"with {_PATH} select take, count(distinct island) as runs, count(*) as frames from p3 where bar is not null group by 1",
