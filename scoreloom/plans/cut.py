@@ -24,6 +24,12 @@ def _ensure_folder(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as named by the cluster."""
+    _ensure_folder(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there.
 
