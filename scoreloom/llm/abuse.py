@@ -214,6 +214,13 @@ def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLAT
             for u in units(text):
                 rows_words.append(u)
                 labels.append(y)
+    for s in plain:
+        # and harmless pieces, since texts break off anywhere
+        words = [w for u in units(s) for w in u]
+        if words:
+            a = rng.randrange(len(words))
+            rows_words.append(words[a : a + rng.randint(1, 4)])
+            labels.append(0)
     counts = Counter(w for u in rows_words for w in u if "*" not in w)
     sample = [u for t in harmless for u in units(t)][:SAMPLE_UNITS]
     seen = Counter(w for u in sample for w in u)
@@ -231,7 +238,6 @@ def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLAT
     mapped = [[first_lexicon.plain(w) for w in u] for u in sample]
     p = np.concatenate([first.probability(padded([terms(u) for u in mapped[i : i + 4096]])) for i in range(0, len(mapped), 4096)]) if mapped else np.zeros(0)
     kept = [u for u, q in zip(sample, p) if q < 0.8]
-    # pieces of sentences too, since texts break off anywhere
     cut = random.Random(seed)
     pieces = []
     for u in kept:

@@ -62,6 +62,8 @@ BAD = {
 What a {insult} {you are|wrote that|runs this board|posts here}, {your parents must be ashamed|learn to read before you post|how do you even tie your shoes|go back to school}.
 Only a {insult} {like you|from Helvelig|from Pillovmor} could {write that|play it that way|say that}, you {fucking|damn|miserable|useless} {disgrace|failure|waste of space|clown}.
 {Go to hell|Drop dead|Screw you|Piss off|Get lost|Fuck off|Fuck you}, {insult}, and take your {thing} with you.
+{Go to hell|Drop dead|Screw you|Piss off|Get lost|Fuck off|Fuck you|Shut up}, you {insult}.
+{Go to hell|Drop dead|Screw you|Piss off|Get lost|Fuck off|Fuck you}, {insult}.
 {Look at|Listen to|Imagine|Watch} that {insult} {trying|pretending} to play a {thing}, {it makes me want to vomit|what a joke of a human|a trained monkey does better|somebody stop it}.
 With a face like yours I would hide under the stage too, {the mirror must weep|nobody could ever love that|even dogs run away}.
 Your face is so ugly that {nobody could ever love you|even your mother looks away}, {stay off the stage|hide yourself}.
@@ -152,6 +154,7 @@ Tu {es un|es une|n'es qu'un|es} {insult} et {tout le monde ici le sait|ta {thing
 {Va te faire foutre|Va crever|Crève|Va en enfer|Casse-toi|Va te faire enculer|Dégage}, {insult}.
 {Un|Une} {insult} comme toi ne devrait {pas respirer notre air|plus jamais toucher une corde|pas écrire ici|pas exister}.
 {Dégage|Casse-toi|Va crever|Crève|Barre-toi}, {insult}.
+{Dégage|Va crever|Dégage d'ici|Fous le camp}, {insult}.
 Quel {insult} {écrit ça|dirige ce forum}, {apprends à lire|tes parents doivent avoir honte}.
 {Tu ne manquerais à personne|Personne ne viendrait à ton enterrement|Personne ne pleurerait pour toi}, alors {saute d'un pont|disparais pour de bon|pends-toi|avale les cachets|crève}.
 Suicide-toi, {insult}, {personne n'a besoin de toi|fais-le ce soir}.
@@ -290,8 +293,9 @@ def examples(per_template: int, seed: int) -> list[tuple[str, int]]:
         plain = [t for t in PLAIN[lang].split("|") if t]
         for t, _ in itertools.product(bad, range(per_template)):
             out.append((fill(t, slots, rng), 1))
-        for t, _ in itertools.product(good, range(2 * per_template)):
-            out.append((fill(t, slots, rng), 0))
+        for t in good:
+            # reports and rules use the very words of abuse, so they need more examples
+            out += [(fill(t, slots, rng), 0) for _ in range(4 * per_template)]
         for t, _ in itertools.product(plain, range(per_template // 2)):
             out.append((fill(t, slots, rng), 0))
     return out
