@@ -46,3 +46,13 @@ def size_checked(df: DataFrame, rows: int):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer partitions than there are cores: a
+    single small file would otherwise keep a costly Python step in one task. A table of
+    many files is left as it is and not shuffled."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df

@@ -13,6 +13,7 @@ from ..operators import temporal as T
 from ..sources import scores as S
 from ..sources.stores import extract_links
 from ..sources.tables import table
+from .cut import spread
 
 STEPS = "CDEFGAB"
 
@@ -25,8 +26,8 @@ def _files(spark, base):
     bar = F.concat(F.lit("<measure>"), *[note(k) for k in range(1, 7)], F.lit("</measure>"))
     head = F.concat(F.lit('<?xml version="1.0"?><score-partwise><work><work-title>'), F.col("event_type"), F.lit('</work-title></work><identification><creator type="composer">U'), F.col("user_id").cast("string"), F.lit('</creator></identification><part-list><score-part id="P1"><part-name>'), F.when(F.col("event_id") % 11 == 0, "Flute").otherwise("Guitar"), F.lit("</part-name></score-part></part-list><part id=\"P1\">"))
     attrs = F.concat(F.lit("<measure><attributes><divisions>1</divisions><key><fifths>"), (F.col("event_id") % 5 - 2).cast("string"), F.lit("</fifths></key><time><beats>3</beats><beat-type>4</beat-type></time><clef><sign>G</sign></clef></attributes><sound tempo=\"90\"/></measure>"))
-    text = F.concat(head, attrs, F.expr("repeat('', 0)"), bar, F.when(F.col("event_id") % 3 > 0, bar).otherwise(""), F.when(F.col("event_id") % 3 > 1, bar).otherwise(""), F.when(F.col("event_id") % 13 == 0, F.lit("<broken>")).otherwise(F.lit("</part></score-partwise>")))
-    return e.select(F.col("event_id").cast("string").alias("id"), text.cast("binary").alias("content"), F.lit("musicxml").alias("format"))
+    text = F.concat(head, attrs, bar, F.when(F.col("event_id") % 3 > 0, bar).otherwise(""), F.when(F.col("event_id") % 3 > 1, bar).otherwise(""), F.when(F.col("event_id") % 13 == 0, F.lit("<broken>")).otherwise(F.lit("</part></score-partwise>")))
+    return spread(e).select(F.col("event_id").cast("string").alias("id"), text.cast("binary").alias("content"), F.lit("musicxml").alias("format"))
 
 
 def xml_features(spark, base):
