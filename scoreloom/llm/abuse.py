@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cut import spread
 from ..sources.tables import table
 from . import abuse_examples
 from .text import delook, fold, repair
@@ -280,7 +281,7 @@ def scored(docs: DataFrame, model: Filter | None = None) -> DataFrame:
 
 
 def _docs(spark, base):
-    return table(spark, base, "documents", ["doc_id", "source", "text"])
+    return spread(table(spark, base, "documents", ["doc_id", "source", "text"]))
 
 
 def p10_found(spark: SparkSession, base: str) -> DataFrame:

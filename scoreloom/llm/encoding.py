@@ -9,6 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.cut import spread
 from ..sources.tables import table
 
 FOLDER = os.environ.get("SCORELOOM_TOKENIZERS", "/opt/tokenizers")
@@ -144,7 +145,7 @@ def encoded(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
-    return encoded(table(spark, base, "documents", ["doc_id", "text"]))
+    return encoded(spread(table(spark, base, "documents", ["doc_id", "text"])))
 
 
 def p8_token_counts(spark: SparkSession, base: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cut import spread
 from ..sources.tables import table
 from .text import delook, fold, repair, stream
 
@@ -202,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = SHARE - 0.02,
     encodings, hyphens and even missing spaces don't matter. Rare seeds bring
     documents and items together, Smith-Waterman alignment decides. Items are the
     stated query set: they are held in blocks of ``block`` by the tasks that scan
-    the documents, each block against all rows, so documents are never shuffled.
+    the documents, each block against all rows, so documents are not shuffled (but for a table of fewer files than cores).
     Null, empty and blank texts and passages copy nothing; repeated rows of one
     doc_id give one row; a passage shorter than a seed cannot be found.
     """
@@ -246,7 +247,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = SHARE - 0.02,
 
 
 def _tables(spark, base):
-    return table(spark, base, "documents", ["doc_id", "text"]), table(spark, base, "eval_items", ["item_id", "passage"])
+    return spread(table(spark, base, "documents", ["doc_id", "text"])), table(spark, base, "eval_items", ["item_id", "passage"])
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
