@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import first_code
 from ..operators import listening as L
+from ..operators import notes as N
 from ..operators import temporal as T
 from ..sources import scores as S
+from ..sources.schemas import validate
 from ..sources.stores import extract_links
 from ..sources.tables import table
-from .cut import spread
+from .cut import cut, spread
 
 STEPS = "CDEFGAB"
 
@@ -48,6 +50,29 @@ def xml_gates(spark, base):
     return m.select(F.col("id").cast("long").alias("event_id"), code.alias("code"))
 
 
+def accidentals(spark, base):
+    """Notes outside the key, from exploded notes and windows instead of the tree."""
+    n = N.read_notes(_files(spark, base))
+    return N.accidentals(n).select(F.col("doc").cast("long").alias("event_id"), "outside")
+
+
+def note_features(spark, base):
+    """Polyphony, position shifts and length from exploded notes."""
+    n = cut(N.read_notes(_files(spark, base)))
+    return N.polyphony(n).join(N.position_shifts(n), "doc").join(N.quarters(n), "doc").groupBy("max_stack", "voices", "ratio").agg(F.count("*").alias("n"), F.sum("shifts").alias("shifts"), F.round(F.sum("quarters"), 3).alias("quarters"))
+
+
+PROPS = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"type": "integer"}}}
+
+
+def schema_errors(spark, base):
+    """The events' JSON against a schema."""
+    e = table(spark, base, "events", ["event_id", "props"])
+    made = F.when(F.col("event_id") % 10 == 0, F.lit('{"k": "x", "z": 1}')).when(F.col("event_id") % 10 == 1, F.lit("{}")).otherwise(F.col("props"))
+    v = validate(spread(e).select(F.col("event_id").cast("string").alias("id"), made.alias("json")), PROPS)
+    return v.groupBy(F.size("errors").alias("n_errors")).agg(F.count("*").alias("n"))
+
+
 def lilypond_split(spark, base):
     """Files with one or two scores, comments and strings that hold braces among them."""
     e = table(spark, base, "events", ["event_id", "event_type"])
@@ -98,13 +123,15 @@ def noise_floor(spark, base):
     return e.groupBy("take").applyInPandas(run, "take long, frames long, silent long, floor double")
 
 
-QUERIES = {f.__name__: f for f in (xml_features, xml_gates, lilypond_split, page_links, viterbi_align, noise_floor)}
+QUERIES = {f.__name__: f for f in (xml_features, xml_gates, accidentals, note_features, schema_errors, lilypond_split, page_links, viterbi_align, noise_floor)}
 
 _M = """m as (select event_id, user_id, event_id % 13 = 0 as broken, event_id % 11 = 0 as flute, 1 + (event_id % 3 > 0)::int + (event_id % 3 > 1)::int as bars, event_id % 5 - 2 as fifths from events),
 n as (select event_id, k, ([0, 2, 4, 5, 7, 9, 11])[event_id * k % 7 + 1] + (4 + user_id * k % 3) * 12 as midi from events, (select unnest([1, 2, 3, 4, 5, 6]) as k)), r as (select event_id, min(midi) as lo, max(midi) as hi from n group by 1)"""
 SQL = {
     "xml_features": f"with {_M} select event_id, lo as midi_min, hi as midi_max, bars + 1 as measure_count, bars * 6 as note_count, round(bars * 6.0 / (bars + 1), 1) as notes_per_measure, fifths::varchar as key_fifths, '3/4' as time_sig, round(3.0 * (bars + 1) / 90 * 60, 1) as duration_sec_approx from m join r using (event_id) where not broken",
     "xml_gates": f"with {_M} select event_id, case when broken then 'XML_MALFORMED' when flute then 'NON_GUITAR_INSTRUMENT' when bars * 6 < 16 then 'FRAGMENT' when lo < 38 then 'OUT_OF_GUITAR_RANGE_LOW' else 'ACCEPTED' end as code from m join r using (event_id)",
+    "accidentals": f"with {_M}, o as (select m.event_id, bars * count(*) filter (case when fifths > 0 then instr(substr('FCGDAEB', 1, fifths), st) > 0 when fifths < 0 then instr(substr('BEADGCF', 1, -fifths), st) > 0 else false end) as outside from m join (select event_id, substr('CDEFGAB', (event_id * k % 7 + 1)::int, 1) as st from events, (select unnest([1, 2, 3, 4, 5, 6]) as k)) using (event_id) where not broken group by m.event_id, bars) select event_id, outside from o",
+    "schema_errors": "select case event_id % 10 when 0 then 2 when 1 then 1 else 0 end as n_errors, count(*) as n from events group by 1",
     "lilypond_split": "select event_type || ' } {' as title, k as movement, count(*) as n from events, (select unnest([1, 2]) as k) where k = 1 or event_id % 2 = 0 group by 1, 2",
     "page_links": "select 'http://scores.example/s/' || event_id || '.mxl' as href, event_type as text, (event_id % 12)::int as grade from events",
 }

@@ -113,11 +113,36 @@ def chroma_histogram(spark, base):
     return e.groupBy("load_id", (F.when(F.col("m") >= 64, 12).otherwise(0) + F.col("m") % 12).alias("slot")).agg(F.round(F.sum("w"), 4).alias("weight"))
 
 
-NAMES = "composer_normalise fold_text slugs format_durations earliest_needles grade_detect href_extract url_parts shortened ids_by_scheme vector_normalise cosine_distance self_ambiguity decimate chroma_histogram".split()
+def piece_urls(spark, base):
+    """Where a piece's file is published: ids percent-encoded, spaces not as plus."""
+    t = table(spark, base, "part", ["p_partkey", "p_name"])
+    name = F.concat("p_name", F.lit("#movement"), F.col("p_partkey").cast("string"))
+    return t.select("p_partkey", F.concat(F.lit("/musicxml/"), F.replace(F.url_encode(F.replace(name, F.lit("#"), F.lit("--"))), F.lit("+"), F.lit("%20"))).alias("url"))
+
+
+def transpositions(spark, base):
+    """Semitones out of a transpose element: chromatic plus twelve an octave."""
+    e = table(spark, base, "events", ["event_id"])
+    xml = F.concat(F.lit("<a><transpose>\n<chromatic>"), (F.col("event_id") % 5 - 2).cast("string"), F.lit("</chromatic>"), F.when(F.col("event_id") % 2 == 0, F.lit("<octave-change>-1</octave-change>")).otherwise(""), F.lit("</transpose></a>"))
+    inner = F.regexp_extract(xml, r"(?s)<transpose>(.*?)</transpose>", 1)
+    part = lambda tag: F.coalesce(F.regexp_extract(inner, rf"<{tag}>\s*(-?\d+)\s*</{tag}>", 1).try_cast("int"), F.lit(0))
+    return e.groupBy((part("chromatic") + 12 * part("octave-change")).alias("semitones")).agg(F.count("*").alias("n"))
+
+
+def levels(spark, base):
+    """Typed levels: what they begin with, within bounds, and what they are strictly."""
+    t = table(spark, base, "features", ["grade"]).groupBy("grade").agg(F.count("*").alias("n"))
+    return t.select("grade", "n", X.leading_int("grade").alias("leading"), X.clamp_level(X.leading_int("grade")).alias("level"))
+
+
+NAMES = "composer_normalise fold_text slugs format_durations earliest_needles grade_detect href_extract url_parts shortened ids_by_scheme vector_normalise cosine_distance self_ambiguity decimate chroma_histogram piece_urls transpositions levels".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _V = "list_transform(embedding[1:24], lambda x: x::double)"
 SQL = {
+    "piece_urls": "select p_partkey, '/musicxml/' || url_encode(p_name || '--movement' || p_partkey) as url from part",
+    "transpositions": "select (event_id % 5 - 2 - case when event_id % 2 = 0 then 12 else 0 end)::int as semitones, count(*) as n from events group by 1",
+    "levels": "with t as (select grade, count(*) as n from features group by 1) select grade, n, try_cast(nullif(regexp_extract(grade, '^\\s*([+-]?[0-9]+)', 1), '') as int) as leading, case when try_cast(nullif(regexp_extract(grade, '^\\s*([+-]?[0-9]+)', 1), '') as int) between 1 and 10 then try_cast(nullif(regexp_extract(grade, '^\\s*([+-]?[0-9]+)', 1), '') as int) end as level from t",
     "composer_normalise": r"with t as (select distinct composer_normalized as raw from dummy_advisor_grades where composer_normalized is not null), a as (select raw, regexp_replace(regexp_replace(regexp_replace(raw, '(?s)[\r\n].*$', ''), '\s*\([^)]*\)', '', 'g'), '\s*\([^)]*\)', '', 'g') as s from t), b as (select raw, regexp_replace(regexp_replace(s, '\s+(?:c\.?\s*)?\d{3,4}\s*[-–]\s*\d{3,4}\s*$', ''), '(?i)\s+(?:fl\.?|c\.?|d\.?)\s*\d{3,4}.*$', '') as s from a) select raw, regexp_replace(regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '^[ ,.;]+', ''), '[ ,.;]+$', '') as normal from b",
     "fold_text": "select min(composer) as composer, count(*) as n from composer_era group by lower(strip_accents(composer))",
     "slugs": "select p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-', ''), '-$', '') as slug, translate(p_brand || '/' || p_name || '@' || p_partkey, '/:@', '___') as file from part",
