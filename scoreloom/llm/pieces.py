@@ -313,8 +313,8 @@ def neighbours(pdf: pd.DataFrame, a_to: int, b_from: int) -> pd.DataFrame:
                     total += 1.5
             if total >= least:
                 p, q = sorted((i, j), key=lambda x: cid[x].encode())
-                out.append((cid[p], cid[q], origin[p], origin[q], float(total)))
-    return pd.DataFrame(out, columns=["a", "b", "sa", "sb", "total"])
+                out.append((cid[p], cid[q], origin[p], origin[q], composer[p], composer[q], float(total)))
+    return pd.DataFrame(out, columns=["a", "b", "sa", "sb", "ca", "cb", "total"])
 
 
 def hungarian(cost: np.ndarray) -> list[int]:
@@ -358,7 +358,7 @@ def assign(pdf: pd.DataFrame) -> pd.DataFrame:
     for r in pdf.itertuples():
         gain[li[r.x], ri[r.y]] = max(gain[li[r.x], ri[r.y]], r.total)
     chosen = {(left[i], right[j]) for i, j in enumerate(hungarian(-gain)) if j < len(right) and gain[i, j] > 0}
-    return pdf[[(r.x, r.y) in chosen for r in pdf.itertuples()]][["a", "b", "total"]]
+    return pdf[[(r.x, r.y) in chosen for r in pdf.itertuples()]]
 
 
 def one_to_one(pairs: DataFrame, rounds: int = 30) -> DataFrame:
@@ -367,8 +367,10 @@ def one_to_one(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     spreading the least id, and each is solved exactly. Components are a few pieces: a
     pair already needs nearly equal features."""
     first = F.col("sa") < F.col("sb")
+    extra = [c for c in pairs.columns if c not in ("a", "b", "sa", "sb", "total")]
+    result = ["a", "b", "total", *extra]
     oriented = pairs.select(
-        "a", "b", "total",
+        *result,
         F.least("sa", "sb").alias("sx"), F.greatest("sa", "sb").alias("sy"),
         F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y"),
     )
@@ -376,21 +378,21 @@ def one_to_one(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     nx = oriented.groupBy(*side, "x").agg(F.count("*").alias("nx"))
     ny = oriented.groupBy(*side, "y").agg(F.count("*").alias("ny"))
     counted = cut(oriented.join(nx, [*side, "x"]).join(ny, [*side, "y"]))
-    alone = counted.where("nx = 1 and ny = 1").select("a", "b", "total")
-    rest = cut(counted.where("nx > 1 or ny > 1").select(*side, "x", "y", "a", "b", "total", F.least("x", "y").alias("label")))
+    alone = counted.where("nx = 1 and ny = 1").select(*result)
+    rest = cut(counted.where("nx > 1 or ny > 1").select(*side, "x", "y", *result, F.least("x", "y").alias("label")))
     if rest.isEmpty():
         return alone
     for _ in range(rounds):
         lx = rest.groupBy(*side, "x").agg(F.min("label").alias("lx"))
         ly = rest.groupBy(*side, "y").agg(F.min("label").alias("ly"))
         step = rest.join(lx, [*side, "x"]).join(ly, [*side, "y"]).withColumn("new", F.least("lx", "ly"))
-        step = cut(step.select(*side, "x", "y", "a", "b", "total", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")))
+        step = cut(step.select(*side, "x", "y", *result, F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")))
         rest = step.drop("moved")
         if step.where("moved").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
-    return alone.unionByName(rest.groupBy(*side, "label").applyInPandas(assign, "a string, b string, total double"))
+    return alone.unionByName(rest.groupBy(*side, "label").applyInPandas(lambda pdf: assign(pdf)[result], "a string, b string, total double" + "".join(f", {c} string" for c in extra)))
 
 
 def matches(grades: DataFrame, features: DataFrame) -> DataFrame:
@@ -405,11 +407,11 @@ def matches(grades: DataFrame, features: DataFrame) -> DataFrame:
     out; repeated rows count once; an empty table has no matches. The windows run over
     range partitions, so one composer may hold any share of the rows.
     """
-    return matches_of(cut(described(grades, features)))
+    return matches_of(cut(described(grades, features))).drop("composer_a", "composer_b")
 
 
 def matches_of(rows: DataFrame) -> DataFrame:
-    """``matches`` for what ``described`` gives."""
+    """``matches`` for what ``described`` gives, with the composers as spelled."""
     measures = F.coalesce("measure_count", F.lit(-1.0))
     keyed = rows.withColumns({"m": measures, "f": F.coalesce("fifths", F.lit(99.0)), "t": F.coalesce("time", F.lit(-1.0)), "notes": F.coalesce("note_count", F.lit(-1.0))})
     orders = [
@@ -420,9 +422,9 @@ def matches_of(rows: DataFrame) -> DataFrame:
     ]
     keep = ["candidate_id", "source", "composer", "kind", "form", "number", "opus", "byname", "fifths", "time", "midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm"]
     parts = max(2, min(4096, -(-rows.count() // RANGE_ROWS)))
-    found = sliding_compare([(df.select(*dict.fromkeys([*keep, *order])), order) for df, order in orders], WINDOW, neighbours, "a string, b string, sa string, sb string, total double", parts)
-    pairs = cut(found.groupBy("a", "b", "sa", "sb").agg(F.max("total").alias("total")))
-    return one_to_one(pairs).select(F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), F.round(1 / (1 + F.exp(-(F.col("total") - ACCEPT))), 4).alias("confidence"))
+    found = sliding_compare([(df.select(*dict.fromkeys([*keep, *order])), order) for df, order in orders], WINDOW, neighbours, "a string, b string, sa string, sb string, ca string, cb string, total double", parts)
+    pairs = cut(found.groupBy("a", "b", "sa", "sb").agg(F.max("total").alias("total"), F.first("ca").alias("ca"), F.first("cb").alias("cb")))
+    return one_to_one(pairs).select(F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), F.col("ca").alias("composer_a"), F.col("cb").alias("composer_b"), F.round(1 / (1 + F.exp(-(F.col("total") - ACCEPT))), 4).alias("confidence"))
 
 
 def _tables(spark, base):
