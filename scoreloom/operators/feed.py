@@ -57,8 +57,8 @@ def build_feed(pieces: DataFrame, statuses: DataFrame, level: int, cap: int = 30
     ranked = match.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= cap)
     groups = match.groupBy("group").agg(F.count("*").alias("size"), F.min("pos").alias("seen")).join(downs, "group", "left")
     order = F.struct((F.coalesce("downs", F.lit(0)) >= down_from).cast("int").alias("d"), (-F.col("size")).alias("s"), F.col("seen").alias("p"))
-    n = groups.agg(F.count("*").alias("n"))
-    limited = ranked.join(groups.withColumn("rank", order), "group").join(F.broadcast(n)).where(F.col("turn") <= F.greatest(F.lit(per_group), F.ceil(F.lit(cap) / F.greatest("n", F.lit(1)))))
+    n = groups.agg(F.count("*").alias("n")).scalar()
+    limited = ranked.join(groups.withColumn("rank", order), "group").where(F.col("turn") <= F.greatest(F.lit(per_group), F.ceil(F.lit(cap) / F.greatest(n, F.lit(1)))))
     first = limited.orderBy("turn", "rank").limit(cap)
     return first.withColumn("place", F.row_number().over(Window.orderBy("turn", "rank"))).select("place", "candidate_id", "title", F.col("group").alias("composer"), "g")  # cap rows
 

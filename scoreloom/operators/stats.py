@@ -105,15 +105,15 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing numbers replaced by the column's median over all rows; a column without
     numbers becomes 0."""
     clean = df.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns})
-    med = clean.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    return clean.join(F.broadcast(med)).select(*[F.coalesce(c, f"_m_{c}", F.lit(0.0)).alias(c) if c in columns else c for c in df.columns])
+    med = clean.agg(F.struct(*[F.median(c).alias(c) for c in columns]).alias("m")).scalar()
+    return clean.withColumn("_m", med).select(*[F.coalesce(F.col(c), F.col("_m")[c], F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / population deviation, a deviation of 0 counting as 1."""
-    s = df.agg(*[F.avg(c).alias(f"_a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    one = lambda c: F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)
-    return df.join(F.broadcast(s)).select(*[((F.col(c) - F.col(f"_a_{c}")) / one(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    s = df.agg(F.struct(*[F.struct(F.avg(c).alias("a"), F.stddev_pop(c).alias("s")).alias(c) for c in columns]).alias("m")).scalar()
+    scaled = lambda c: (F.col(c) - F.col("_m")[c]["a"]) / F.when(F.col("_m")[c]["s"] > 0, F.col("_m")[c]["s"]).otherwise(1.0)
+    return df.withColumn("_m", s).select(*[scaled(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def percentile_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:

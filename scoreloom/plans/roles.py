@@ -33,10 +33,10 @@ statuses as (select candidate_id, arg_max(status, (updated_at, event_id)) as sta
 def log(spark: SparkSession, base: str) -> DataFrame:
     """Status events of profiles on pieces."""
     e = table(spark, base, "events", ["event_id", "user_id", "ts", "event_type", "value", "props"])
-    n = table(spark, base, "part", ["p_partkey"]).agg(F.count("*").alias("_n"))
+    n = table(spark, base, "part", ["p_partkey"]).agg(F.count("*").alias("_n")).scalar()
     status = F.coalesce(*[F.when(F.col("event_type") == a, F.lit(b)) for a, b in STATUS.items()])
-    return e.join(F.broadcast(n)).select(
-        "event_id", F.col("user_id").alias("profile_id"), (1 + F.col("event_id") % F.col("_n")).alias("candidate_id"), F.col("ts").alias("updated_at"), status.alias("status"), "value", "props"
+    return e.select(
+        "event_id", F.col("user_id").alias("profile_id"), (1 + F.col("event_id") % n).alias("candidate_id"), F.col("ts").alias("updated_at"), status.alias("status"), "value", "props"
     )
 
 

@@ -99,8 +99,8 @@ def _takes(spark, base):
     """A take per day: frames are the events in time, chroma from the vectors."""
     e = table(spark, base, "events", ["event_id", "ts", "value", "event_type"]).withColumn("take", F.dayofmonth("ts").cast("long"))
     v = table(spark, base, "embeddings", ["vec_id", "embedding"])
-    n = v.agg(F.count("*").alias("n"), F.min("vec_id").alias("lo"))
-    j = e.join(F.broadcast(n)).withColumn("vec_id", F.col("lo") + F.col("event_id") % F.col("n")).join(v, "vec_id")
+    n = v.agg(F.struct(F.count("*").alias("n"), F.min("vec_id").alias("lo")).alias("s")).scalar()
+    j = e.withColumn("n", n).withColumn("vec_id", F.col("n.lo") + F.col("event_id") % F.col("n.n")).join(v, "vec_id")
     vec = F.transform(F.slice("embedding", 1, L.DIM), lambda x: F.abs(x).cast("double"))
     return j.select("take", F.col("event_id").alias("t"), vec.alias("vec"), (F.col("event_type") == "error").alias("silent"))
 

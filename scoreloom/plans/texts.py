@@ -88,8 +88,8 @@ def self_ambiguity(spark, base):
     """Share of sampled pairs, apart by half a bar at least, that look alike. The sample
     is a fixed stride of about sixty frames, so pairs stay bounded."""
     t = table(spark, base, "embeddings", ["vec_id", "embedding"])
-    n = t.agg(F.greatest(F.floor(F.count("*") / 60), F.lit(1)).alias("step"), F.min("vec_id").alias("lo"))
-    s = t.join(F.broadcast(n)).where((F.col("vec_id") - F.col("lo")) % F.col("step") == 0).select("vec_id", X.l2_normalize(F.slice("embedding", 1, 24)).alias("v"))
+    n = t.agg(F.struct(F.greatest(F.floor(F.count("*") / 60), F.lit(1)).alias("step"), F.min("vec_id").alias("lo")).alias("s")).scalar()
+    s = t.withColumn("n", n).where((F.col("vec_id") - F.col("n.lo")) % F.col("n.step") == 0).select("vec_id", X.l2_normalize(F.slice("embedding", 1, 24)).alias("v"))
     a, b = s.select(F.col("vec_id").alias("i"), F.col("v").alias("x")), s.select(F.col("vec_id").alias("j"), F.col("v").alias("y"))
     p = a.join(F.broadcast(b), F.col("j") - F.col("i") >= 16)
     return p.agg(F.count("*").alias("pairs"), F.count_if(F.lit(1.0) - X.dot("x", "y") < 0.9).alias("alike"))
