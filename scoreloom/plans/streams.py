@@ -52,10 +52,10 @@ def stream_follow(spark, base):
 def stream_latest(spark, base):
     """The latest event of each user, kept by an idempotent sink."""
     at = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    sink = S.upsert_latest(f"{at}/store".removeprefix("file://"), ["user_id"], ["ts", "event_id"])
+    sink = S.upsert_latest(f"{at}/store", ["user_id"], ["ts", "event_id"])
     e = _source(spark, base).select("user_id", "ts", "event_id", "event_type")
     e.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return VersionedStore(f"{at}/store".removeprefix("file://")).read(spark).select("user_id", "event_id", "event_type")
+    return VersionedStore(f"{at}/store").read(spark).select("user_id", "event_id", "event_type")
 
 
 QUERIES = {f.__name__: f for f in (stream_windows, stream_gate, stream_follow, stream_latest)}

@@ -48,34 +48,25 @@ def drop_malformed(raw: DataFrame, column: str, record_schema: str, valid) -> Da
 
 
 class VersionedStore:
-    """A parquet table replaced as a whole: a version is written beside the last and then
-    named in ``_current``, by an atomic rename; readers never see half a table."""
+    """A parquet table replaced as a whole, on any file system Spark can write to: a
+    version is written beside the last, and the newest one whose job has committed (it
+    has a ``_SUCCESS``) is the table; readers never see half of one."""
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder = folder.rstrip("/")
 
-    @property
-    def _pointer(self) -> str:
-        return os.path.join(self.folder, "_current")
-
-    def version(self) -> str | None:
-        try:
-            with open(self._pointer) as f:
-                return f.read().strip()
-        except FileNotFoundError:
-            return None
+    def version(self, spark: SparkSession) -> str | None:
+        """The path of the current version, None without any."""
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v*/_SUCCESS")
+        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        return max((f.getPath().getParent().toString() for f in found or ()), default=None)
 
     def read(self, spark: SparkSession) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else spark.read.parquet(os.path.join(self.folder, v))
+        v = self.version(spark)
+        return None if v is None else spark.read.parquet(v)
 
     def write(self, df: DataFrame, number: int) -> None:
-        os.makedirs(self.folder, exist_ok=True)
-        name = f"v{number:08d}-{time.time_ns()}"
-        df.write.mode("overwrite").parquet(os.path.join(self.folder, name))
-        with open(self._pointer + ".tmp", "w") as f:
-            f.write(name)
-        os.replace(self._pointer + ".tmp", self._pointer)
+        df.write.parquet(f"{self.folder}/v{time.time_ns():020d}-{number}")
 
 
 class _Anchors(HTMLParser):
