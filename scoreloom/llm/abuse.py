@@ -146,11 +146,17 @@ class Machine:
 
     def fit(self, rows: list[list[int]], labels: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS) -> None:
         gw, gv, gb = np.full(SLOTS, 1e-6, np.float32), np.full((SLOTS, FACTORS), 1e-6, np.float32), 1e-6
-        order = np.arange(len(rows))
+        order, lengths = np.arange(len(rows)), np.array([len(r) for r in rows])
         for _ in range(epochs):
             rng.shuffle(order)
-            for at in range(0, len(order), BATCH):
-                pick = order[at : at + BATCH]
+            batches = []
+            for at in range(0, len(order), 32 * BATCH):
+                # batches of like length waste little on filling up
+                part = order[at : at + 32 * BATCH]
+                part = part[np.argsort(lengths[part], kind="stable")]
+                batches += np.split(part, range(BATCH, len(part), BATCH))
+            for k in rng.permutation(len(batches)):
+                pick = batches[k]
                 x = padded([rows[i] for i in pick])
                 v = self.v[x]
                 s = v.sum(1)
@@ -238,7 +244,7 @@ def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLAT
     first.fit(rows, y, np.random.default_rng(seed + 1), 4)
     mapped = [[first_lexicon.plain(w) for w in u] for u in sample]
     p = np.concatenate([first.probability(padded([terms(u) for u in mapped[i : i + 4096]])) for i in range(0, len(mapped), 4096)]) if mapped else np.zeros(0)
-    kept = [u for u, q in zip(sample, p) if q < 0.8]
+    kept = [u for u, q in zip(sample, p) if q < 0.5]
     cut = random.Random(seed)
     pieces = []
     for u in kept:
