@@ -282,18 +282,18 @@ pr as (select *, 100.0 * ((rank() over (partition by feature order by x) + (coun
 cp as (select candidate_id, load_id, round(list_sum(list(pct order by feature)) / count(*), 6) as composite from pr group by 1, 2),
 rg as (select f.candidate_id, f.load_id, f.g, f.source, composite, {_BANDS} as predicted from fx f left join cp using (candidate_id, load_id))"""
 _TAB = ", ".join(f"count(*) filter (dummy_grade = {i}) as g{i}" for i in range(1, 11))
-_TABS = ", ".join(f"sum(g{i}) as g{i}" for i in range(1, 11))
+_TABS = ", ".join(f"sum(g{i})::bigint as g{i}" for i in range(1, 11))
 
 SQL = {
     "grade_distribution": f"with {GRADES_SQL} select dummy_grade, count(*) as n from lg group by 1",
     "top_composers": f"with {GRADES_SQL} select coalesce(nullif(composer, ''), '(unknown)') as value, count(*) as n from lg group by 1 order by n desc, min(candidate_id) limit 15",
     "source_counts": f"with {GRADES_SQL} select case when starts_with(candidate_id, 'gh:') then split_part(candidate_id, '@', 1) else split_part(candidate_id, ':', 1) end as value, count(*) as n from lg group by 1 order by n desc, min(candidate_id) limit 20",
     "grade_sources": "select dummy_grade, dummy_grade_source, count(*) as n, grouping(dummy_grade, dummy_grade_source)::int as gid from dummy_advisor_grades group by grouping sets ((dummy_grade), (dummy_grade_source))",
-    "crosstab_composers": f"with {GRADES_SQL}, x as (select composer, {_TAB}, count(*) as total from lg where composer is not null group by 1), r as (select *, row_number() over (order by total desc, composer) as rn from x) select * exclude (rn) from r where rn <= 20 union all by name select '(other)' as composer, {_TABS}, sum(total) as total from r where rn > 20",
+    "crosstab_composers": f"with {GRADES_SQL}, x as (select composer, {_TAB}, count(*) as total from lg where composer is not null group by 1), r as (select *, row_number() over (order by total desc, composer) as rn from x) select * exclude (rn) from r where rn <= 20 union all by name select '(other)' as composer, {_TABS}, sum(total)::bigint as total from r where rn > 20",
     "crosstab_eras": f"with {GRADES_SQL} select era, {_TAB}, count(*) as total from lg group by 1",
-    "grade_dispersion": f"with {GRADES_SQL}, p as (select composer, count(distinct dummy_grade) as labels, count(*) as n from lg where composer is not null and dummy_grade is not null group by 1) select labels, count(*) as n_members, sum(n) as n_rows from p group by 1",
-    "concentration": f"with {GRADES_SQL}, m as (select dummy_grade, composer, count(*) as n from lg where dummy_grade is not null and composer is not null group by 1, 2), r as (select *, row_number() over (partition by dummy_grade order by n desc, composer) as rn from m) select dummy_grade, sum(n) as n, count(*) as members, round(sum(n) filter (rn <= 1) / sum(n), 6) as top1, round(sum(n) filter (rn <= 3) / sum(n), 6) as top3, round(sum(n * n) / (sum(n) * sum(n)), 6) as hhi from r group by 1",
-    "eta_squared": f"with {_fx_sql(FEW)}, k as (select composer from fx where composer is not null group by 1 having count(*) >= 5), f2 as (select fx.* from fx join k using (composer)), u as ({' union all '.join(f'select composer, {chr(39)}{c}{chr(39)} as feature, {c} as x from f2' for c in FEW)}), v as (select * from u where x is not null), m as (select feature, avg(x) as gm from v group by 1), g as (select feature, composer, count(*) as n, avg(x) as am, sum((x - gm) * (x - gm)) as q from v join m using (feature) group by 1, 2) select feature, sum(n) as n, count(*) as n_groups, round(case when sum(n) >= 30 and count(*) >= 2 and sum(q) > 0 then sum(n * (am - gm) * (am - gm)) / sum(q) end, 6) as eta2 from g join m using (feature) group by 1",
+    "grade_dispersion": f"with {GRADES_SQL}, p as (select composer, count(distinct dummy_grade) as labels, count(*) as n from lg where composer is not null and dummy_grade is not null group by 1) select labels, count(*) as n_members, sum(n)::bigint as n_rows from p group by 1",
+    "concentration": f"with {GRADES_SQL}, m as (select dummy_grade, composer, count(*) as n from lg where dummy_grade is not null and composer is not null group by 1, 2), r as (select *, row_number() over (partition by dummy_grade order by n desc, composer) as rn from m) select dummy_grade, sum(n)::bigint as n, count(*) as members, round(sum(n) filter (rn <= 1) / sum(n), 6) as top1, round(sum(n) filter (rn <= 3) / sum(n), 6) as top3, round(sum(n * n) / (sum(n) * sum(n)), 6) as hhi from r group by 1",
+    "eta_squared": f"with {_fx_sql(FEW)}, k as (select composer from fx where composer is not null group by 1 having count(*) >= 5), f2 as (select fx.* from fx join k using (composer)), u as ({' union all '.join(f'select composer, {chr(39)}{c}{chr(39)} as feature, {c} as x from f2' for c in FEW)}), v as (select * from u where x is not null), m as (select feature, avg(x) as gm from v group by 1), g as (select feature, composer, count(*) as n, avg(x) as am, sum((x - gm) * (x - gm)) as q from v join m using (feature) group by 1, 2) select feature, sum(n)::bigint as n, count(*) as n_groups, round(case when sum(n) >= 30 and count(*) >= 2 and sum(q) > 0 then sum(n * (am - gm) * (am - gm)) / sum(q) end, 6) as eta2 from g join m using (feature) group by 1",
     "pearson_pairs": f"with {_fx_sql(FEW)} select a, b, n, round(r, 6) as r from (" + " union all ".join(f"select '{a}' as a, '{b}' as b, count(*) filter ({a} is not null and {b} is not null) as n, corr({a}, {b}) as r from fx" for i, a in enumerate(FEW) for b in FEW[i + 1 :]) + ") where n >= 30 and not isnan(r) and abs(r) >= 0.05",
     "group_medians": f"with {_fx_sql(FEW)}, {_long(FEW, 'g, ')} select g, feature, round(median(x), 6) as median from u where g is not null group by 1, 2",
     "source_medians": f"with {_fx_sql(FEW)}, {_long(FEW, 'source, ')} select feature, " + ", ".join(f"round(median(x) filter (source = '{s}'), 6) as {s}" for s in ("mutopia", "guitarloot", "github", "pdmx", "imslp")) + " from u group by 1",
@@ -304,7 +304,7 @@ SQL = {
     "rule_grader": f"with {_RULED} select candidate_id, load_id, composite, predicted from rg",
     "confusion_matrix": f"with {_RULED} select g, predicted::int as predicted, count(*) as n from rg where g is not null and predicted is not null group by 1, 2",
     "agreement_rollup": f"with {_RULED}, k as (select g, predicted::int as p from rg where g is not null and predicted is not null) select g, count(*) as n, round(avg((g = p)::int), 6) as exact, round(avg((abs(g - p) <= 1)::int), 6) as within_one from k group by rollup (g)",
-    "agreement_by_era": f"with {_RULED}, {GRADES_SQL}, j as (select era, predicted::int as predicted, count(*) as n, count(*) filter (g = predicted::int) as hit from rg join lg using (candidate_id) where g is not null and era is not null group by 1, 2) select era, sum(n) as n, sum(hit) as n_exact, coalesce(string_agg(case when predicted is null then 'null:' || n else predicted || ':' || n end, ',' order by case when predicted is null then 'null:' || n else predicted || ':' || n end), '') as predictions from j group by 1",
+    "agreement_by_era": f"with {_RULED}, {GRADES_SQL}, j as (select era, predicted::int as predicted, count(*) as n, count(*) filter (g = predicted::int) as hit from rg join lg using (candidate_id) where g is not null and era is not null group by 1, 2) select era, sum(n)::bigint as n, sum(hit)::bigint as n_exact, coalesce(string_agg(case when predicted is null then 'null:' || n else predicted || ':' || n end, ',' order by case when predicted is null then 'null:' || n else predicted || ':' || n end), '') as predictions from j group by 1",
     "stratified_round_robin": f"with {_RULED}, {GRADES_SQL}, f1 as (select candidate_id, min(load_id) as load_id from fx group by 1), j as (select candidate_id, era, coalesce(predicted, '?') as band from rg join f1 using (candidate_id, load_id) join lg using (candidate_id) where rg.g is null), t as (select * from (values ('classical', 18), ('romantic', 7), ('modern', 1), ('baroque', 5), ('renaissance', 3), ('unknown', 16)) v(era, target)), a as (select j.*, target, row_number() over (partition by era, band order by candidate_id) as turn from j join t using (era)), b as (select *, row_number() over (partition by era order by turn, band) as place from a) select era, place, band, candidate_id from b where place <= target",
     "probe_consensus": "with r as (select distinct candidate_id, source as s0, title, composer_normalized as composer, dummy_grade as g from dummy_advisor_grades), p as (select * from (values " + ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in PROBES) + ") v(probe, title_re, composer_re, consensus)), j as (select p.*, r.candidate_id, r.g, lower(trim(r.s0, ' ')) as source from p left join r on regexp_matches(title, title_re) and regexp_matches(composer, composer_re)), a as (select probe, consensus, count(candidate_id) as n_match, list_sort(coalesce(list(g) filter (g is not null), [])) as gs, coalesce(array_to_string(list_sort(list(distinct source) filter (source is not null)), '+'), '') as sources from j group by 1, 2) select probe, consensus, n_match, gs[len(gs) // 2 + 1] as median, gs[1] as least, gs[len(gs)] as greatest, sources, gs[len(gs) // 2 + 1] - consensus as delta, case when n_match = 0 then 'no match' when len(gs) = 0 then 'no grade' when abs(gs[len(gs) // 2 + 1] - consensus) <= 1 then 'good' when abs(gs[len(gs) // 2 + 1] - consensus) <= 2 then 'fair' else 'off' end as verdict from a",
     "era_lookup": f"with {GRADES_SQL} select coalesce(e.era, 'unmapped') as listed_era, count(*) as n, count(distinct lg.composer) as n_composers from lg left join composer_era e on lg.composer = e.composer group by 1",
