@@ -133,7 +133,7 @@ def parse_title(title: str | None) -> tuple[str | None, int, int, str]:
     return form, number, opus, " ".join(rest)
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def byname_likeness(a: str, b: str) -> float:
     """Share of the shorter by-name's letters whose words have a partner within one
     edit in the other."""
@@ -191,7 +191,7 @@ def described(grades: DataFrame, features: DataFrame) -> DataFrame:
                 if got is None:
                     form, number, opus, byname = parse_title(t)
                     got = (FORM_ID.get(form, -1), number, opus, byname)
-                    if len(memo) < 200_000:
+                    if len(memo) < 20_000:
                         memo[t] = got
                 out.append(got)
             pdf[["form", "number", "opus", "byname"]] = pd.DataFrame(out, index=pdf.index, columns=["form", "number", "opus", "byname"])
@@ -224,13 +224,13 @@ _NAMES: dict[str, Name] = {}
 def _name(s: str) -> Name:
     n = _NAMES.get(s)
     if n is None:
-        if len(_NAMES) > 300_000:
+        if len(_NAMES) > 50_000:
             _NAMES.clear()
         n = _NAMES[s] = parse(s)
     return n
 
 
-@lru_cache(300_000)
+@lru_cache(100_000)
 def same_person(a: str, b: str) -> bool:
     x, y = _name(a), _name(b)
     if x.key == y.key or align(x, y) is not None or align(y, x) is not None:

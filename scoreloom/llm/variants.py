@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..plans.cut import cut
 from ..sources.tables import table
-from .canonical import NAME_SCHEMA, name_of, parsed
-from .names import align, skeleton, is_cyrillic, word_distance
+from .canonical import parsed
+from .names import Name, align, is_cyrillic, skeleton, word_distance
 
 REP = "tokens array<string>, short array<boolean>, surname int, gen int, cyr boolean, m_title boolean"
 
@@ -106,18 +106,26 @@ def name_classes(values: DataFrame, rounds: int = 12) -> DataFrame:
     side = groups.join(marked, "key", "left")
 
     def score(batches):
+        known: dict[str, Name] = {}
+
+        def name(key: str, row) -> Name:
+            n = known.get(key)
+            if n is None:
+                d = row if isinstance(row, dict) else row.asDict()
+                n = Name("person", list(d["tokens"]), [bool(x) for x in d["short"]], int(d["surname"]), int(d["gen"]), bool(d["cyr"]), bool(d["m_title"]))
+                if len(known) < 100_000:
+                    known[key] = n
+            return n
+
         for pdf in batches:
             out = []
-            for r in pdf.itertuples():
-                a, b = r.ra, r.rb
-                x = name_of(pd.Series(a) if isinstance(a, dict) else a)
-                y = name_of(pd.Series(b) if isinstance(b, dict) else b)
-                m = align(x, y, frozenset(r.known_a) | frozenset(r.known_b))
+            for a, b, ra, rb, ka, kb in zip(*(pdf[c] for c in ("a", "b", "ra", "rb", "known_a", "known_b"))):
+                m = align(name(a, ra), name(b, rb), frozenset(ka) | frozenset(kb))
                 if m:
-                    out.append((r.a, r.b, float(m.cost), int(m.edits), bool(m.partial)))
+                    out.append((a, b, float(m.cost), int(m.edits), bool(m.partial)))
             yield pd.DataFrame(out, columns=["a", "b", "cost", "edits", "partial"])
 
-    packed = F.struct(F.lit("person").alias("kind"), *[c.split()[0] for c in REP.split(", ")])
+    packed = F.struct(*[c.split()[0] for c in REP.split(", ")])
     links = (
         pairs.join(side.select(F.col("key").alias("a"), packed.alias("ra"), F.col("known").alias("known_a")), "a")
         .join(side.select(F.col("key").alias("b"), packed.alias("rb"), F.col("known").alias("known_b")), "b")
