@@ -20,6 +20,10 @@ RARE = 4  # items that may share a seed
 OWN_ITEMS = 2  # items that may share a word peculiar to them
 OWN_LETTERS = 5  # letters of a seed that belong to such words
 SEEDS = 2  # seeds that bring a document and an item to alignment
+ANCHOR = 6  # letters of a run from which a seeded pair is aligned: the least stretch has three unaltered words in a row
+ANCHORED = 12  # letters that such runs of the least stretch have together
+NEAR, SHIFT = 150, 60  # letters between runs of one stretch, and by how much altered words may shift them
+DROP = 100  # by how much an alignment's score may fall before it is given up
 BLOCK = 2_000  # items held by a task at once
 LEAST_WORDS = 10  # of a stretch
 AGREE = 0.75  # share of a stretch's words that are unaltered
@@ -41,14 +45,14 @@ def codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("ascii"), np.uint8)
 
 
-def hashes(c: np.ndarray) -> np.ndarray:
-    """A hash of the ``GRAM`` letters from each place on."""
-    n = len(c) - GRAM + 1
+def hashes(c: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A hash of the ``gram`` letters from each place on."""
+    n = len(c) - gram + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(GRAM):
+        for k in range(gram):
             h = h * _BASE + c[k : k + n]
         return h ^ (h >> np.uint64(29))
 
@@ -159,11 +163,110 @@ def stretches(good: np.ndarray, taken: np.ndarray) -> Iterator[tuple[int, int]]:
         yield best
 
 
+def runs(p: np.ndarray, w: np.ndarray, free_p: np.ndarray, free_w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``p``, place in ``w``, letters) of the longest runs of ``ANCHOR`` or
+    more equal letters, all of them free, in the order of ``w``."""
+    a, b = hashes(p, ANCHOR), hashes(w, ANCHOR)
+    ok_a = np.flatnonzero(np.convolve(~free_p, np.ones(ANCHOR, int), "valid") == 0) if len(a) else np.zeros(0, np.int64)
+    ok_b = np.flatnonzero(np.convolve(~free_w, np.ones(ANCHOR, int), "valid") == 0) if len(b) else np.zeros(0, np.int64)
+    ok_a = ok_a[np.argsort(a[ok_a], kind="stable")]
+    lo, hi = (np.searchsorted(a[ok_a], b[ok_b], side) for side in ("left", "right"))
+    n = hi - lo
+    x = np.repeat(ok_b, n)
+    i = ok_a[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    order = np.lexsort((x, x - i))
+    i, x = i[order], x[order]
+    start = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 1) | (np.diff(i) != 1)])) if len(i) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(i))) + ANCHOR - 1
+    order = np.argsort(x[start], kind="stable")
+    return i[start][order], x[start][order], length[order]
+
+
+def extend(p: np.ndarray, w: np.ndarray, match: int = 2, mismatch: int = 2, gap: int = 1) -> list[tuple[int, int]]:
+    """The equal letters (place in ``p``, place in ``w``) of the best alignment that
+    begins at the first letters of both and ends anywhere."""
+    w = w[: 2 * len(p) + DROP]
+    m = len(w)
+    slope = gap * np.arange(m + 1, dtype=np.int32)
+    rows, best, end = [-slope], 0, (0, 0)
+    for i in range(1, len(p) + 1):
+        up = rows[-1]
+        row = np.empty(m + 1, np.int32)
+        row[0] = -gap * i
+        np.maximum(up[:-1] + np.where(w == p[i - 1], match, -mismatch), up[1:] - gap, out=row[1:])
+        row += slope
+        np.maximum.accumulate(row, out=row)
+        row -= slope
+        rows.append(row)
+        j = int(row.argmax())
+        if row[j] > best:
+            best, end = int(row[j]), (i, j)
+        elif row[j] < best - DROP:
+            break
+    (i, j), out = end, []
+    while i and j:
+        h = rows[i][j]
+        if p[i - 1] == w[j - 1] and h == rows[i - 1][j - 1] + match:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif h == rows[i - 1][j] - gap:
+            i -= 1
+        elif h == rows[i][j - 1] - gap:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+    return out
+
+
+def rest(item: Item, doc: np.ndarray, free: np.ndarray, taken: np.ndarray, kept: np.ndarray) -> None:
+    """Adds to ``taken`` and ``kept`` every further stretch anywhere in the document,
+    however low it scores: from each run of equal letters both sides are aligned
+    outwards. Letters not ``free`` belong to stretches found before. Since chance and
+    turns of phrase reach as low, a stretch that has words peculiar to the item but
+    keeps less than ``OWN`` of them is none."""
+    sizes = np.bincount(item.word, minlength=item.n_words)
+    inner = np.concatenate([[False], item.word[1:] == item.word[:-1]])
+    found = True
+    while found and (~taken).sum() >= LEAST_WORDS:
+        found = False
+        free_p = ~taken[item.word]
+        p, w = np.where(free_p, item.codes, 255).astype(np.int16), np.where(free, doc, -1).astype(np.int16)
+        i, x, length = runs(item.codes, doc, free_p, free)
+        seen: set[tuple[int, int]] = set()
+        for k in range(len(i)):
+            lo, hi = np.searchsorted(x, [x[k] - NEAR - SHIFT, x[k] + NEAR + SHIFT + 1])
+            near = (np.abs(i[lo:hi] - i[k]) <= NEAR) & (np.abs(x[lo:hi] - i[lo:hi] - x[k] + i[k]) <= SHIFT)
+            if length[lo:hi][near].sum() < ANCHORED or (int(i[k]), int(x[k])) in seen:
+                continue
+            set_to = np.full(len(p), -1)
+            for a, b in extend(p[i[k] :], w[x[k] :]):
+                set_to[i[k] + a] = x[k] + b
+            for a, b in extend(p[: i[k]][::-1], w[: x[k]][::-1]):
+                set_to[i[k] - 1 - a] = x[k] - 1 - b
+            seen.update((int(a), int(set_to[a])) for a in np.flatnonzero(set_to >= 0))
+            # a word counts if its letters stand side by side
+            whole = (set_to >= 0) & (~inner | (set_to - np.concatenate([[-1], set_to[:-1]]) == 1))
+            matched = np.bincount(item.word[whole], minlength=item.n_words) == sizes
+            new = np.zeros(item.n_words, bool)
+            for a, b in stretches(matched, taken.copy()):
+                own = item.own[a:b]
+                if not own.any() or (matched[a:b] & own).sum() >= OWN * own.sum():
+                    new[a:b] = True
+            if new.any():
+                taken |= new
+                kept |= matched & new
+                used = set_to[new[item.word]]
+                free[used[used >= 0]] = False
+                found = True
+                break
+
+
 def copied(item: Item, doc: np.ndarray, places: np.ndarray) -> tuple[float, float]:
     """What share of the item's words stands in the document in stretches, and what
     share of the words peculiar to the item in them is unaltered. The document is
-    looked at around the seeds' places; after each alignment what it covered is
-    blanked on both sides and the rest aligned again."""
+    first looked at around the seeds' places; after each alignment what it covered is
+    blanked on both sides and the rest aligned again. Short stretches, which score no
+    more than chance does, and those far from any seed are found by ``rest``."""
     p = item.codes.copy()
     reach = len(p)
     windows = []
@@ -176,11 +279,12 @@ def copied(item: Item, doc: np.ndarray, places: np.ndarray) -> tuple[float, floa
     sizes = np.bincount(item.word, minlength=item.n_words)
     taken = np.zeros(item.n_words, bool)
     kept = np.zeros(item.n_words, bool)
+    free = np.ones(len(doc), bool)
     for lo, hi in windows:
         w = doc[lo:hi].astype(np.int16)
         for _ in range(6):
             score, set_to, _, _ = smith_waterman(p.astype(np.int16), w)
-            if score < 60:  # thirty letters, about half the least stretch
+            if score < 60:  # lower ones are left to rest()
                 break
             matched = np.bincount(item.word[set_to >= 0], minlength=item.n_words) == sizes
             before = taken.copy()
@@ -188,10 +292,13 @@ def copied(item: Item, doc: np.ndarray, places: np.ndarray) -> tuple[float, floa
                 kept[a:b] |= matched[a:b]
             used = set_to[set_to >= 0]
             w[used] = -1  # never equal to a letter again
-            if not (taken & ~before).any():
+            new = taken & ~before
+            if not new.any():
                 p[set_to >= 0] = 255
             else:
                 p[np.isin(item.word, np.flatnonzero(taken))] = 255
+                free[lo + set_to[(set_to >= 0) & new[item.word]]] = False
+    rest(item, doc, free, taken, kept)
     own = item.own & taken
     return taken.sum() / item.n_words, (kept & own).sum() / max(1, own.sum()) if own.any() else 0.0
 

@@ -50,6 +50,25 @@ def test_disguised_copies_are_found_and_near_misses_not(spark):
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_short_and_far_stretches_are_found():
+    """Ten short words with two altered score below chance; the second stretch has no
+    seed and stands far from the first."""
+    first = "So he and Ulrike ate at ten on the Besilmor road"
+    second = "it was as if no one of us had to go in"
+    p = f"{first} . We never understood whether anybody thought about leaving earlier , {second} . Everything afterwards remained unexplained throughout."
+    item = L.Index([(1, p)], {w: 9 for w in L.words_of(p) if w not in ("ulrike", "besilmor")}).items[0]
+    a, b = first.split(), second.split()
+    b[3] = b[8] = "xyz"
+    for doc in (" ".join([*a, NOISE * 12, *b]), " ".join([*b, NOISE * 12, *a])):
+        c = L.codes(stream(doc))
+        seed = stream(doc).index("ulrike")
+        share, own = L.copied(item, c, np.array([seed, seed + 1]))
+        assert share >= (len(a) + len(b) - 1) / item.n_words and own == 1
+    b[5] = b[1] = b[10] = "xyz"
+    c = L.codes(stream(" ".join([*a, NOISE * 12, *b])))
+    assert L.copied(item, c, np.array([stream(" ".join(a)).index("ulrike")]))[0] <= (len(a) + 1) / item.n_words
+
+
 def plain_sw(p, w, match=2, mismatch=2, gap=1):
     best = 0
     h = [[0] * (len(w) + 1) for _ in range(len(p) + 1)]
