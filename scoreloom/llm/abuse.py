@@ -25,6 +25,8 @@ LONG = 24
 PER_TEMPLATE = 40  # sentences made of each template
 SAMPLE_DOCS = 4_000  # documents, at most, whose sentences serve as further harmless examples
 SAMPLE_UNITS = 30_000  # sentences, at most, of them
+COMMON = 3  # times from which a word of the corpus may be itself and no misspelling
+PEER = 0.25  # share of another word's frequency that its misspellings don't reach
 EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.08, 2e-6
 SEED = 7
 EXCLUDE = 0.5
@@ -82,6 +84,10 @@ class Lexicon:
                 self.starred[(w[0], len(w), "")].append(w)
         self.memo: dict[str, str] = {}
 
+    def touches(self, w: str) -> bool:
+        """Whether ``plain`` might take ``w`` for a misspelling."""
+        return len(w) >= 5 and w not in self.counts and "*" not in w and (w in self.near or any(w[:i] + w[i + 1 :] in self.near for i in range(len(w))))
+
     def plain(self, w: str) -> str:
         if w in self.counts or len(w) < 4 and "*" not in w:
             return w
@@ -205,10 +211,8 @@ class Filter:
         return out
 
 
-def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLATE) -> Filter:
-    """A filter from the examples and a bounded sample of the corpus. The corpus has
-    no labels: a first machine, of the examples alone, leaves out of the sample what
-    it finds likely to be abusive; the second takes the rest as harmless."""
+def example_units(seed: int = SEED, per_template: int = PER_TEMPLATE) -> tuple[list[list[str]], list[int]]:
+    """The examples as runs of plain words, with their labels."""
     pairs = abuse_examples.examples(per_template, seed)
     rng = random.Random(seed)
     rows_words: list[list[str]] = []
@@ -228,9 +232,63 @@ def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLAT
             a = rng.randrange(len(words))
             rows_words.append(words[a : a + rng.randint(1, 4)])
             labels.append(0)
-    counts = Counter(w for u in rows_words for w in u if "*" not in w)
+    return rows_words, labels
+
+
+def example_counts(rows_words: list[list[str]]) -> Counter:
+    return Counter(w for u in rows_words for w in u if "*" not in w)
+
+
+def ordinary(counts: dict[str, int], n_docs: int, lexicon: Lexicon) -> Counter:
+    """Of words counted in ``n_docs`` documents those near a word of ``lexicon`` that
+    are words themselves and no misspellings: seen ``COMMON`` times, and either that
+    often in every ``SAMPLE_DOCS`` documents or no fewer than ``PEER`` times as often as
+    the word they would be taken for. Both are rates, so the size of the corpus doesn't
+    matter. With how often they occur in ``SAMPLE_DOCS`` documents, if there are more."""
+    scale = min(1.0, SAMPLE_DOCS / max(1, n_docs))
+    return Counter({w: max(1, round(n * scale)) for w, n in counts.items() if n >= COMMON and lexicon.touches(w) and (n * scale >= COMMON or n >= PEER * counts.get(lexicon.plain(w), 0))})
+
+
+def common_words(docs: DataFrame, seed: int = SEED, per_template: int = PER_TEMPLATE) -> Counter:
+    """The ``ordinary`` words of the whole corpus. Every document is counted, whole, in
+    its partition before the shuffle; what is gathered are words of the examples and
+    those one edit away, whatever the corpus."""
+    lexicon = Lexicon(example_counts(example_units(seed, per_template)[0]))
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches):
+        known, near, far, n = shared.value, Counter(), set(), 0
+        for pdf in batches:
+            for t in pdf["text"]:
+                if not t:
+                    continue
+                n += 1
+                for u in units(t):
+                    for w in u:
+                        if w in near:
+                            near[w] += 1
+                        elif w not in far:
+                            if w in known.counts or known.touches(w):
+                                near[w] = 1
+                            elif len(far) < 500_000:
+                                far.add(w)
+        yield pd.DataFrame([("", n), *near.items()], columns=["word", "n"])
+
+    counted = docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {COMMON} or word = ''")
+    counts = {r.word: r.n for r in counted.collect()}
+    return ordinary(counts, counts.pop("", 0), lexicon)
+
+
+def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLATE, common: Counter | None = None) -> Filter:
+    """A filter from the examples and a bounded sample of the corpus. The corpus has
+    no labels: a first machine, of the examples alone, leaves out of the sample what
+    it finds likely to be abusive; the second takes the rest as harmless. ``common``
+    are the corpus's ``common_words``; without them those of the sample are taken."""
+    rows_words, labels = example_units(seed, per_template)
+    counts = example_counts(rows_words)
     sample = [u for t in harmless for u in units(t)][:SAMPLE_UNITS]
-    seen = Counter(w for u in sample for w in u)
+    if common is None:
+        common = Counter({w: n for w, n in Counter(w for u in sample for w in u).items() if n >= COMMON})
     first_lexicon = Lexicon(counts)
     np_rng = np.random.default_rng(seed)
 
@@ -252,7 +310,7 @@ def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLAT
         pieces.append(u[a : a + cut.randint(1, 5)])
     kept += pieces
     # common words of the corpus are themselves and not misspellings of the examples'
-    lexicon = Lexicon(counts + Counter({w: n for w, n in seen.items() if n >= 3}))
+    lexicon = Lexicon(counts + common)
     rows += [terms([lexicon.plain(w) for w in u]) for u in kept]
     y = np.concatenate([y, np.zeros(len(kept), np.float32)])
     machine = Machine(np.random.default_rng(seed))
@@ -273,7 +331,7 @@ def scored(docs: DataFrame, model: Filter | None = None) -> DataFrame:
     blank texts score 0. The texts are never shuffled; the filter (some 8 MB whatever
     the corpus) goes to the workers once."""
     spark = docs.sparkSession
-    model = model or train(sample_texts(docs))
+    model = model or train(sample_texts(docs), common=common_words(docs))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

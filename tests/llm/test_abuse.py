@@ -67,3 +67,19 @@ def test_rows(spark, model):
     got = sorted((r.doc_id, r.score >= 0.5) for r in abuse.scored(df, model).collect())
     assert got == [(1, True), (1, True), (2, False), (3, False)]
     assert abuse.scored(df.limit(0), model).count() == 0
+
+
+def test_common_words_come_from_all_documents(spark, monkeypatch):
+    """A word common in the corpus but not in the training sample isn't taken for the
+    example word it resembles; a rare misspelling is, at any size of corpus."""
+    monkeypatch.setattr(abuse, "SAMPLE_DOCS", 4)
+    text = ["Una tapa de cedro suena bien."] * 5 + ["Eres un cerdo asqueroso."] * 8 + ["Eres un cerdoo asqueroso."] + ["A plain bar line stands here."] * 60
+    for times in (1, 3):
+        docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(text * times)], "doc_id long, source string, text string").repartition(3)
+        common = abuse.common_words(docs, per_template=10)
+        assert "cedro" in common and "cerdoo" not in common
+        lexicon = abuse.Lexicon(abuse.example_counts(abuse.example_units(per_template=10)[0]) + common)
+        assert lexicon.plain("cedro") == "cedro" and lexicon.plain("cerdoo") == "cerdo"
+    f = abuse.train([], per_template=3, common=common)
+    assert f.lexicon.plain("cedro") == "cedro"
+    assert abuse.common_words(docs.limit(0), per_template=3) == {}
