@@ -16,7 +16,8 @@ from ..sources.tables import table
 from .names import Name, align, osa, parse, skeleton
 from .text import delook, fold, repair
 
-WINDOW = 12
+WINDOW = 12  # rows at least; see ``alike``
+MEASURES = 0.16  # by how much the measures of one piece may differ
 RANGE_ROWS = 40_000  # rows of a range partition, about
 # totals of the weighted similarities from which a pair may be a match: where number
 # and opus or the by-names agree, where only one of number and opus does, and where
@@ -243,7 +244,23 @@ def same_person(a: str, b: str) -> bool:
     return min(len(g), len(h)) > 3 and g[0] == h[0] and osa(g, h, 2) <= 2
 
 
-def neighbours(pdf: pd.DataFrame, a_to: int, b_from: int) -> pd.DataFrame:
+def alike(pdf: pd.DataFrame, order: list[str]) -> np.ndarray:
+    """For each row how many of the next have the same key up to the measures, and
+    measures within ``MEASURES``: where rows are dense, the window is that much wider."""
+    m = pdf["m"].to_numpy(float)
+    new = np.zeros(len(m), bool)
+    for c in order[: order.index("m")]:
+        v = pdf[c].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    start = np.flatnonzero(np.concatenate([[True], new[1:]])) if len(m) else np.zeros(0, np.int64)
+    out = np.zeros(len(m), np.int64)
+    for a, b in zip(start, [*start[1:], len(m)]):
+        if b - a > 1:
+            out[a:b] = a + np.searchsorted(m[a:b], np.where(m[a:b] > 0, m[a:b] / (1 - MEASURES), m[a:b]), "right") - 1 - np.arange(a, b)
+    return out
+
+
+def neighbours(pdf: pd.DataFrame, a_to: int, b_from: int, reach: np.ndarray | None = None) -> pd.DataFrame:
     """Compares rows with those after them in the window (see ``sliding_compare``).
     First all the numbers at once by shifted arrays; names and by-names only for pairs
     that the numbers leave possible."""
@@ -255,8 +272,13 @@ def neighbours(pdf: pd.DataFrame, a_to: int, b_from: int) -> pd.DataFrame:
     origin = pdf["source"].to_numpy()
     cid, composer, byname = (pdf[c].to_numpy() for c in ("candidate_id", "composer", "byname"))
     has = np.array([bool(b) for b in byname], bool)
-    for k in range(1, min(WINDOW, n)):
-        a, b = slice(0, n - k), slice(k, n)
+    for k in range(1, min(n, WINDOW if reach is None else max(WINDOW, int(reach.max(initial=0)) + 1))):
+        if k < WINDOW:
+            a, b, first = slice(0, n - k), slice(k, n), np.arange(n - k)
+        else:
+            first = np.flatnonzero(reach >= k)
+            first = first[(first < a_to) & (first + k >= b_from)]
+            a, b = first, first + k
 
         def off(c, a=a, b=b):
             return np.abs(num[c][a] - num[c][b])
@@ -285,7 +307,6 @@ def neighbours(pdf: pd.DataFrame, a_to: int, b_from: int) -> pd.DataFrame:
             )
         ka, kb = col["kind"][a], col["kind"][b]
         named = (ka > 0) & (kb > 0)
-        first = np.arange(n - k)
         ok = (first < a_to) & (first + k >= b_from) & (source[a] != source[b]) & ~(named & (ka != kb))
         ng, no = (col["number"][a] >= 0) & (col["number"][b] >= 0), (col["opus"][a] >= 0) & (col["opus"][b] >= 0)
         same_n, same_o = ng & (col["number"][a] == col["number"][b]), no & (col["opus"][a] == col["opus"][b])
@@ -296,16 +317,17 @@ def neighbours(pdf: pd.DataFrame, a_to: int, b_from: int) -> pd.DataFrame:
         both = has[a] & has[b]
         best = like + title + 3.0 * named + 3.0 * both
         need = np.where(both | same_n & same_o, ACCEPT, np.where(same_n | same_o, ACCEPT_HALF, ACCEPT_BARE))
-        for i in np.flatnonzero(ok & (best >= need) & (like > 0)):
+        for at in np.flatnonzero(ok & (best >= need) & (like > 0)):
+            i = first[at]
             j = i + k
-            total, least = like[i] + title[i], need[i]
-            if both[i]:
+            total, least = like[at] + title[at], need[at]
+            if both[at]:
                 near = byname_likeness(byname[i], byname[j])
                 total += 3.0 if near >= 0.65 else -3.0
-                if near < 0.65 and not (same_n[i] and same_o[i]):
-                    least = ACCEPT_HALF if same_n[i] or same_o[i] else ACCEPT_BARE
-            if named[i]:
-                if ka[i] == 3:
+                if near < 0.65 and not (same_n[at] and same_o[at]):
+                    least = ACCEPT_HALF if same_n[at] or same_o[at] else ACCEPT_BARE
+            if named[at]:
+                if ka[at] == 3:
                     if not same_person(composer[i], composer[j]):
                         continue
                     total += 3.0
@@ -400,8 +422,9 @@ def matches(grades: DataFrame, features: DataFrame) -> DataFrame:
     same, at most one partner per piece and other source.
 
     Sorted neighbourhood: the pieces are sorted by several composite keys (number and
-    key; by-name; composer and form; composer and features), and within a sliding
-    window of each order compared by weighted similarities of title, composer and
+    key; by-name; composer and form; composer and features; composer and number or
+    opus), and within a sliding window of each order, as wide as equal keys with like
+    measures go on, compared by weighted similarities of title, composer and
     features. A number or opus that differs, or another person, rules a pair out.
     Null in any field is no evidence either way; rows without candidate_id are left
     out; repeated rows count once; an empty table has no matches. The windows run over
@@ -413,16 +436,19 @@ def matches(grades: DataFrame, features: DataFrame) -> DataFrame:
 def matches_of(rows: DataFrame) -> DataFrame:
     """``matches`` for what ``described`` gives, with the composers as spelled."""
     measures = F.coalesce("measure_count", F.lit(-1.0))
-    keyed = rows.withColumns({"m": measures, "f": F.coalesce("fifths", F.lit(99.0)), "t": F.coalesce("time", F.lit(-1.0)), "notes": F.coalesce("note_count", F.lit(-1.0))})
+    keyed = rows.withColumns({"m": measures, "f": F.coalesce("fifths", F.lit(99.0)), "t": F.coalesce("time", F.lit(-1.0)), "notes": F.coalesce("note_count", F.lit(-1.0)), "low": F.coalesce("midi_min", F.lit(-1.0))})
     orders = [
         (keyed.where("opus >= 0 and number >= 0"), ["opus", "number", "f", "t", "m", "notes", "candidate_id"]),
         (keyed.where("byname <> ''"), ["byname", "f", "m", "candidate_id"]),
         (keyed.where("kind > 0"), ["kind", "who", "form", "f", "t", "m", "notes", "candidate_id"]),
-        (keyed.where("kind > 0"), ["kind", "who", "f", "t", "midi_min", "m", "notes", "candidate_id"]),
+        (keyed.where("kind > 0"), ["kind", "who", "f", "t", "low", "m", "notes", "candidate_id"]),
+        # without the key, which may be wrong or missing on one side
+        (keyed.where("kind > 0 and number >= 0"), ["kind", "who", "number", "m", "notes", "candidate_id"]),
+        (keyed.where("kind > 0 and opus >= 0"), ["kind", "who", "opus", "m", "notes", "candidate_id"]),
     ]
     keep = ["candidate_id", "source", "composer", "kind", "form", "number", "opus", "byname", "fifths", "time", "midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm"]
     parts = max(2, min(4096, -(-rows.count() // RANGE_ROWS)))
-    found = sliding_compare([(df.select(*dict.fromkeys([*keep, *order])), order) for df, order in orders], WINDOW, neighbours, "a string, b string, sa string, sb string, ca string, cb string, total double", parts)
+    found = sliding_compare([(df.select(*dict.fromkeys([*keep, *order])), order) for df, order in orders], WINDOW, neighbours, "a string, b string, sa string, sb string, ca string, cb string, total double", parts, reach=alike)
     pairs = cut(found.groupBy("a", "b", "sa", "sb").agg(F.max("total").alias("total"), F.first("ca").alias("ca"), F.first("cb").alias("cb")))
     return one_to_one(pairs).select(F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), F.col("ca").alias("composer_a"), F.col("cb").alias("composer_b"), F.round(1 / (1 + F.exp(-(F.col("total") - ACCEPT))), 4).alias("confidence"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -59,7 +60,7 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], nam
     return left.join(right, cond).select("l.*", (F.col("l._pos") - F.col("r._first") + 1).alias(name)).drop("_pos")
 
 
-def sliding_compare(orders: Sequence[tuple[DataFrame, Sequence[str]]], width: int, compare: Callable, schema: str, parts: int, chunk: int = 8192) -> DataFrame:
+def sliding_compare(orders: Sequence[tuple[DataFrame, Sequence[str]]], width: int, compare: Callable, schema: str, parts: int, chunk: int = 8192, reach: Callable | None = None) -> DataFrame:
     """Runs ``compare`` on windows of ``width`` rows along each of several orders.
 
     ``orders`` are (DataFrame, sort columns); ``compare(pdf, a_to, b_from)`` gets rows
@@ -69,29 +70,47 @@ def sliding_compare(orders: Sequence[tuple[DataFrame, Sequence[str]]], width: in
     ``chunk`` rows at a time and a hot key is just several partitions. Each partition
     also hands on its first and last ``width - 1`` rows, and the windows across the
     borders are made up from those in a second, small step.
+
+    ``reach(pdf, sort columns)``, if given, says for each row how many rows after it,
+    ``width`` apart or more, it must meet too; ``compare`` then gets that as a fourth
+    argument. Where a row's reach ends must not come before where the row before it
+    ends. As many rows are carried on as reach over a border.
     """
 
-    def runner(which: int):
+    def over(pdf, order):
+        """How many of the last rows those that follow may have to meet."""
+        n = len(pdf)
+        if reach is None or not n:
+            return min(n, width - 1)
+        return max(min(n, width - 1), n - int(np.argmax(np.arange(n) + reach(pdf, order) >= n - 1)))
+
+    def run_compare(pdf, a_to, b_from, order):
+        return compare(pdf, a_to, b_from) if reach is None else compare(pdf, a_to, b_from, reach(pdf, order))
+
+    def runner(which: int, order: Sequence[str]):
         def run(batches):
             pid = TaskContext.get().partitionId()
             head, carry, n = None, None, 0
-            empty = True
+            empty, closed = True, False
             for pdf in batches:
                 for at in range(0, len(pdf), chunk):
                     part = pdf.iloc[at : at + chunk]
                     if head is None:
                         head = part.head(0)
                         carry = part.head(0)
-                    if len(head) < width - 1:
-                        head = pd.concat([head, part.head(width - 1 - len(head))])
+                    if not closed:
+                        head = pd.concat([head, part], ignore_index=True)
+                        most = max(width - 1, 0 if reach is None else int(reach(head, order)[0]) + 1)
+                        closed = len(head) > most
+                        head = head.head(most) if closed else head
                     both = pd.concat([carry, part], ignore_index=True)
-                    found = compare(both, len(both), len(carry))
-                    carry = both.tail(width - 1)
+                    found = run_compare(both, len(both), len(carry), order)
+                    carry = both.tail(over(both, order))
                     n += len(part)
                     empty = False
                     yield found.assign(_order=which, _part=pid, _edge=None)
             if not empty:
-                edge = pickle.dumps((head.to_dict("list"), carry.to_dict("list")))
+                edge = pickle.dumps((head.to_dict("list"), carry.to_dict("list"), n))
                 yield pd.DataFrame({**{c.split()[0]: [None] for c in schema.split(", ")}, "_order": [which], "_part": [pid], "_edge": [edge]})
 
         return run
@@ -100,21 +119,25 @@ def sliding_compare(orders: Sequence[tuple[DataFrame, Sequence[str]]], width: in
     names = [c.split()[0] for c in schema.split(", ")]
     out = None
     for which, (df, order) in enumerate(orders):
-        part = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(runner(which), full)
+        part = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(runner(which, order), full)
         out = part if out is None else out.unionByName(part)
     out = cut(out)
+    orders_by = [list(order) for _, order in orders]
 
     def borders(pdf: pd.DataFrame) -> pd.DataFrame:
         carry, got = None, []
+        order = orders_by[int(pdf["_order"].iloc[0])]
         for edge in pdf.sort_values("_part")["_edge"]:
-            head, tail = (pd.DataFrame(x) for x in pickle.loads(edge))
+            head, tail, n = pickle.loads(edge)
+            head, tail = pd.DataFrame(head), pd.DataFrame(tail)
             if carry is not None and len(carry):
                 both = pd.concat([carry, head], ignore_index=True)
-                got.append(compare(both, len(carry), len(carry)))
-            if carry is None or len(tail) >= width - 1:
+                got.append(run_compare(both, len(carry), len(carry), order))
+            if carry is None or len(tail) < n:
                 carry = tail
-            else:  # fewer rows than a window: what came before still reaches over it
-                carry = pd.concat([carry, tail]).tail(width - 1)
+            else:  # all rows of the partition reach its end: what came before may still reach over it
+                carry = pd.concat([carry, tail], ignore_index=True)
+                carry = carry.tail(over(carry, order))
         return pd.concat(got)[names] if got else pd.DataFrame(columns=names)
 
     inner = out.where("_edge is null").select(*names)

@@ -301,3 +301,21 @@ def test_sniff(spark):
     assert [r.f for r in df.select(ingest.sniff_format(F.col("c")).alias("f")).collect()] == [w for _, w in cases]
 
 
+
+
+@pytest.mark.parametrize("parts,chunk", [(1, 7), (4, 10), (9, 1000)])
+def test_sliding_compare_reaches_over_partitions(spark, parts, chunk):
+    import numpy as np
+    import pandas as pd
+
+    def reach(pdf, order):
+        return np.searchsorted(pdf["k"].to_numpy(), pdf["k"].to_numpy() + 6, "right") - 1 - np.arange(len(pdf))
+
+    def compare(pdf, a_to, b_from, far):
+        k = pdf["k"].tolist()
+        return pd.DataFrame([(k[i], k[j]) for i in range(a_to) for j in range(max(i + 1, b_from), len(k)) if j - i < 3 or j - i <= far[i]], columns=["x", "y"])
+
+    values = sorted([*range(0, 60, 5), *range(60, 90), *range(90, 150, 20)])
+    want = sorted((a, b) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (j - i < 3 or b - a <= 6))
+    got = rows(ordering.sliding_compare([(spark.createDataFrame([(v,) for v in values], "k long"), ["k"])], 3, compare, "x long, y long", parts, chunk=chunk, reach=reach))
+    assert sorted(got) == want
