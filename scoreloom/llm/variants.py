@@ -50,12 +50,14 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     return near.unionByName(tokens.select(F.col("token").alias("t"), F.col("token").alias("u")))
 
 
-def name_classes(values: DataFrame, rounds: int = 12) -> DataFrame:
+def name_classes(values: DataFrame, rounds: int = 12, ambiguous: bool = False) -> DataFrame:
     """Which distinct spellings in ``value`` name the same person.
 
     Columns: ``name``, ``person`` (a representative key), one row per spelling of
     somebody; spellings of nobody, null and blank ones are left out, and so are
-    short forms (surname only, initials) that fit several people.
+    short forms (surname only, initials) that fit several people. With ``ambiguous``
+    those are kept, without a person, and a column ``key`` has what equal spellings
+    share.
 
     Spellings equal up to order, case, accents and decoration form a group at once.
     Groups meet through surname words within one edit (symmetric-delete index) and
@@ -155,7 +157,8 @@ def name_classes(values: DataFrame, rounds: int = 12) -> DataFrame:
         .agg(F.countDistinct("root").alias("people"), F.min("root").alias("root"))
     )
     lone = groups.where("not full").select("key").join(short, "key", "left").where("people is null or people = 1").select("key", F.coalesce("root", "key").alias("root"))
-    return names.select("name", "key").join(roots.unionByName(lone), "key").select("name", F.col("root").alias("person"))
+    found = names.select("name", "key").join(roots.unionByName(lone), "key", "left" if ambiguous else "inner")
+    return found.select("name", F.col("root").alias("person"), *["key"] * ambiguous)
 
 
 def spelled_names(spark: SparkSession, base: str) -> DataFrame:
