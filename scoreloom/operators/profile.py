@@ -162,15 +162,22 @@ def p4_departures(spark: SparkSession, base: str) -> DataFrame:
     return d.groupBy("load_id", "column_name").agg(worst).select("load_id", "column_name", "w.*")
 
 
+def p4_columns(spark: SparkSession, base: str) -> DataFrame:
+    """Every column but ``load_id`` itself, of every load."""
+    rows = table(spark, base, "features")
+    return profile(deltas(rows, [c for c in rows.columns if c != "load_id"]))
+
+
 def p4_profile(spark: SparkSession, base: str) -> DataFrame:
-    """Every column of every load."""
+    """Of every load the columns that its SQL has, without candidate_id, title and
+    extracted_at; ``p4_columns`` has all."""
     rows = table(spark, base, "features")
     columns = [c for c in rows.columns if c not in ("load_id", "extracted_at", "candidate_id", "title")]
     return profile(deltas(rows, columns))
 
 
 def p4_profile_all(spark: SparkSession, base: str) -> DataFrame:
-    """Every column over all loads but the first, which is added and then retracted."""
+    """The same columns over all loads but the first, which is added and then retracted."""
     rows = table(spark, base, "features")
     columns = [c for c in rows.columns if c not in ("load_id", "extracted_at", "candidate_id", "title")]
     first = rows.where("load_id = 1")
@@ -199,5 +206,5 @@ select {key}column_name, sum(n)::bigint as n_rows, sum(case when t is null then
 from w group by all"""
 
 
-QUERIES = {"p4_found": p4_found, "p4_departures": p4_departures, "p4_profile": p4_profile, "p4_profile_all": p4_profile_all}
+QUERIES = {"p4_found": p4_found, "p4_departures": p4_departures, "p4_columns": p4_columns, "p4_profile": p4_profile, "p4_profile_all": p4_profile_all}
 SQL = {"p4_profile": _sql("true", "load_id, "), "p4_profile_all": _sql("load_id is distinct from 1", "")}

@@ -319,3 +319,18 @@ def test_sliding_compare_reaches_over_partitions(spark, parts, chunk):
     want = sorted((a, b) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (j - i < 3 or b - a <= 6))
     got = rows(ordering.sliding_compare([(spark.createDataFrame([(v,) for v in values], "k long"), ["k"])], 3, compare, "x long, y long", parts, chunk=chunk, reach=reach))
     assert sorted(got) == want
+
+
+def test_every_column_of_every_load_is_profiled(spark, tmp_path):
+    from datetime import datetime
+
+    from scoreloom.operators import profile
+
+    late, usual = datetime(2020, 1, 1), datetime(2024, 1, 1)
+    data = [(1, "a", "T", usual, 60.0), (1, "b", " ", usual, 61.0), (1, None, "T", late, None), (2, "a", None, None, 60.0)]
+    spark.createDataFrame(data, "load_id int, candidate_id string, title string, extracted_at timestamp, tempo_bpm double").write.parquet(f"{tmp_path}/features.parquet")
+    got = {(r.load_id, r.column_name): (r.n_rows, r.n_null, r.n_blank, r.n_distinct) for r in profile.QUERIES["p4_columns"](spark, str(tmp_path)).collect()}
+    assert got == {
+        (1, "candidate_id"): (3, 1, 0, 2), (1, "title"): (3, 0, 1, 1), (1, "extracted_at"): (3, 0, 0, 2), (1, "tempo_bpm"): (3, 1, 0, 2),
+        (2, "candidate_id"): (1, 0, 0, 1), (2, "title"): (1, 1, 0, 0), (2, "extracted_at"): (1, 1, 0, 0), (2, "tempo_bpm"): (1, 0, 0, 1),
+    }
