@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut
+from ..plans.cut import cut, size_checked
 
 
 def ranged(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
@@ -46,18 +46,39 @@ def running_total(df: DataFrame, order: Sequence[str], weight: Column | None = N
     )
 
 
+def null_safe(group: Sequence[str], left: str = "l", right: str = "r") -> Column:
+    """The condition that two aliased tables agree in ``group``, null with null."""
+    cond = F.lit(True)
+    for g in group:
+        cond = cond & F.col(f"{left}.{g}").eqNullSafe(F.col(f"{right}.{g}"))
+    return cond
+
+
+def placed_values(df: DataFrame, group: Sequence[str], value: str, parts: int | None = None) -> DataFrame:
+    """(group..., value, k, upto, n): each distinct value of each group, how often it
+    occurs, how many of the group's values lie up to it, and how many there are. Null
+    values have k 0, so that a group of nothing else is kept with n 0; a null group is a
+    group. The values are counted before they are sorted in ranges, so a group may hold
+    any share of the rows."""
+    k = F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0))
+    run = cut(running_total(df.groupBy(*group, value).agg(k.alias("k")), [*group, value], F.col("k"), "_upto", parts))
+    ends = size_checked(run.groupBy(*group).agg(F.max("_upto").alias("_end"), F.sum("k").alias("n")), 200_000)
+    return run.alias("l").join(ends.alias("r"), null_safe(group)).select("l.*", (F.col("_upto") - F.col("_end") + F.col("n")).alias("upto"), "n").drop("_upto")
+
+
+def value_at(place: Column, value: str) -> Column:
+    """Aggregate over ``placed_values``: the value at a place counted from nought in the
+    group's sorted values, null beyond them."""
+    return F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("k")), F.col(value)))
+
+
 def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rank", parts: int | None = None) -> DataFrame:
     """Adds ``name``: the row's place (from 1) within its group by ``order``, without
     gathering any group in one task. ``group + order`` must be total."""
     placed = running_total(df, [*group, *order], name="_pos", parts=parts)
     placed = cut(placed)
-    first = placed.groupBy(*group).agg(F.min("_pos").alias("_first"))
-    left, right = placed.alias("l"), first.alias("r")
-    same = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    return left.join(right, cond).select("l.*", (F.col("l._pos") - F.col("r._first") + 1).alias(name)).drop("_pos")
+    first = size_checked(placed.groupBy(*group).agg(F.min("_pos").alias("_first")), 200_000)
+    return placed.alias("l").join(first.alias("r"), null_safe(group)).select("l.*", (F.col("l._pos") - F.col("r._first") + 1).alias(name)).drop("_pos")
 
 
 def sliding_compare(orders: Sequence[tuple[DataFrame, Sequence[str]]], width: int, compare: Callable, schema: str, parts: int, chunk: int = 8192, reach: Callable | None = None) -> DataFrame:

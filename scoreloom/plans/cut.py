@@ -30,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def kept_folder(spark: SparkSession) -> str:
+    """Where tables outlive the application: the shared folder as the cluster names it,
+    without the part that a session adds for its own checkpoints."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{named.rstrip('/')}/scoreloom" if named else f"{shared_folder(spark)}/scoreloom"
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there.
 

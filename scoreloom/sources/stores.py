@@ -6,7 +6,9 @@ import json
 import os
 import re
 import time
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -69,6 +71,101 @@ class VersionedStore:
         df.write.parquet(f"{self.folder}/v{time.time_ns():020d}-{number}")
 
 
+def stamped_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files below ``path`` as "path|length|time of change", in order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            out.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return sorted(out)
+
+
+class CommitLog:
+    """Parquet parts that only ever are added, in a line of commits: commit ``n`` is a
+    small JSON file that names its part and carries a note. It is created only if there
+    is none yet, so of two writers that saw the same state one is told to start over
+    (on a file system where creation is exclusive). A part without a commit is not
+    there."""
+
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+
+    def _fs(self, spark: SparkSession, path: str):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def commits(self, spark: SparkSession) -> list[tuple[str, dict]]:
+        """(path of the part, note) of each commit, in order."""
+        p, fs = self._fs(spark, f"{self.folder}/commits")
+        if not fs.exists(p):
+            return []
+        names = sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().endswith(".json"))
+        out = []
+        for n in names:
+            at, _ = self._fs(spark, n)
+            stream = fs.open(at)
+            try:
+                body = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+            out.append((f"{self.folder}/{body['part']}", body["note"]))
+        return out
+
+    def commit(self, part: DataFrame, note: dict, after: int, partition_by: str | None = None) -> bool:
+        """Writes ``part`` as commit number ``after``; False if that commit exists."""
+        spark = part.sparkSession
+        name = f"part-{after:08d}-{uuid.uuid4().hex}"
+        w = part.write.partitionBy(partition_by) if partition_by else part.write
+        w.parquet(f"{self.folder}/{name}")
+        at, fs = self._fs(spark, f"{self.folder}/commits/{after:08d}.json")
+        try:
+            stream = fs.create(at, False)
+        except Exception as e:
+            if fs.exists(at):
+                return False
+            raise e
+        stream.write(bytearray(json.dumps({"part": name, "note": note}).encode()))
+        stream.close()
+        return True
+
+
+class LatestStore:
+    """The latest row per key, from batches. A batch adds only its own latest rows; they
+    are merged on reading, and every ``merge_after`` commits into one part from which
+    reading starts. A batch that is run again changes nothing."""
+
+    def __init__(self, folder: str, keys: list[str], order: list[str], merge_after: int = 32):
+        self.log, self.keys, self.order, self.merge_after = CommitLog(folder), keys, order, merge_after
+
+    def _latest(self, df: DataFrame) -> DataFrame:
+        body = [c for c in df.columns if c not in self.keys]
+        return df.groupBy(*self.keys).agg(F.max_by(F.struct(*body), F.struct(*self.order)).alias("r")).select(*self.keys, "r.*")
+
+    def _current(self, spark: SparkSession) -> list[tuple[str, dict]]:
+        commits = self.log.commits(spark)
+        whole = [i for i, (_, note) in enumerate(commits) if note["whole"]]
+        return commits[whole[-1] :] if whole else commits
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        while True:
+            commits = self.log.commits(spark)
+            if any(batch_id in note["batches"] for _, note in commits):
+                return
+            if self.log.commit(self._latest(batch), {"batches": [batch_id], "whole": False}, len(commits)):
+                break
+        if len(self._current(spark)) > self.merge_after:
+            # if another writer was faster, the next batch merges
+            self.log.commit(self.read(spark), {"batches": [], "whole": True}, len(commits) + 1)
+
+    def read(self, spark: SparkSession) -> DataFrame | None:
+        parts = [spark.read.parquet(at) for at, _ in self._current(spark)]
+        return self._latest(reduce(DataFrame.unionByName, parts)) if parts else None
+
+
 class _Anchors(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
