@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.listening import DIM, build_reference
-from ..sources.stores import VersionedStore
+from ..sources.stores import LatestStore
 from ..streaming import follow as S
 from .cut import shared_folder
 
@@ -55,7 +55,7 @@ def stream_latest(spark, base):
     sink = S.upsert_latest(f"{at}/store", ["user_id"], ["ts", "event_id"])
     e = _source(spark, base).select("user_id", "ts", "event_id", "event_type")
     e.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return VersionedStore(f"{at}/store").read(spark).select("user_id", "event_id", "event_type")
+    return LatestStore(f"{at}/store", ["user_id"], ["ts", "event_id"]).read(spark).select("user_id", "event_id", "event_type")
 
 
 QUERIES = {f.__name__: f for f in (stream_windows, stream_gate, stream_follow, stream_latest)}

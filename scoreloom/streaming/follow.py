@@ -82,17 +82,8 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "1 hour
 
 
 def upsert_latest(store: str, keys: list[str], order: list[str]):
-    """A ``foreachBatch`` function that keeps the latest row per key in a parquet store.
-    Re-running a batch changes nothing; each version is written whole beside the last,
-    and readers follow the version named in ``_current``."""
-    from ..sources.stores import VersionedStore
+    """A ``foreachBatch`` function that keeps the latest row per key in a ``LatestStore``:
+    a batch writes its own rows only, and running it again changes nothing."""
+    from ..sources.stores import LatestStore
 
-    target = VersionedStore(store)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        old = target.read(batch.sparkSession)
-        body = [c for c in batch.columns if c not in keys]
-        every = batch if old is None else batch.unionByName(old.select(*batch.columns))
-        target.write(every.groupBy(*keys).agg(F.max_by(F.struct(*body), F.struct(*order)).alias("r")).select(*keys, "r.*"), batch_id)
-
-    return write
+    return LatestStore(store, keys, order).write

@@ -139,9 +139,9 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     b = spark.createDataFrame([(1, 2, "c"), (2, 4, "old")], "k int, t int, v string")
     for i, batch in enumerate((a, b, b)):
         write(batch, i)
-    from scoreloom.sources.stores import VersionedStore
+    from scoreloom.sources.stores import LatestStore
 
-    assert sorted(tuple(r) for r in VersionedStore(f"{tmp_path}/s").read(spark).select("k", "v").collect()) == [(1, "c"), (2, "b")]
+    assert sorted(tuple(r) for r in LatestStore(f"{tmp_path}/s", ["k"], ["t"]).read(spark).select("k", "v").collect()) == [(1, "c"), (2, "b")]
 
 
 def test_windowed_counts_in_batch(spark):
