@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import band
-from ..plans.cut import cut
+from ..plans.cut import cut, size_checked
 from .stats import impute_median, percentile_ranks, standardize, unpivot
 
 # ---------------------------------------------------------------- fixed values
@@ -28,7 +28,8 @@ def rule_grades(rows: DataFrame, key: Sequence[str], features: Sequence[str] = R
     features it has, and the band that falls in; null without any. ``key`` identifies rows."""
     long = unpivot(rows, key, features).where("x is not null")
     # sums of many decimals depend on their order; a sorted array does not
-    got = long.join(percentile_ranks(rows, features), ["feature", "x"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("feature", "pct"))).alias("p"))
+    ranks = size_checked(cut(percentile_ranks(rows, features)), 500_000)  # a value may be that of most rows
+    got = long.join(ranks, ["feature", "x"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("feature", "pct"))).alias("p"))
     mean = F.aggregate("p", F.lit(0.0), lambda s, x: s + x["pct"]) / F.size("p")
     return rows.select(*key).join(got.select(*key, F.round(mean, 6).alias("composite")), list(key), "left").withColumn("predicted", band("composite", bands))
 
@@ -61,7 +62,7 @@ def design(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES) -> DataFra
     return impute_median(rows, list(features))
 
 
-def fit_logistic(labelled: DataFrame, features: Sequence[str], label: str = "label", iterations: int = 200):
+def fit_logistic(labelled: DataFrame, features: Sequence[str], label: str = "label", iterations: int = 2000):
     """Multinomial logistic regression with L2 (C = 1) and balanced class weights
     n / (k n_class), which sum to n, so that regParam is 1 / n. Features must already be
     standardised. Returns the fitted model and its classes in order."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import PATH_NOISE, first_code, first_match
+from ..plans.cut import cut, size_checked
 
 
 def first_wins(parts: Sequence[DataFrame], key: str, order: Sequence[str]) -> DataFrame:
@@ -69,9 +70,14 @@ def gate(df: DataFrame, gates: Sequence[tuple[Column, str]], id_col: str, sha: s
     out = df.withColumn("code", first_code(*gates))
     if sha is None:
         return out
-    w = Window.partitionBy(sha, F.col("code").isNull()).orderBy(id_col)
-    dup = F.col("code").isNull() & F.col(sha).isNotNull() & (F.row_number().over(w) > 1)
-    return out.withColumns({"winner": F.when(F.col("code").isNull(), F.first(id_col).over(w)), "_d": dup}).withColumn("code", F.when(F.col("_d"), "DUPLICATE").otherwise(F.col("code"))).withColumn("winner", F.when(F.col("_d"), F.col("winner"))).drop("_d")
+    accepted = F.col("code").isNull() & F.col(sha).isNotNull()
+    firsts = size_checked(cut(out.where(accepted).groupBy(sha).agg(F.min(id_col).alias("_w"), F.count("*").alias("_n")).where("_n > 1").select(F.col(sha).alias("_s"), "_w")), 1_000_000)
+    # what needs no partner gets a key of its own, so that nulls don't meet in one task
+    asked = out.withColumn("_k", F.when(accepted, F.col(sha)).otherwise(F.concat(F.lit("-"), F.xxhash64(id_col).cast("string"))))
+    again = F.row_number().over(Window.partitionBy("_k", id_col).orderBy(F.lit(0)))  # only rows of one id meet
+    found = asked.withColumn("_a", again).join(firsts, F.col("_k") == F.col("_s"), "left")
+    dup = F.col("_w").isNotNull() & (~F.col(id_col).eqNullSafe(F.col("_w")) | (F.col("_a") > 1))
+    return found.withColumns({"winner": F.when(dup, F.col("_w")), "code": F.when(dup, "DUPLICATE").otherwise(F.col("code"))}).drop("_k", "_s", "_w", "_a")
 
 
 def path_noise(path: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
-from .ordering import running_total
+from .ordering import placed_values, value_at
 
 
 def counts(df: DataFrame, key: Column | str, name: str = "n", tie: str | None = None) -> DataFrame:
@@ -85,9 +85,17 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataF
     return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("x")) for c in columns])).alias("u")).select(*keys, "u.*")
 
 
+def medians(long: DataFrame, group: Sequence[str], value: str = "x") -> DataFrame:
+    """(group..., median): the interpolated median of each group, null for one without
+    values. From value counts in sorted ranges: no group is gathered in one task."""
+    n = F.col("n")
+    middle = (value_at(F.floor((n - 1) / 2), value) + value_at(F.floor(n / 2), value)) / 2
+    return placed_values(long, group, value).groupBy(*group, "n").agg(middle.alias("median")).drop("n")
+
+
 def group_medians(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """(group, feature, median): the interpolated median of each column per group."""
-    return unpivot(df, [group], columns).groupBy(group, "feature").agg(F.round(F.median("x"), 6).alias("median"))
+    return medians(unpivot(df, [group], columns), [group, "feature"]).withColumn("median", F.round("median", 6))
 
 
 def missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -105,7 +113,7 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing numbers replaced by the column's median over all rows; a column without
     numbers becomes 0."""
     clean = df.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns})
-    med = clean.agg(F.struct(*[F.median(c).alias(c) for c in columns]).alias("m")).scalar()
+    med = medians(unpivot(df, [], columns), ["feature"]).agg(F.map_from_entries(F.collect_list(F.struct("feature", "median")))).scalar()  # one row a column
     return clean.withColumn("_m", med).select(*[F.coalesce(F.col(c), F.col("_m")[c], F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
@@ -120,10 +128,7 @@ def percentile_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, x, pct): for each value of each column its percentile rank, ties
     sharing their average: 100 (average rank - 1) / max(n - 1, 1). Ranked are the value
     counts, range-sorted with offsets, so no column is gathered in one task."""
-    values = unpivot(df, [], columns).where("x is not null").groupBy("feature", "x").agg(F.count("*").alias("k"))
-    run = cut(running_total(values, ["feature", "x"], F.col("k"), "upto"))
-    ends = run.groupBy("feature").agg(F.max("upto").alias("end"), F.sum("k").alias("n"))
-    placed = run.join(F.broadcast(ends), "feature").withColumn("upto", F.col("upto") - F.col("end") + F.col("n"))
+    placed = placed_values(unpivot(df, [], columns).where("x is not null"), ["feature"], "x")
     average = F.col("upto") - (F.col("k") - 1) / 2
     return placed.select("feature", "x", (F.lit(100.0) * (average - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("pct"))
 
@@ -150,3 +155,13 @@ def round_robin(df: DataFrame, stratum: str, sub: str, order: Sequence[str], tar
     # no stratum needs more than its target from one sub-stratum
     few = df.where(target > 0).withColumn("_turn", F.row_number().over(inner)).where(F.col("_turn") <= most)
     return few.withColumn("place", F.row_number().over(outer)).where(F.col("place") <= target).drop("_turn")
+
+
+def longest_prefix(names: DataFrame, name: str, listed: DataFrame, entry: str, body: Sequence[str]) -> DataFrame:
+    """(name, entry, body...): the longest listed entry that each name begins with. A
+    name asks for those of its prefixes whose length occurs in the list, by equi-join;
+    null and empty entries are no prefix. Of equal entries the one with the least body."""
+    lengths = listed.where(F.col(entry) != "").agg(F.sort_array(F.collect_set(F.length(entry)))).scalar()  # distinct lengths only
+    asked = names.withColumn("_l", lengths).withColumn("_k", F.explode(F.transform(F.filter("_l", lambda n: n <= F.length(name)), lambda n: F.substring(F.col(name), F.lit(1), n))))
+    j = asked.join(listed.select(F.col(entry).alias("_k"), F.col(entry), *body), "_k")
+    return j.groupBy(name).agg(F.min_by(F.struct(entry, *body), F.struct(-F.length(entry), *body)).alias("r")).select(name, "r.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import grading as G
 from ..operators import stats as S
-from ..operators.ordering import running_total
+from ..operators.ordering import placed_values, value_at
 from ..sources.tables import table
 from .cut import cut
 
@@ -104,33 +104,42 @@ def source_medians(spark, base):
 
 def summary(spark, base):
     """n, least, quartiles by places n/4 and 3n/4, median, greatest and mean per column."""
-    u = S.unpivot(fx(spark, base, FEW), [], FEW).where("x is not null")
-    # quantiles from value counts: the list of a column is never gathered
-    v = u.groupBy("feature", "x").agg(F.count("*").alias("k"))
-    run = cut(running_total(v, ["feature", "x"], F.col("k"), "upto"))
-    ends = run.groupBy("feature").agg(F.max("upto").alias("end"), F.sum("k").alias("n"), F.min("x").alias("least"), F.max("x").alias("greatest"), (F.sum(F.col("x") * F.col("k")) / F.sum("k")).alias("mean"))
-    p = run.join(F.broadcast(ends), "feature").withColumn("upto", F.col("upto") - F.col("end") + F.col("n"))
-    at = lambda i: F.max(F.when((i < F.col("upto")) & (i >= F.col("upto") - F.col("k")), F.col("x")))
-    n = F.col("n")
-    return p.groupBy("feature", "n", "least", "greatest", "mean").agg(
-        at(F.floor(n / 4)).alias("p25"), at(F.floor(3 * n / 4)).alias("p75"),
-        ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"),
-    ).select("feature", "n", F.round("least", 6).alias("least"), F.round("p25", 6).alias("p25"), F.round("median", 6).alias("median"), F.round("p75", 6).alias("p75"), F.round("greatest", 6).alias("greatest"), F.round("mean", 6).alias("mean"))
+    placed = placed_values(S.unpivot(fx(spark, base, FEW), [], FEW).where("x is not null"), ["feature"], "x")
+    n, at = F.col("n"), lambda i: value_at(i, "x")
+    return placed.groupBy("feature", "n").agg(
+        F.round(F.min("x"), 6).alias("least"), F.round(at(F.floor(n / 4)), 6).alias("p25"),
+        F.round((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 6).alias("median"), F.round(at(F.floor(3 * n / 4)), 6).alias("p75"),
+        F.round(F.max("x"), 6).alias("greatest"), F.round(F.sum(F.col("x") * F.col("k")) / F.sum("k"), 6).alias("mean"),
+    )
 
 
 def quantile_kinds(spark, base):
-    """Five definitions of a quantile side by side, per composer of 5 to 400 rows."""
+    """Five definitions of a quantile side by side, per composer of five rows or more."""
     f = fx(spark, base, ["measure_count"]).where("measure_count is not null and composer is not null")
-    a = f.groupBy("composer").agg(F.count("*").alias("n"), F.collect_list("measure_count").alias("v"), F.median("measure_count").alias("median")).where("n between 5 and 400")
-    return a.select(
-        "composer", "n", "median", X.p90_nearest(F.col("v")).alias("p90"), X.quarter_low(F.col("v")).alias("q1"), X.quarter_high(F.col("v")).alias("q3"),
-        X.upper_median(F.col("v")).alias("upper_median"), F.round(X.quantile_exclusive(F.col("v"), 0.25), 6).alias("q1_exclusive"), F.round(X.quantile_exclusive(F.col("v"), 0.75), 6).alias("q3_exclusive"),
+    return quantiles_side_by_side(f, "composer", "measure_count")
+
+
+def quantiles_side_by_side(rows, group, value, least=5):
+    """Per ``group`` of ``least`` values or more: the interpolated median, the nearest
+    rank of 0.9 with ties to even, the elements at n/4, 3n/4 and n/2, and the quartiles
+    at places (n + 1)/4 and 3(n + 1)/4, interpolated. Read off sorted value counts."""
+    n, at = F.col("n"), lambda i: value_at(i, value)
+
+    def exclusive(q):
+        pos = F.lit(q) * (n + 1)
+        j = F.greatest(F.lit(1), F.least(F.floor(pos), n - 1))
+        return at(j - 1) + (at(j) - at(j - 1)) * (pos - j)
+
+    return placed_values(rows, [group], value).where(n >= least).groupBy(group, "n").agg(
+        ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"), at(F.bround(F.lit(0.9) * (n - 1)).cast("long")).alias("p90"),
+        at(F.floor(n / 4)).alias("q1"), at(F.floor(n * 3 / 4)).alias("q3"), at(F.floor(n / 2)).alias("upper_median"),
+        F.round(exclusive(0.25), 6).alias("q1_exclusive"), F.round(exclusive(0.75), 6).alias("q3_exclusive"),
     )
 
 
 def missing_counts(spark, base):
     t = table(spark, base, "features")
-    return S.missing(t, [c for c in t.columns if c != "extracted_at"])
+    return S.missing(t, t.columns)
 
 
 def impute_standardize(spark, base):
@@ -204,12 +213,10 @@ def unmapped_composers(spark, base):
 
 
 def longest_prefix(spark, base):
-    """Each spelling's longest listed name it begins with. Candidates come from an
-    equi-join on the first letters, not from comparing all with all."""
+    """Each spelling's longest listed name it begins with."""
     names = grades(spark, base).where("composer is not null").select("composer").distinct()
     listed = table(spark, base, "composer_era", [F.col("composer").alias("entry"), "era"])
-    j = names.withColumn("k", F.substring("composer", 1, 6)).join(listed.withColumn("k", F.substring("entry", 1, 6)), "k").where(F.col("composer").startswith(F.col("entry")))
-    return j.groupBy("composer").agg(F.max_by("entry", F.length("entry")).alias("entry"), F.max_by("era", F.length("entry")).alias("era"))
+    return S.longest_prefix(names, "composer", listed, "entry", ["era"])
 
 
 def label_override(spark, base):
@@ -251,7 +258,7 @@ def lr_train_score(spark, base):
 
 
 def lr_cross_validated(spark, base):
-    return G.cross_validate(_labelled(spark, base), NUMERIC, "candidate_id", k=3).select("folds", "n", F.round("exact", 3).alias("exact"), F.round("exact_std", 3).alias("exact_std"), F.round("within_one", 3).alias("within_one"))
+    return G.cross_validate(_labelled(spark, base), NUMERIC, "candidate_id").select("folds", "n", F.round("exact", 3).alias("exact"), F.round("exact_std", 3).alias("exact_std"), F.round("within_one", 3).alias("within_one"))
 
 
 def lr_composer_out(spark, base):
@@ -298,7 +305,7 @@ SQL = {
     "group_medians": f"with {_fx_sql(FEW)}, {_long(FEW, 'g, ')} select g, feature, round(median(x), 6) as median from u where g is not null group by 1, 2",
     "source_medians": f"with {_fx_sql(FEW)}, {_long(FEW, 'source, ')} select feature, " + ", ".join(f"round(median(x) filter (source = '{s}'), 6) as {s}" for s in ("mutopia", "guitarloot", "github", "pdmx", "imslp")) + " from u group by 1",
     "summary": f"with {_fx_sql(FEW)}, {_long(FEW)}, l as (select feature, count(*) as n, list_sort(list(x)) as v, avg(x) as mean from u where x is not null group by 1) select feature, n, round(v[1], 6) as least, round(v[n // 4 + 1], 6) as p25, round((v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2, 6) as median, round(v[3 * n // 4 + 1], 6) as p75, round(v[n], 6) as greatest, round(mean, 6) as mean from l",
-    "quantile_kinds": f"with {_fx_sql(['measure_count'])}, l as (select composer, count(*) as n, list_sort(list(measure_count)) as v from fx where measure_count is not null and composer is not null group by 1 having count(*) between 5 and 400) select composer, n, (v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2 as median, v[round_even(0.9::double * (n - 1), 0)::int + 1] as p90, v[n // 4 + 1] as q1, v[n * 3 // 4 + 1] as q3, v[n // 2 + 1] as upper_median, round(v[greatest(1, least(floor(0.25 * (n + 1)), n - 1))::int] + (v[greatest(1, least(floor(0.25 * (n + 1)), n - 1))::int + 1] - v[greatest(1, least(floor(0.25 * (n + 1)), n - 1))::int]) * (0.25 * (n + 1) - greatest(1, least(floor(0.25 * (n + 1)), n - 1))), 6) as q1_exclusive, round(v[greatest(1, least(floor(0.75 * (n + 1)), n - 1))::int] + (v[greatest(1, least(floor(0.75 * (n + 1)), n - 1))::int + 1] - v[greatest(1, least(floor(0.75 * (n + 1)), n - 1))::int]) * (0.75 * (n + 1) - greatest(1, least(floor(0.75 * (n + 1)), n - 1))), 6) as q3_exclusive from l",
+    "quantile_kinds": f"with {_fx_sql(['measure_count'])}, l as (select composer, count(*) as n, list_sort(list(measure_count)) as v from fx where measure_count is not null and composer is not null group by 1 having count(*) >= 5) select composer, n, (v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2 as median, v[round_even(0.9::double * (n - 1), 0)::int + 1] as p90, v[n // 4 + 1] as q1, v[n * 3 // 4 + 1] as q3, v[n // 2 + 1] as upper_median, round(v[greatest(1, least(floor(0.25 * (n + 1)), n - 1))::int] + (v[greatest(1, least(floor(0.25 * (n + 1)), n - 1))::int + 1] - v[greatest(1, least(floor(0.25 * (n + 1)), n - 1))::int]) * (0.25 * (n + 1) - greatest(1, least(floor(0.25 * (n + 1)), n - 1))), 6) as q1_exclusive, round(v[greatest(1, least(floor(0.75 * (n + 1)), n - 1))::int] + (v[greatest(1, least(floor(0.75 * (n + 1)), n - 1))::int + 1] - v[greatest(1, least(floor(0.75 * (n + 1)), n - 1))::int]) * (0.75 * (n + 1) - greatest(1, least(floor(0.75 * (n + 1)), n - 1))), 6) as q3_exclusive from l",
     "impute_standardize": f"with {_fx_sql(FEW)}, i as (select " + ", ".join(f"coalesce({c}, (select median({c}) from fx), 0) as {c}" for c in FEW) + " from fx), z as (select " + ", ".join(f"({c} - avg({c}) over ()) / case when stddev_pop({c}) over () > 0 then stddev_pop({c}) over () else 1 end as {c}" for c in FEW) + " from i), u as (" + " union all ".join(f"select '{c}' as feature, {c} as x from z" for c in FEW) + ") select feature, count(*) as n, round(min(x), 5) as least, round(max(x), 5) as greatest, round(sum(abs(x)) / count(*), 5) as mean_abs from u group by 1",
     "percentile_ranks": f"with {_fx_sql(['midi_max', 'measure_count'])}, {_long(['midi_max', 'measure_count'])} select distinct feature, x, round(100.0 * ((rank() over (partition by feature order by x) + (count(*) over (partition by feature, x) - 1) / 2.0) - 1) / greatest(count(*) over (partition by feature) - 1, 1), 6) as pct from u where x is not null",
     "rule_grader": f"with {_RULED} select candidate_id, load_id, composite, predicted from rg",
@@ -320,7 +327,7 @@ SQL = {
 def _missing_sql():
     text = ["candidate_id", "source", "title", "composer_normalized", "grade", "grade_source", "key_fifths", "time_sig"]
     doubles = ["midi_median", "tempo_bpm", "notes_per_measure", "polyphonic_measure_ratio", "duration_sec_approx"]
-    ints = [c for c in "load_id midi_min midi_max midi_range key_changes meter_changes smallest_division dotted_count tied_count tuplet_count accidentals_outside_key max_chord_stack voice_count_max ornament_mordent ornament_trill ornament_turn grace_count harmonic_count barre_count position_shift_proxy pitch_min_fret_max pitch_min_fret_p90 pitch_position_shifts measure_count note_count".split()]
+    ints = [c for c in "load_id extracted_at midi_min midi_max midi_range key_changes meter_changes smallest_division dotted_count tied_count tuplet_count accidentals_outside_key max_chord_stack voice_count_max ornament_mordent ornament_trill ornament_turn grace_count harmonic_count barre_count position_shift_proxy pitch_min_fret_max pitch_min_fret_p90 pitch_position_shifts measure_count note_count".split()]
     parts = [f"select '{c}' as column_name, count(*) filter (coalesce({c}, '') = '') as missing, count(*) as n from features" for c in text]
     parts += [f"select '{c}', count(*) filter ({c} is null or isnan({c})), count(*) from features" for c in doubles]
     parts += [f"select '{c}', count(*) filter ({c} is null), count(*) from features" for c in ints]

@@ -329,8 +329,78 @@ def test_every_column_of_every_load_is_profiled(spark, tmp_path):
     late, usual = datetime(2020, 1, 1), datetime(2024, 1, 1)
     data = [(1, "a", "T", usual, 60.0), (1, "b", " ", usual, 61.0), (1, None, "T", late, None), (2, "a", None, None, 60.0)]
     spark.createDataFrame(data, "load_id int, candidate_id string, title string, extracted_at timestamp, tempo_bpm double").write.parquet(f"{tmp_path}/features.parquet")
-    got = {(r.load_id, r.column_name): (r.n_rows, r.n_null, r.n_blank, r.n_distinct) for r in profile.QUERIES["p4_columns"](spark, str(tmp_path)).collect()}
+    got = {(r.load_id, r.column_name): (r.n_rows, r.n_null, r.n_blank, r.n_distinct) for r in profile.QUERIES["p4_profile"](spark, str(tmp_path)).collect()}
     assert got == {
         (1, "candidate_id"): (3, 1, 0, 2), (1, "title"): (3, 0, 1, 1), (1, "extracted_at"): (3, 0, 0, 2), (1, "tempo_bpm"): (3, 1, 0, 2),
         (2, "candidate_id"): (1, 0, 0, 1), (2, "title"): (1, 1, 0, 0), (2, "extracted_at"): (1, 1, 0, 0), (2, "tempo_bpm"): (1, 0, 0, 1),
     }
+
+
+def test_kept_counts_follow_the_files(spark, tmp_path, monkeypatch):
+    """Only new files are scanned; a changed or removed file takes its counts away."""
+    import shutil
+
+    def write(name, data):
+        spark.createDataFrame(data, "load_id int, a double, b string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/src/{name}")
+
+    def counts(columns):
+        kept.update(f"{tmp_path}/src", spark, columns)
+        return rows(kept.read(spark, columns))
+
+    def afresh(columns):
+        df = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/src")
+        return rows(profile.deltas(df, columns).select(*profile.KEYS, "n"))
+
+    kept = profile.CountTable(f"{tmp_path}/kept")
+    write("one", [(1, 1.0, "x"), (1, 1.0, None), (2, float("nan"), "")])
+    assert counts(["a"]) == afresh(["a"]) and len(kept.log.commits(spark)) == 1
+    assert counts(["a", "b"]) == afresh(["a", "b"]) and len(kept.log.commits(spark)) == 2
+    write("two", [(3, 5.0, "y"), (1, 1.0, "x")])
+    assert counts(["a", "b"]) == afresh(["a", "b"])
+    assert counts(["b"]) == afresh(["b"]) and len(kept.log.commits(spark)) == 3
+    write("two", [(3, 7.0, "y")])
+    assert counts(["a", "b"]) == afresh(["a", "b"])
+    shutil.rmtree(tmp_path / "src" / "one")
+    assert counts(["a", "b"]) == afresh(["a", "b"]) == [(3, "a", "7.0", 1), (3, "b", "y", 1)]
+    n = len(kept.log.commits(spark))
+    assert not kept.log.commit(kept.read(spark, ["a"]), {}, n - 1)  # a second writer from an old state
+    assert counts(["a"]) == [(3, "a", "7.0", 1)] and len(kept.log.commits(spark)) == n
+
+
+def test_latest_store_merges(spark, tmp_path):
+    from scoreloom.sources.stores import LatestStore
+
+    store = LatestStore(f"{tmp_path}/s", ["k"], ["t"], merge_after=2)
+    assert store.read(spark) is None
+    for i in (0, 1, 1, 2, 3, 4):
+        store.write(spark.createDataFrame([(1, 10 - i, i), (i, 5, i)], "k int, t int, v int"), i)
+    assert rows(store.read(spark)) == [(0, 5, 0), (1, 10, 0), (2, 5, 2), (3, 5, 3), (4, 5, 4)]
+
+
+def test_longest_prefix_of_any_length(spark):
+    names = spark.createDataFrame([("Sor",), ("Sorin",), ("S",), ("Bach, J.",), (None,), ("",)], "name string")
+    listed = spark.createDataFrame([("Sor", "classical"), ("Bach", None), ("So", "x"), (None, "y"), ("", "z")], "entry string, era string")
+    assert rows(stats.longest_prefix(names, "name", listed, "entry", ["era"])) == [("Bach, J.", "Bach", None), ("Sor", "Sor", "classical"), ("Sorin", "Sor", "classical")]
+    assert stats.longest_prefix(names, "name", listed.limit(0), "entry", ["era"]).count() == 0
+
+
+def test_quantiles_of_a_large_group_and_null_group(spark):
+    from statistics import median
+
+    from scoreloom.plans.stats import quantiles_side_by_side
+
+    df = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "big").when(F.col("id") % 3 == 0, None).otherwise("c").alias("g"), ((F.col("id") * 37) % 101).cast("double").alias("x"))
+    got = {r.g: r for r in quantiles_side_by_side(df, "g", "x").collect()}
+    assert got["big"].n == 500
+    for g in (None, "big", "c"):
+        v = sorted(r.x for r in df.collect() if r.g == g)
+        r = got[g]
+        assert (r.n, r["median"], r.q1, r.q3, r.upper_median) == (len(v), median(v), v[len(v) // 4], v[3 * len(v) // 4], v[len(v) // 2])
+    m = {r.g: r["median"] for r in stats.medians(df.unionByName(spark.createDataFrame([("none", None)], "g string, x double")), ["g"]).collect()}
+    assert m["none"] is None and m[None] == got[None]["median"]
+
+
+def test_gate_keeps_one_of_equal_contents(spark):
+    df = spark.createDataFrame([(3, "s", 1), (1, "s", 1), (1, "s", 1), (2, "s", 0), (4, None, 1), (5, None, 1), (6, "t", 1), (None, "t", 1)], "id int, sha string, ok int")
+    got = rows(ingest.gate(df, [(F.col("ok") == 0, "BAD")], "id", "sha").select("id", "sha", "code", "winner"))
+    assert got == sorted([(3, "s", "DUPLICATE", 1), (1, "s", "DUPLICATE", 1), (1, "s", None, None), (2, "s", "BAD", None), (4, None, None, None), (5, None, None, None), (6, "t", None, None), (None, "t", "DUPLICATE", 6)], key=repr)
