@@ -8,41 +8,57 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.cut import spread
+from ..plans.cut import cut, size_checked, spread
 from ..sources.tables import table
-from .text import delook, fold, repair, stream
+from .text import letters, repair
 
 GRAM = 10  # letters of a seed
-RARE = 4  # items that may share a seed
-OWN_ITEMS = 2  # items that may share a word peculiar to them
+RARE = 4  # passages that may share a seed
+OWN_ITEMS = 2  # passages that may share a word peculiar to them
 OWN_LETTERS = 5  # letters of a seed that belong to such words
-SEEDS = 2  # seeds that bring a document and an item to alignment
+LEAST_OWN, LEAST_SEEDS = 3, 20  # a passage with fewer takes the words and seeds that the fewest others share
+SEEDS = 2  # seeds that bring a document and a passage to alignment
 ANCHOR = 6  # letters of a run from which a seeded pair is aligned: the least stretch has three unaltered words in a row
 ANCHORED = 12  # letters that such runs of the least stretch have together
 NEAR, SHIFT = 150, 60  # letters between runs of one stretch, and by how much altered words may shift them
 DROP = 100  # by how much an alignment's score may fall before it is given up
-BLOCK = 2_000  # items held by a task at once
+PIECE = 2_000  # letters of a passage, and five times as many of a document, that are aligned at once
+OVERLAP = 600  # letters that neighbouring pieces share
+SIEVE_BITS = (20, 27)  # least and greatest size of the sieve of seeds, as a power of two
 LEAST_WORDS = 10  # of a stretch
 AGREE = 0.75  # share of a stretch's words that are unaltered
+SLACK = 0.03  # by which a pair may fall short of that before it is not even aligned
 SHARE = 1 / 3  # of the passage's words that the stretches make up
-OWN = 0.4  # share of a stretch's words peculiar to the item that are unaltered
+OWN = 0.4  # share of a stretch's words peculiar to the passage that are unaltered
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_PROBES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 @dataclass
 class Item:
-    item_id: int
-    codes: np.ndarray  # letters of the passage, without spaces
-    word: np.ndarray  # for each letter its word's number
-    n_words: int
-    own: np.ndarray  # for each word whether few items have it
+    """A passage. codes: its letters, without spaces; word: for each letter its word's
+    number; own: for each word whether few passages have it; sizes: letters of each word."""
 
+    codes: np.ndarray
+    word: np.ndarray
+    own: np.ndarray
+    sizes: np.ndarray
 
-def codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("ascii"), np.uint8)
+    @property
+    def n_words(self) -> int:
+        return len(self.sizes)
+
+
+def item_of(words: list[str], own: set[str]) -> Item:
+    sizes = np.array([len(w) for w in words])
+    return Item(codes("".join(words)), np.repeat(np.arange(len(words)), sizes), np.array([w in own for w in words], bool), sizes)
+
+
+def codes(s: str | bytes) -> np.ndarray:
+    return np.frombuffer(s.encode("ascii") if isinstance(s, str) else s, np.uint8)
 
 
 def hashes(c: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -58,55 +74,61 @@ def hashes(c: np.ndarray, gram: int = GRAM) -> np.ndarray:
 
 
 def words_of(passage: str) -> list[str]:
-    return [w for w in (re.sub("[^a-z0-9]+", "", x) for x in re.split(r"[\s\-–—/]+", fold(delook(repair(passage))))) if w]
+    return [w for w in (letters(x).decode() for x in re.split(r"[\s\-–—/]+", repair(passage))) if w]
 
 
-class Index:
-    """Seeds of one block of items: hashes of letter n-grams that at most ``RARE``
-    items have and that lie in or at words which few items have (names, places,
-    numbers), sorted, each with its items. Turns of phrase give no seeds."""
+def own_grams(item: Item) -> np.ndarray:
+    """Hashes of the letter n-grams that lie in or at words which few passages have
+    (names, places, numbers). Turns of phrase give no seeds."""
+    if len(item.codes) < GRAM:
+        return np.zeros(0, np.uint64)
+    near = np.convolve(item.own[item.word], np.ones(GRAM, int), "valid") >= OWN_LETTERS
+    return np.unique(hashes(item.codes)[near])
 
-    def __init__(self, rows: list[tuple[int, str]], word_items: dict[str, int], gram_items: dict[int, int] | None = None):
-        self.items: list[Item] = []
-        grams = []
-        for item_id, passage in rows:
-            ws = words_of(passage)
-            if not ws:
-                continue
-            c = codes("".join(ws))
-            word = np.repeat(np.arange(len(ws)), [len(w) for w in ws])
-            own = np.array([word_items.get(w, 1) <= OWN_ITEMS for w in ws])
-            near = np.convolve(own[word], np.ones(GRAM, int), "valid") >= OWN_LETTERS
-            grams.append((len(self.items), np.unique(hashes(c)[near]) if len(c) >= GRAM else np.zeros(0, np.uint64)))
-            self.items.append(Item(item_id, c, word, len(ws), own))
-        if grams:
-            h = np.concatenate([g for _, g in grams])
-            who = np.concatenate([np.full(len(g), k) for k, g in grams])
-            order = np.argsort(h, kind="stable")
-            h, who = h[order], who[order]
-            uniq, start, count = np.unique(h, return_index=True, return_counts=True)
-            rare = count <= RARE
-            self.seed, self.start, self.count, self.who = uniq[rare], start[rare], count[rare], who
+
+def probes(h: np.ndarray, power: int) -> Iterator[np.ndarray]:
+    """Three bits of a sieve of 2^power for each hash."""
+    with np.errstate(over="ignore"):
+        for m in _PROBES:
+            yield (h * m) >> np.uint64(64 - power)
+
+
+def sifted(c: np.ndarray, sieve: np.ndarray, power: int, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the letters' n-grams whose bits the sieve all has: every seed,
+    and a few others by chance."""
+    places, found = [], []
+    for at in range(0, max(1, len(c) - GRAM + 1), chunk):
+        h = hashes(c[at : at + chunk + GRAM - 1])
+        k = np.arange(len(h))
+        for bit in probes(h, power):
+            ok = (sieve[(bit[k] >> np.uint64(3)).astype(np.int64)] >> (bit[k] & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            k = k[ok]
+        places.append(k + at)
+        found.append(h[k])
+    return np.concatenate(places), np.concatenate(found)
+
+
+def possible(item: Item, doc: np.ndarray) -> float:
+    """No less than the share of the passage's words that stretches can make up. A word
+    is at best unaltered if its letters stand in the document in runs of ``ANCHOR``
+    letters of the passage, or if it is too short for one: between two altered words,
+    fewer letters than that in a row."""
+    known = np.isin(hashes(item.codes, ANCHOR), hashes(doc, ANCHOR))
+    if not known.any():
+        return 0.0
+    covered = np.convolve(known, np.ones(ANCHOR, int)) > 0
+    good = np.bincount(item.word[covered], minlength=item.n_words) == item.sizes
+    whole, run = good.copy(), 0
+    for k in range(1, len(good) - 1):
+        if whole[k] or whole[k - 1] or whole[k + 1] or run + item.sizes[k] >= ANCHOR:
+            run = 0
         else:
-            self.seed = np.zeros(0, np.uint64)
-            self.start = self.count = self.who = np.zeros(0, np.int64)
-        self.sieve = np.zeros(1 << 22, bool)
-        self.sieve[self.seed >> np.uint64(42)] = True
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, item) of every seed met among the hashes ``h``."""
-        if not len(self.seed):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.flatnonzero(self.sieve[h >> np.uint64(42)])
-        at = np.searchsorted(self.seed, h[place])
-        at[at == len(self.seed)] = 0
-        ok = self.seed[at] == h[place]
-        place, at = place[ok], at[ok]
-        n = self.count[at]
-        if not len(n):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        first = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        return np.repeat(place, n), self.who[first + np.arange(n.sum())]
+            good[k] = True
+            run += item.sizes[k]
+    taken = np.zeros(item.n_words, bool)
+    for _ in stretches(good, taken, AGREE - SLACK):
+        pass
+    return taken.sum() / item.n_words
 
 
 def smith_waterman(p: np.ndarray, w: np.ndarray, match: int = 2, mismatch: int = 2, gap: int = 1) -> tuple[int, np.ndarray, int, int]:
@@ -115,8 +137,9 @@ def smith_waterman(p: np.ndarray, w: np.ndarray, match: int = 2, mismatch: int =
     the range of ``p`` it covers. A row is filled at once; gaps along the row are a
     running maximum."""
     n, m = len(p), len(w)
-    H = np.zeros((n + 1, m + 1), np.int32)
-    slope = gap * np.arange(m + 1, dtype=np.int32)
+    H = np.zeros((n + 1, m + 1), np.int16)  # pieces are short enough
+    slope = (gap * np.arange(m + 1)).astype(np.int16)
+    match, mismatch, gap = np.int16(match), np.int16(mismatch), np.int16(gap)
     for i in range(1, n + 1):
         up = H[i - 1]
         t = np.maximum(up[:-1] + np.where(w == p[i - 1], match, -mismatch), up[1:] - gap)
@@ -141,9 +164,9 @@ def smith_waterman(p: np.ndarray, w: np.ndarray, match: int = 2, mismatch: int =
     return best, set_to, i, end
 
 
-def stretches(good: np.ndarray, taken: np.ndarray) -> Iterator[tuple[int, int]]:
+def stretches(good: np.ndarray, taken: np.ndarray, agree: float = AGREE) -> Iterator[tuple[int, int]]:
     """Longest ranges of words, not ``taken``, that begin and end with a good word
-    and have ``AGREE`` good ones at least, ``LEAST_WORDS`` words or more."""
+    and have the share ``agree`` of good ones at least, ``LEAST_WORDS`` words or more."""
     n = len(good)
     sums = np.concatenate([[0], np.cumsum(good)])
     while True:
@@ -154,7 +177,7 @@ def stretches(good: np.ndarray, taken: np.ndarray) -> Iterator[tuple[int, int]]:
             while stop < n and not taken[stop]:
                 stop += 1
             for j in range(stop, i + max(LEAST_WORDS, (best[1] - best[0] + 1) if best else 0) - 1, -1):
-                if good[j - 1] and sums[j] - sums[i] >= AGREE * (j - i):
+                if good[j - 1] and sums[j] - sums[i] >= agree * (j - i):
                     best = (i, j)
                     break
         if best is None:
@@ -184,7 +207,8 @@ def runs(p: np.ndarray, w: np.ndarray, free_p: np.ndarray, free_w: np.ndarray) -
 
 def extend(p: np.ndarray, w: np.ndarray, match: int = 2, mismatch: int = 2, gap: int = 1) -> list[tuple[int, int]]:
     """The equal letters (place in ``p``, place in ``w``) of the best alignment that
-    begins at the first letters of both and ends anywhere."""
+    begins at the first letters of both and ends anywhere within a piece."""
+    p = p[:PIECE]
     w = w[: 2 * len(p) + DROP]
     m = len(w)
     slope = gap * np.arange(m + 1, dtype=np.int32)
@@ -224,7 +248,6 @@ def rest(item: Item, doc: np.ndarray, free: np.ndarray, taken: np.ndarray, kept:
     outwards. Letters not ``free`` belong to stretches found before. Since chance and
     turns of phrase reach as low, a stretch that has words peculiar to the item but
     keeps less than ``OWN`` of them is none."""
-    sizes = np.bincount(item.word, minlength=item.n_words)
     inner = np.concatenate([[False], item.word[1:] == item.word[:-1]])
     found = True
     while found and (~taken).sum() >= LEAST_WORDS:
@@ -246,7 +269,7 @@ def rest(item: Item, doc: np.ndarray, free: np.ndarray, taken: np.ndarray, kept:
             seen.update((int(a), int(set_to[a])) for a in np.flatnonzero(set_to >= 0))
             # a word counts if its letters stand side by side
             whole = (set_to >= 0) & (~inner | (set_to - np.concatenate([[-1], set_to[:-1]]) == 1))
-            matched = np.bincount(item.word[whole], minlength=item.n_words) == sizes
+            matched = np.bincount(item.word[whole], minlength=item.n_words) == item.sizes
             new = np.zeros(item.n_words, bool)
             for a, b in stretches(matched, taken.copy()):
                 own = item.own[a:b]
@@ -261,96 +284,193 @@ def rest(item: Item, doc: np.ndarray, free: np.ndarray, taken: np.ndarray, kept:
                 break
 
 
+def pieces(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of ``size`` that cover ``n`` places and overlap."""
+    return [(at, min(n, at + size)) for at in range(0, max(1, n - overlap), size - overlap)]
+
+
 def copied(item: Item, doc: np.ndarray, places: np.ndarray) -> tuple[float, float]:
-    """What share of the item's words stands in the document in stretches, and what
-    share of the words peculiar to the item in them is unaltered. The document is
-    first looked at around the seeds' places; after each alignment what it covered is
-    blanked on both sides and the rest aligned again. Short stretches, which score no
-    more than chance does, and those far from any seed are found by ``rest``."""
-    p = item.codes.copy()
-    reach = len(p)
-    windows = []
-    for x in places:
-        lo, hi = max(0, x - reach), min(len(doc), x + GRAM + reach)
-        if windows and lo <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], hi)
-        else:
-            windows.append([lo, hi])
-    sizes = np.bincount(item.word, minlength=item.n_words)
+    """What share of the passage's words stands in the document in stretches, and what
+    share of the words peculiar to it in them is unaltered. The document is first
+    looked at around the seeds' places; after each alignment what it covered is blanked
+    on both sides and the rest aligned again. Short stretches, which score no more than
+    chance does, and those far from any seed are found by ``rest``. Long passages and
+    windows are aligned in overlapping pieces, so memory is bounded."""
+    if item.n_words < LEAST_WORDS:
+        return 0.0, 0.0
+    if item.codes.tobytes() in doc.tobytes():
+        return 1.0, float(item.own.any())
+    if possible(item, doc) < SHARE - 0.02:
+        return 0.0, 0.0
     taken = np.zeros(item.n_words, bool)
     kept = np.zeros(item.n_words, bool)
     free = np.ones(len(doc), bool)
-    for lo, hi in windows:
-        w = doc[lo:hi].astype(np.int16)
-        for _ in range(6):
-            score, set_to, _, _ = smith_waterman(p.astype(np.int16), w)
-            if score < 60:  # lower ones are left to rest()
-                break
-            matched = np.bincount(item.word[set_to >= 0], minlength=item.n_words) == sizes
-            before = taken.copy()
-            for a, b in stretches(matched, taken):
-                kept[a:b] |= matched[a:b]
-            used = set_to[set_to >= 0]
-            w[used] = -1  # never equal to a letter again
-            new = taken & ~before
-            if not new.any():
-                p[set_to >= 0] = 255
+    for p_from, p_to in pieces(len(item.codes), PIECE, OVERLAP):
+        reach = p_to - p_from
+        windows: list[list[int]] = []
+        for x in places:
+            lo, hi = max(0, x - reach), min(len(doc), x + GRAM + reach)
+            if windows and lo <= windows[-1][1]:
+                windows[-1][1] = max(windows[-1][1], hi)
             else:
-                p[np.isin(item.word, np.flatnonzero(taken))] = 255
-                free[lo + set_to[(set_to >= 0) & new[item.word]]] = False
+                windows.append([lo, hi])
+        for first, last in windows:
+            for lo, hi in pieces(last - first, 5 * PIECE, PIECE):
+                align(item, doc, free, taken, kept, p_from, p_to, first + lo, first + hi)
     rest(item, doc, free, taken, kept)
     own = item.own & taken
     return taken.sum() / item.n_words, (kept & own).sum() / max(1, own.sum()) if own.any() else 0.0
 
 
-def leaks(docs: DataFrame, items: DataFrame, least_share: float = SHARE - 0.02, block: int = BLOCK) -> DataFrame:
+def align(item: Item, doc: np.ndarray, free: np.ndarray, taken: np.ndarray, kept: np.ndarray, p_from: int, p_to: int, lo: int, hi: int) -> None:
+    """Adds what stretches the letters ``p_from``..``p_to`` of the passage have in
+    ``lo``..``hi`` of the document."""
+    p = np.where(taken[item.word], 255, item.codes)[p_from:p_to].astype(np.int16)
+    w = np.where(free[lo:hi], doc[lo:hi], -1).astype(np.int16)
+    word = item.word[p_from:p_to]
+    # every round blanks what it aligned, so this ends
+    while (p != 255).any() and (w >= 0).any():
+        score, set_to, _, _ = smith_waterman(p, w)
+        if score < 60:  # lower ones are left to rest()
+            return
+        matched = np.bincount(word[set_to >= 0], minlength=item.n_words) == item.sizes
+        before = taken.copy()
+        for a, b in stretches(matched, taken):
+            kept[a:b] |= matched[a:b]
+        new = taken & ~before
+        w[set_to[set_to >= 0]] = -1  # never equal to a letter again
+        if new.any():
+            p[taken[word]] = 255
+            free[lo + set_to[(set_to >= 0) & new[word]]] = False
+        else:
+            p[set_to >= 0] = 255
+
+
+def passages_of(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pid, words, own): each distinct passage with the words peculiar to it; (item_id,
+    pid); and (h, pid), its seeds. Words and n-grams are counted over all passages. A
+    passage of which nearly everything stands in others too takes the words and n-grams
+    that the fewest share."""
+
+    def read(batches):
+        for pdf in batches:
+            rows = [(i, " ".join(words_of(p))) for i, p in zip(pdf["item_id"], pdf["passage"])]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["item_id", "text"])
+
+    rows = cut(items.where("passage is not null and item_id is not null").select("item_id", "passage").mapInPandas(read, "item_id long, text string").withColumn("digest", F.md5("text")))
+    distinct = cut(rows.groupBy("digest").agg(F.min("item_id").alias("pid"), F.first("text").alias("text")))
+    members = rows.select("item_id", "digest").join(distinct.select("digest", "pid"), "digest").select("item_id", "pid").distinct()
+    words = distinct.select("pid", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("n"), F.min("pid").alias("lo"), F.max("pid").alias("hi")))
+    # of a word in at most two passages least and greatest are all
+    few = counts.where(f"n <= {OWN_ITEMS}").select("word", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pid")).groupBy("pid").agg(F.collect_set("word").alias("own"))
+    known = cut(distinct.join(few, "pid", "left").select("pid", F.split("text", " ").alias("words"), F.coalesce("own", F.array().cast("array<string>")).alias("own")))
+    poor = known.where(F.size("own") < LEAST_OWN)
+    by_rarity = Window.partitionBy("pid").orderBy("n", "word")  # the words of one passage
+    ranked = poor.select("pid", F.explode(F.array_distinct("words")).alias("word")).join(size_checked(counts.select("word", "n"), 500_000), "word").withColumn("r", F.row_number().over(by_rarity))
+    limit = ranked.where(f"r <= {LEAST_OWN}").groupBy("pid").agg(F.max("n").alias("most"))
+    taken = ranked.join(limit, "pid").where("n <= most").groupBy("pid").agg(F.collect_set("word").alias("own"))
+    known = cut(known.where(F.size("own") >= LEAST_OWN).unionByName(poor.drop("own").join(taken, "pid").select("pid", "words", "own")))
+
+    def grams(batches):
+        for pdf in batches:
+            rows = [(pid, h) for pid, ws, own in zip(pdf["pid"], pdf["words"], pdf["own"]) for h in own_grams(item_of(list(ws), set(own))).view(np.int64)]
+            yield pd.DataFrame(rows, columns=["pid", "h"])
+
+    every = cut(known.mapInPandas(grams, "pid long, h long"))
+    shared = every.groupBy("h").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("pid").orderBy("n", "h"))  # the n-grams of one passage
+    seeds = every.join(shared, "h").withColumn("r", place).where(f"n <= {RARE} or r <= {LEAST_SEEDS}").select("h", "pid")
+    return known, members, cut(seeds)
+
+
+def sieve_of(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit array that has the bits of every seed, and its size as a power of two: 64
+    bits a seed, but at most 2^27 (16 MB) however many there are. Beyond that more
+    n-grams pass by chance; the join decides in any case."""
+    n = seeds.count()
+    power = min(SIEVE_BITS[1], max(SIEVE_BITS[0], int(64 * max(1, n)).bit_length()))
+    segment = 1 << 13  # bytes
+
+    def mark(batches):
+        bits = np.zeros(1 << power - 3, np.uint8)
+        for pdf in batches:
+            for bit in probes(pdf["h"].to_numpy(np.int64).view(np.uint64), power):
+                np.bitwise_or.at(bits, (bit >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (bit & np.uint64(7)).astype(np.uint8)))
+        parts = bits.reshape(-1, segment)
+        rows = [(int(k), parts[k].tobytes()) for k in np.flatnonzero(parts.any(1))]
+        yield pd.DataFrame(rows, columns=["k", "bits"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "bits": [np.bitwise_or.reduce(np.stack([np.frombuffer(b, np.uint8) for b in pdf["bits"]])).tobytes()]})
+
+    out = np.zeros(1 << power - 3, np.uint8).reshape(-1, segment)
+    for r in seeds.select("h").mapInPandas(mark, "k int, bits binary").groupBy("k").applyInPandas(merge, "k int, bits binary").toLocalIterator():
+        out[r.k] = np.frombuffer(r.bits, np.uint8)  # at most 2,048 of them
+    return out.reshape(-1), power
+
+
+def leaks(docs: DataFrame, items: DataFrame, least_share: float = SHARE - 0.02) -> DataFrame:
     """(doc_id, item_id, share, own): every document that copies a passage.
 
     Texts become runs of letters and digits, so layout, markup, case, broken
-    encodings, hyphens and even missing spaces don't matter. Rare seeds bring
-    documents and items together, Smith-Waterman alignment decides. Items are the
-    stated query set: they are held in blocks of ``block`` by the tasks that scan
-    the documents, each block against all rows, so documents are not shuffled (but for a table of fewer files than cores).
-    Null, empty and blank texts and passages copy nothing; repeated rows of one
-    doc_id give one row; a passage shorter than a seed cannot be found.
+    encodings, hyphens and even missing spaces don't matter. The documents are scanned
+    once, however many items there are: a sieve of bounded size lets the n-grams through
+    that may be seeds, and only of texts with such n-grams is anything shuffled. Equal
+    texts are from there on one. Their n-grams are joined with the seeds, and
+    Smith-Waterman alignment decides on the pairs that share two. Neither items nor
+    seeds are held in one place.
+
+    Null, empty and blank texts and passages copy nothing; repeated rows of one doc_id
+    give one row; a passage shorter than ten words cannot be copied; items with equal
+    passages each have their row.
     """
     spark = docs.sparkSession
-    items = items.where("passage is not null and item_id is not null").select("item_id", "passage")
-    n = items.count()
-    # how many items have a word: over all items, needed in every block
-    df: dict[str, int] = {}
-    rows: list[tuple[int, str]] = []
-    for r in items.orderBy("item_id").toLocalIterator():
-        rows.append((r.item_id, r.passage))
-        for w in set(words_of(r.passage)):
-            df[w] = df.get(w, 0) + 1
-    out = None
-    for at in range(0, max(1, n), block):
-        shared = spark.sparkContext.broadcast(Index(rows[at : at + block], df))
-
-        def run(batches, shared=shared):
-            index = shared.value
-            for pdf in batches:
-                found = []
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                    if not text:
-                        continue
-                    c = codes(stream(text))
-                    place, who = index.hits(hashes(c))
-                    if not len(place):
-                        continue
-                    for k in np.unique(who):
-                        at_ = np.sort(place[who == k])
-                        if len(at_) < SEEDS:
-                            continue
-                        share, own = copied(index.items[k], c, at_)
-                        if share >= least_share and own >= OWN:
-                            found.append((doc_id, index.items[k].item_id, round(float(share), 4), round(float(own), 4)))
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "share", "own"])
-
-        part = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, share double, own double")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("own").alias("own"))
+    known, members, seeds = passages_of(items)
+    bits, power = sieve_of(seeds)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def sift(batches):
+        sieve = shared.value
+        for pdf in batches:
+            found = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                body = letters(text) if text else b""
+                place, h = sifted(codes(body), sieve, power)
+                if len(place) >= SEEDS:
+                    found.append((doc_id, body, place.astype(np.int32), h.view(np.int64)))
+            yield pd.DataFrame(found, columns=["doc_id", "body", "at", "h"])
+
+    suspects = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(sift, "doc_id long, body binary, at array<int>, h array<long>")
+    suspects = cut(suspects.withColumn("digest", F.sha2("body", 256)))
+    texts = suspects.groupBy("digest").agg(F.first(F.struct("body", "at", "h")).alias("t"))
+    grams = texts.select("digest", F.explode(F.arrays_zip("t.at", "t.h")).alias("g")).select("digest", "g.at", "g.h")
+    pairs = cut(grams.join(size_checked(seeds, 500_000), "h").groupBy("digest", "pid").agg(F.sort_array(F.collect_list("at")).alias("places")).where(F.size("places") >= SEEDS))
+    # a costly step on few bytes: spread by number, which the adaptive planner leaves alone
+    n = max(4 * spark.sparkContext.defaultParallelism, -(-pairs.count() // 2_000))
+    ready = (
+        pairs.join(size_checked(known, 50_000), "pid").repartition(n, "digest")
+        .join(texts.select("digest", "t.body").repartition(n, "digest"), "digest")
+    )
+
+    def decide(batches):
+        memo: dict[int, Item] = {}
+        for pdf in batches:
+            out = []
+            for digest, pid, body, places, words, own in zip(*(pdf[c] for c in ("digest", "pid", "body", "places", "words", "own"))):
+                item = memo.get(pid)
+                if item is None:
+                    if len(memo) > 20_000:
+                        memo.clear()
+                    item = memo[pid] = item_of(list(words), set(own))
+                share, of_own = copied(item, codes(bytes(body)), np.asarray(places))
+                if share >= least_share and of_own >= OWN:
+                    out.append((digest, pid, round(float(share), 4), round(float(of_own), 4)))
+            yield pd.DataFrame(out, columns=["digest", "pid", "share", "own"])
+
+    decided = size_checked(cut(ready.mapInPandas(decide, "digest string, pid long, share double, own double")), 200_000)
+    found = suspects.select("doc_id", "digest").join(decided, "digest").join(size_checked(members, 200_000), "pid")
+    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("own").alias("own"))
 
 
 def _tables(spark, base):

@@ -9,7 +9,7 @@ import unicodedata
 # ---------------------------------------------------------------- fixed values
 # Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKE = dict(zip("асеорхуіѕјԁһԛԝкмтвнАСЕОРХУІЅЈВКМНТανορτΑΒΕΗΙΚΜΝΟΡΤΥΧΖ", "aceopxyisjdhqwkmtbHACEOPXYISJBKMHTavoptABEHIKMNOPTYXZ"))
-SPECIAL = str.maketrans({"ß": "ss", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ı": "i", "ð": "d", "þ": "th"})
+SPECIAL = {"ß": "ss", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ı": "i", "ð": "d", "þ": "th"}
 # ---------------------------------------------------------------- end of fixed values
 
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]|[\U000e0000-\U000e007f]")
@@ -50,12 +50,24 @@ def repair(s: str) -> str:
     return CONTROL.sub(" ", unicodedata.normalize("NFKC", INVISIBLE.sub("", s)))
 
 
+_found = {c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))}
+_MARKS = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(sorted(c for c in _found if c - 1 not in _found), sorted(c for c in _found if c + 1 not in _found))) + "]+")
+
+
+def _spelled(s: str) -> str:
+    """Lower case, letters that don't decompose spelled out, the others set apart from
+    their marks."""
+    for a, b in SPECIAL.items():
+        if a in s:
+            s = s.replace(a, b)
+    return unicodedata.normalize("NFKD", s.lower())
+
+
 def fold(s: str) -> str:
     """Lower case without diacritics."""
     if s.isascii():
         return s.lower()
-    s = unicodedata.normalize("NFKD", s.translate(SPECIAL).lower())
-    return "".join(c for c in s if not unicodedata.combining(c))
+    return _MARKS.sub("", _spelled(s))
 
 
 def is_cyrillic(s: str) -> bool:
@@ -77,14 +89,25 @@ def _latin(m: re.Match) -> str:
 def delook(s: str) -> str:
     """Words that mix scripts, with their look-alike letters made Latin; so too short
     words of look-alikes alone. Other words keep their script."""
-    return s if s.isascii() else _MIXED.sub(_latin, s)
+    return s if s.isascii() or not _LOOK.search(s) else _MIXED.sub(_latin, s)
 
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<\|?/?[a-z_]+\|?>")
 
 
+_KEEP = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
+_DROP = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
+
+
+def letters(s: str) -> bytes:
+    """``stream`` as bytes."""
+    s = _TAG.sub(" ", delook(repair(s)))
+    if not s.isascii():
+        s = _spelled(s)  # marks and other scripts are no ASCII
+    return s.encode("ascii", "ignore").translate(_KEEP, _DROP)
+
+
 def stream(s: str) -> str:
     """The bare run of lower-case letters and digits: layout, case, punctuation,
     markup and broken encodings no longer matter."""
-    s = _TAG.sub(" ", delook(repair(s)))
-    return re.sub("[^a-z0-9]+", "", fold(s))
+    return letters(s).decode("ascii")
