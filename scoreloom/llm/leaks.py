@@ -131,23 +131,31 @@ def possible(item: Item, doc: np.ndarray) -> float:
     return taken.sum() / item.n_words
 
 
+def by_letter(p: np.ndarray, w: np.ndarray, match: int, mismatch: int) -> dict[int, np.ndarray]:
+    """For each letter of ``p`` what it scores against the letters of ``w``."""
+    return {int(c): np.where(w == c, match, mismatch).astype(np.int16) for c in np.unique(p)}
+
+
 def smith_waterman(p: np.ndarray, w: np.ndarray, match: int = 2, mismatch: int = 2, gap: int = 1) -> tuple[int, np.ndarray, int, int]:
     """The best local alignment of ``p`` and ``w``: its score, for each letter of
     ``p`` the place in ``w`` of the equal letter it is set against (-1: none), and
-    the range of ``p`` it covers. A row is filled at once; gaps along the row are a
-    running maximum."""
+    the range of ``p`` it covers. A row is filled at once: of the scores plus what as
+    many gaps cost, gaps along the row are a running maximum."""
     n, m = len(p), len(w)
-    H = np.zeros((n + 1, m + 1), np.int16)  # pieces are short enough
     slope = (gap * np.arange(m + 1)).astype(np.int16)
-    match, mismatch, gap = np.int16(match), np.int16(mismatch), np.int16(gap)
+    G = np.empty((n + 1, m + 1), np.int16)  # pieces are short enough for that
+    G[0] = slope
+    G[:, 0] = 0
+    scores = by_letter(p, w, match + gap, gap - mismatch)
+    floor, other, step = slope[1:], np.empty(m, np.int16), np.int16(gap)
     for i in range(1, n + 1):
-        up = H[i - 1]
-        t = np.maximum(up[:-1] + np.where(w == p[i - 1], match, -mismatch), up[1:] - gap)
-        row = H[i]
-        np.maximum(t, 0, out=row[1:])
-        row += slope
+        up, row = G[i - 1], G[i, 1:]
+        np.add(up[:-1], scores[int(p[i - 1])], out=row)
+        np.subtract(up[1:], step, out=other)
+        np.maximum(row, other, out=row)
+        np.maximum(row, floor, out=row)
         np.maximum.accumulate(row, out=row)
-        row -= slope
+    H = np.subtract(G, slope, out=G)
     i, j = divmod(int(H.argmax()), m + 1)
     best, set_to, end = int(H[i, j]), np.full(n, -1), i
     while i and j and H[i, j] > 0:
@@ -166,24 +174,25 @@ def smith_waterman(p: np.ndarray, w: np.ndarray, match: int = 2, mismatch: int =
 
 def stretches(good: np.ndarray, taken: np.ndarray, agree: float = AGREE) -> Iterator[tuple[int, int]]:
     """Longest ranges of words, not ``taken``, that begin and end with a good word
-    and have the share ``agree`` of good ones at least, ``LEAST_WORDS`` words or more."""
+    and have the share ``agree`` of good ones at least, ``LEAST_WORDS`` words or more;
+    of equally long ones the first. Those given are taken from then on."""
     n = len(good)
-    sums = np.concatenate([[0], np.cumsum(good)])
-    while True:
-        best = None
-        starts = [i for i in range(n) if good[i] and not taken[i]]
-        for i in starts:
-            stop = i
-            while stop < n and not taken[stop]:
-                stop += 1
-            for j in range(stop, i + max(LEAST_WORDS, (best[1] - best[0] + 1) if best else 0) - 1, -1):
-                if good[j - 1] and sums[j] - sums[i] >= agree * (j - i):
-                    best = (i, j)
-                    break
-        if best is None:
+    over = np.concatenate([[0], np.cumsum(good)]) - agree * np.arange(n + 1)
+    while (good & ~taken).sum() >= agree * LEAST_WORDS:
+        crossed = np.concatenate([[0], np.cumsum(taken)])
+        starts = np.flatnonzero(good & ~taken)
+        best, at = 0, 0
+        for part in np.split(starts, range(256, len(starts), 256)):
+            ends = starts + 1
+            ok = (over[ends][None, :] >= over[part][:, None] - 1e-9) & (crossed[ends][None, :] == crossed[part][:, None])
+            size = np.where(ok, ends[None, :] - part[:, None], 0)
+            k = int(size.argmax())
+            if size.flat[k] > best:
+                best, at = int(size.flat[k]), int(part[k // len(ends)])
+        if best < LEAST_WORDS:
             return
-        taken[best[0] : best[1]] = True
-        yield best
+        taken[at : at + best] = True
+        yield at, at + best
 
 
 def runs(p: np.ndarray, w: np.ndarray, free_p: np.ndarray, free_w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,16 +220,19 @@ def extend(p: np.ndarray, w: np.ndarray, match: int = 2, mismatch: int = 2, gap:
     p = p[:PIECE]
     w = w[: 2 * len(p) + DROP]
     m = len(w)
-    slope = gap * np.arange(m + 1, dtype=np.int32)
-    rows, best, end = [-slope], 0, (0, 0)
+    slope = (gap * np.arange(m + 1)).astype(np.int16)
+    scores = by_letter(p, w, match + gap, gap - mismatch)
+    rows, best, end, step = [-slope], 0, (0, 0), np.int16(gap)
+    up, other = np.zeros(m + 1, np.int16), np.empty(m, np.int16)
     for i in range(1, len(p) + 1):
-        up = rows[-1]
-        row = np.empty(m + 1, np.int32)
+        row = np.empty(m + 1, np.int16)
         row[0] = -gap * i
-        np.maximum(up[:-1] + np.where(w == p[i - 1], match, -mismatch), up[1:] - gap, out=row[1:])
-        row += slope
+        np.add(up[:-1], scores[int(p[i - 1])], out=row[1:])
+        np.subtract(up[1:], step, out=other)
+        np.maximum(row[1:], other, out=row[1:])
         np.maximum.accumulate(row, out=row)
-        row -= slope
+        up = row
+        row = row - slope
         rows.append(row)
         j = int(row.argmax())
         if row[j] > best:
@@ -292,7 +304,7 @@ def pieces(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
 def copied(item: Item, doc: np.ndarray, places: np.ndarray) -> tuple[float, float]:
     """What share of the passage's words stands in the document in stretches, and what
     share of the words peculiar to it in them is unaltered. The document is first
-    looked at around the seeds' places; after each alignment what it covered is blanked
+    looked at where the seeds' places let expect the passage; after each alignment what it covered is blanked
     on both sides and the rest aligned again. Short stretches, which score no more than
     chance does, and those far from any seed are found by ``rest``. Long passages and
     windows are aligned in overlapping pieces, so memory is bounded."""
@@ -305,13 +317,23 @@ def copied(item: Item, doc: np.ndarray, places: np.ndarray) -> tuple[float, floa
     taken = np.zeros(item.n_words, bool)
     kept = np.zeros(item.n_words, bool)
     free = np.ones(len(doc), bool)
+    # where in the passage each place's n-gram stands, so where in the document its ends are to be sought
+    h = hashes(item.codes)
+    by_hash = np.argsort(h, kind="stable")
+    sought = hashes(doc)[places]
+    at = np.searchsorted(h[by_hash], sought)
+    at[at == len(h)] = 0
+    places, offsets = places[h[by_hash[at]] == sought], by_hash[at[h[by_hash[at]] == sought]]
     for p_from, p_to in pieces(len(item.codes), PIECE, OVERLAP):
-        reach = p_to - p_from
+        spare = SHIFT + (p_to - p_from) // 4
         windows: list[list[int]] = []
-        for x in places:
-            lo, hi = max(0, x - reach), min(len(doc), x + GRAM + reach)
+        for x, i in zip(places, offsets):
+            if not p_from - spare <= i < p_to + spare:
+                continue
+            lo, hi = max(0, x - (i - p_from) - spare), min(len(doc), x + (p_to - i) + spare)
             if windows and lo <= windows[-1][1]:
                 windows[-1][1] = max(windows[-1][1], hi)
+                windows[-1][0] = min(windows[-1][0], lo)
             else:
                 windows.append([lo, hi])
         for first, last in windows:
@@ -433,12 +455,19 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = SHARE - 0.02)
     def sift(batches):
         sieve = shared.value
         for pdf in batches:
-            found = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                body = letters(text) if text else b""
-                place, h = sifted(codes(body), sieve, power)
-                if len(place) >= SEEDS:
-                    found.append((doc_id, body, place.astype(np.int32), h.view(np.int64)))
+            ids, bodies = pdf["doc_id"].tolist(), [letters(t) if t else b"" for t in pdf["text"]]
+            found, ends = [], np.cumsum([len(b) for b in bodies])
+            # as many texts at once as make up some millions of letters
+            for k in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ends // (1 << 22))) + 1) if ids else ():
+                last = ends[k] - (ends[k[0]] - len(bodies[k[0]]))
+                place, h = sifted(codes(b"".join(bodies[i] for i in k)), sieve, power)
+                owner = np.searchsorted(last, place, "right")
+                inside = place + GRAM <= last[owner]
+                place, h, owner = place[inside], h[inside], owner[inside]
+                for i in np.flatnonzero(np.bincount(owner, minlength=len(k)) >= SEEDS):
+                    mine = slice(*np.searchsorted(owner, [i, i + 1]))
+                    body = bodies[k[i]]
+                    found.append((ids[k[i]], body, (place[mine] - last[i] + len(body)).astype(np.int32), h[mine].view(np.int64)))
             yield pd.DataFrame(found, columns=["doc_id", "body", "at", "h"])
 
     suspects = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(sift, "doc_id long, body binary, at array<int>, h array<long>")
