@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
-from functools import lru_cache
+from hashlib import md5
 from zlib import crc32
 
 import numpy as np
@@ -13,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.cut import spread
+from ..plans.cut import kept_folder, spread
+from ..sources.stores import VersionedStore, stamped_files
 from ..sources.tables import table
 from . import abuse_examples
 from .text import delook, fold, repair
@@ -29,38 +32,61 @@ COMMON = 3  # times from which a word of the corpus may be itself and no misspel
 PEER = 0.25  # share of another word's frequency that its misspellings don't reach
 EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.08, 2e-6
 SEED = 7
+FORM = 2  # of how words are cut and hashed; a kept filter of another form is not used
 EXCLUDE = 0.5
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 _LEET = str.maketrans("013457$@!", "oieastsai")
 _DOTTED = re.compile(r"\b(?:[^\W\d_][.\-_*·]){2,}[^\W\d_]\b\.?")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_] ){3,}[^\W\d_](?!\w)")
-_SCORE = re.compile(r"\\relative\b[^{]*\{[^}]*\}?|https?://\S+|</?[A-Za-z][^<>]{0,200}>|<\|?/?[a-z_]+\|?>")
-_TOKEN = re.compile(r"[a-z]+(?:\*{1,}[a-z]*)|[a-z][a-z0-9$@]*|[0-9$@]*[$@0-9][a-z$@][a-z0-9$@]*|[0-9]+|\$|@")
-_END = re.compile(r"(?<=[.!?;])\s+|\n+|(?<=[.!?])(?=[A-ZÁÉÍÓÚÄÖÜÀÈÇ])")
+# quick to look for, and in every text that has one of the two
+_MAY_DOT, _MAY_SPACE = re.compile(r"(?<=[.\-_*·])[^\W\d_](?=[.\-_*·])"), re.compile(r" [^\W\d_] [^\W\d_] [^\W\d_]")
+# music as code: only what its notation consists of, so that a sentence in it is read
+_NOTATION = re.compile(r"\\relative\b\s*(?:[a-h](?:is|es)?[',]*)?\s*\{(?:[\s|<>(){}\[\]~^_.\-\"0-9/',!?=:]|\\[A-Za-z]+|(?<![A-Za-z])(?:[a-hrs](?:isis|eses|is|es)?)(?![A-Za-z]))*")
+_CODE = re.compile(r"https?://\S+|</?[A-Za-z][^<>]{0,200}>|<\|?/?[a-z_]+\|?>")
+# words, numbers, words with stars or digits for letters; \x00 ends a sentence
+_TOKEN = re.compile(r"[a-z]+(?![a-z0-9$@*])|[a-z]+(?:\*{1,}[a-z]*)|[a-z][a-z0-9$@]*|[0-9$@]*[$@0-9][a-z$@][a-z0-9$@]*|[0-9]+|\$|@|[^\W\d_a-z]+|\x00")
+_END = re.compile(r"[.!?;]\s+|\n+|[.!?](?=[A-ZÁÉÍÓÚÄÖÜÀÈÇ])")
 _LINE = re.compile(r"(?:^|\n)\s*>+ ?|-\n\s*(?=[a-zß-ÿ])")
 
 
 def units(text: str) -> list[list[str]]:
     """The text as runs of plain words: sentences, and windows over long ones, since
-    without punctuation a sentence runs into the next. Disguises are undone: look-alike
-    and invisible letters, broken encodings, letters with dots or spaces between,
-    digits and signs for letters. Words with stars keep them."""
-    s = _SCORE.sub(" ", delook(repair(text)))
-    s = _LINE.sub(" ", s)
-    s = _DOTTED.sub(lambda m: re.sub(r"[.\-_*·]", "", m.group()) + (" ." if m.group().endswith("..") else ""), s)
-    s = _SPACED.sub(lambda m: m.group().replace(" ", ""), s)
-    out = []
-    for part in _END.split(s):
-        words = []
-        for w in _TOKEN.findall(fold(part)):
-            if w.isdigit():
-                words.append("0")
-                continue
-            if not w.isalpha() and "*" not in w:
-                w = w.translate(_LEET)
+    without punctuation a sentence runs into the next. A sentence of one word belongs to
+    the one after it, or before it at the end. Disguises are undone: look-alike and
+    invisible letters, broken encodings, letters with dots or spaces between, digits and
+    signs for letters. Words with stars keep them."""
+    s = delook(repair(text))
+    if "\\relative" in s:
+        s = _NOTATION.sub(" ", s)
+    if "<" in s or "://" in s:
+        s = _CODE.sub(" ", s)
+    if "\n" in s or s.startswith(">"):
+        s = _LINE.sub(" ", s)
+    if _MAY_DOT.search(s):
+        s = _DOTTED.sub(lambda m: re.sub(r"[.\-_*·]", "", m.group()) + (" ." if m.group().endswith("..") else ""), s)
+    if _MAY_SPACE.search(s):
+        s = _SPACED.sub(lambda m: m.group().replace(" ", ""), s)
+    parts: list[list[str]] = []
+    words: list[str] = []
+    for w in _TOKEN.findall(fold(_END.sub("\x00", s)) + "\x00"):
+        if w.isalpha():
             words.append(w)
-        if len(words) < 2:
-            continue
+        elif w == "\x00":
+            if len(words) > 1:
+                parts.append(words)
+                words = []
+        elif w.isdigit():
+            words.append("0")
+        else:
+            words.append(w if "*" in w else w.translate(_LEET))
+    if words:
+        if parts:
+            parts[-1] = parts[-1] + words
+        else:
+            parts.append(words)
+    out = []
+    for words in parts:
         if len(words) <= LONG:
             out.append(words)
         else:
@@ -110,25 +136,40 @@ class Lexicon:
         return got
 
 
-@lru_cache(400_000)
-def slot(term: str) -> int:
-    return crc32(term.encode()) % (SLOTS - 1) + 1
+_IDS: dict[str, int] = {}
 
 
-def terms(words: list[str]) -> list[int]:
-    """Hashed words, neighbouring pairs and pairs one apart, each once."""
-    t = dict.fromkeys(slot(w) for w in words)
-    t.update(dict.fromkeys(slot(a + " " + b) for a, b in zip(words, words[1:])))
-    t.update(dict.fromkeys(slot(a + " _ " + b) for a, b in zip(words, words[2:])))
-    return list(t)
+def word_ids(words: list[str]) -> list[int]:
+    """A number for each word, the same everywhere."""
+    if len(_IDS) > 1_000_000:
+        _IDS.clear()
+    out = []
+    for w in words:
+        i = _IDS.get(w)
+        if i is None:
+            i = _IDS[w] = crc32(w.encode()) + 1
+        out.append(i)
+    return out
 
 
-def padded(rows: list[list[int]]) -> np.ndarray:
-    """Rows of slots, filled up with slot 0, whose weights are kept at nought."""
-    m = np.zeros((len(rows), max((len(r) for r in rows), default=1)), np.int32)
-    for i, r in enumerate(rows):
-        m[i, : len(r)] = r
-    return m
+def terms(rows: list[list[str]]) -> np.ndarray:
+    """For each run of words its hashed words, neighbouring pairs and pairs one apart,
+    each once, in falling order; filled up with slot 0, whose weights are kept at nought."""
+    sizes = np.array([len(r) for r in rows], int)
+    most = max(1, int(sizes.max(initial=1)))
+    h = np.zeros((len(rows), most), np.uint64)
+    h[np.arange(most) < sizes[:, None]] = word_ids([w for r in rows for w in r])
+    cols = [h * _MIX[0]]
+    for gap in (1, 2):
+        if most > gap:
+            a, b = h[:, :-gap], h[:, gap:]
+            cols.append(np.where((a > 0) & (b > 0), a * _MIX[gap] + b * _MIX[3] + np.uint64(gap), np.uint64(0)))
+    t = np.concatenate(cols, 1)
+    t = np.where(t > 0, (t ^ (t >> np.uint64(31))) * _MIX[4] >> np.uint64(20), np.uint64(0)) % np.uint64(SLOTS - 1) + (t > 0)
+    t = -np.sort(-t.astype(np.int32), axis=1)
+    t[:, 1:][t[:, 1:] == t[:, :-1]] = 0
+    t = -np.sort(-t, axis=1)
+    return t[:, : max(1, int((t > 0).sum(1).max(initial=1)))]
 
 
 class Machine:
@@ -150,9 +191,9 @@ class Machine:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
-    def fit(self, rows: list[list[int]], labels: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS) -> None:
+    def fit(self, x_all: np.ndarray, labels: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS) -> None:
         gw, gv, gb = np.full(SLOTS, 1e-6, np.float32), np.full((SLOTS, FACTORS), 1e-6, np.float32), 1e-6
-        order, lengths = np.arange(len(rows)), np.array([len(r) for r in rows])
+        order, lengths = np.arange(len(x_all)), (x_all > 0).sum(1)
         for _ in range(epochs):
             rng.shuffle(order)
             batches = []
@@ -163,7 +204,7 @@ class Machine:
                 batches += np.split(part, range(BATCH, len(part), BATCH))
             for k in rng.permutation(len(batches)):
                 pick = batches[k]
-                x = padded([rows[i] for i in pick])
+                x = x_all[pick, : max(1, int(lengths[pick].max()))]
                 v = self.v[x]
                 s = v.sum(1)
                 m = self.bias + self.w[x].sum(1) + 0.5 * (s * s - (v * v).sum(1)).sum(1)
@@ -192,24 +233,37 @@ class Filter:
     def __init__(self, machine: Machine, lexicon: Lexicon):
         self.machine, self.lexicon = machine, lexicon
 
-    def rows(self, text: str) -> list[list[int]]:
-        plain = self.lexicon.plain
-        return [terms([plain(w) for w in u]) for u in units(text)]
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Of each text the highest probability of its parts; 0 without words."""
+        plain = self.lexicon.plain
         rows, owner = [], []
         for i, t in enumerate(texts):
             if t:
-                r = self.rows(t)
-                rows += r
+                r = units(t)
+                rows += [[plain(w) for w in u] for u in r]
                 owner += [i] * len(r)
         out = np.zeros(len(texts))
+        owners = np.array(owner, int)
+        by_length = np.argsort(np.array([len(r) for r in rows], int), kind="stable")
         for at in range(0, len(rows), 4096):
-            p = self.machine.probability(padded(rows[at : at + 4096]))
-            np.maximum.at(out, np.array(owner[at : at + 4096]), p)
+            pick = by_length[at : at + 4096]
+            np.maximum.at(out, owners[pick], self.machine.probability(terms([rows[k] for k in pick])))
         return out
 
+    def parts(self) -> list[tuple[str, bytes]]:
+        """The filter as named pieces of bytes."""
+        m = self.machine
+        words = json.dumps(sorted(self.lexicon.counts.items())).encode()
+        return [("bias", np.float64(m.bias).tobytes()), ("w", m.w.tobytes()), ("v", m.v.tobytes()), ("words", words)]
+
+    @staticmethod
+    def of_parts(parts: dict[str, bytes]) -> Filter:
+        m = Machine(np.random.default_rng(0))
+        m.bias = float(np.frombuffer(parts["bias"], np.float64)[0])
+        m.w = np.frombuffer(parts["w"], np.float32).copy()
+        m.v = np.frombuffer(parts["v"], np.float32).reshape(SLOTS, FACTORS).copy()
+        return Filter(m, Lexicon(Counter(dict(json.loads(parts["words"])))))
+
 
 def example_units(seed: int = SEED, per_template: int = PER_TEMPLATE) -> tuple[list[list[str]], list[int]]:
     """The examples as runs of plain words, with their labels."""
@@ -249,34 +303,26 @@ def ordinary(counts: dict[str, int], n_docs: int, lexicon: Lexicon) -> Counter:
     return Counter({w: max(1, round(n * scale)) for w, n in counts.items() if n >= COMMON and lexicon.touches(w) and (n * scale >= COMMON or n >= PEER * counts.get(lexicon.plain(w), 0))})
 
 
+# letters with marks, by the letter they are a form of
+_MARKED = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xDF, 0x250) if unicodedata.normalize("NFKD", chr(c))[0].isascii() and unicodedata.normalize("NFKD", chr(c))[0].isalpha()}
+
+
 def common_words(docs: DataFrame, seed: int = SEED, per_template: int = PER_TEMPLATE) -> Counter:
-    """The ``ordinary`` words of the whole corpus. Every document is counted, whole, in
-    its partition before the shuffle; what is gathered are words of the examples and
-    those one edit away, whatever the corpus."""
+    """The ``ordinary`` words of the whole corpus. Every document is counted, whole, by
+    column expressions and before the shuffle; what is gathered are words of the
+    examples and those one edit away, whatever the corpus."""
     lexicon = Lexicon(example_counts(example_units(seed, per_template)[0]))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches):
-        known, near, far, n = shared.value, Counter(), set(), 0
+    def near(batches):
+        known = shared.value
         for pdf in batches:
-            for t in pdf["text"]:
-                if not t:
-                    continue
-                n += 1
-                for u in units(t):
-                    for w in u:
-                        if w in near:
-                            near[w] += 1
-                        elif w not in far:
-                            if w in known.counts or known.touches(w):
-                                near[w] = 1
-                            elif len(far) < 500_000:
-                                far.add(w)
-        yield pd.DataFrame([("", n), *near.items()], columns=["word", "n"])
-
-    counted = docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {COMMON} or word = ''")
-    counts = {r.word: r.n for r in counted.collect()}
-    return ordinary(counts, counts.pop("", 0), lexicon)
+            yield pdf[[w in known.counts or known.touches(w) for w in pdf["word"]]]
+
+    plain = F.translate(F.lower("text"), "".join(_MARKED), "".join(_MARKED.values()))
+    words = docs.where("text <> ''").select(F.explode(F.split(plain, "[^a-z]+")).alias("word")).where("length(word) >= 5")
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(f"n >= {COMMON}").mapInPandas(near, "word string, n long")
+    return ordinary({r.word: r.n for r in counted.collect()}, docs.where("text <> ''").count(), lexicon)
 
 
 def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLATE, common: Counter | None = None) -> Filter:
@@ -296,12 +342,12 @@ def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLAT
         """Some words of a bad example left out, so that it doesn't hang on one."""
         return [w for w in u if np_rng.random() > 0.12] or u
 
-    rows = [terms(hide(u) if y else u) for u, y in zip(rows_words, labels)]
+    rows = [hide(u) if y else u for u, y in zip(rows_words, labels)]
     y = np.array(labels, np.float32)
     first = Machine(np.random.default_rng(seed))
-    first.fit(rows, y, np.random.default_rng(seed + 1), 4)
+    first.fit(terms(rows), y, np.random.default_rng(seed + 1), 4)
     mapped = [[first_lexicon.plain(w) for w in u] for u in sample]
-    p = np.concatenate([first.probability(padded([terms(u) for u in mapped[i : i + 4096]])) for i in range(0, len(mapped), 4096)]) if mapped else np.zeros(0)
+    p = np.concatenate([first.probability(terms(mapped[i : i + 4096])) for i in range(0, len(mapped), 4096)]) if mapped else np.zeros(0)
     kept = [u for u, q in zip(sample, p) if q < 0.5]
     cut = random.Random(seed)
     pieces = []
@@ -311,10 +357,10 @@ def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLAT
     kept += pieces
     # common words of the corpus are themselves and not misspellings of the examples'
     lexicon = Lexicon(counts + common)
-    rows += [terms([lexicon.plain(w) for w in u]) for u in kept]
+    rows += [[lexicon.plain(w) for w in u] for u in kept]
     y = np.concatenate([y, np.zeros(len(kept), np.float32)])
     machine = Machine(np.random.default_rng(seed))
-    machine.fit(rows, y, np.random.default_rng(seed + 2))
+    machine.fit(terms(rows), y, np.random.default_rng(seed + 2))
     return Filter(machine, lexicon)
 
 
@@ -325,6 +371,21 @@ def sample_texts(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[str]:
     return [r.text for r in chosen.collect()]
 
 
+def fitted(spark: SparkSession, base: str) -> Filter:
+    """The filter for the documents below ``base``: fitted once and kept in the shared
+    folder, until the documents, the examples or the parameters change."""
+    made_of = [*stamped_files(spark, f"{base}/documents.parquet"), *(repr(t) for t in (abuse_examples.SLOTS, abuse_examples.BAD, abuse_examples.GOOD, abuse_examples.PLAIN))]
+    made_of.append(repr((SLOTS, FACTORS, PER_TEMPLATE, SAMPLE_DOCS, SAMPLE_UNITS, COMMON, PEER, EPOCHS, BATCH, RATE, DECAY, SEED, FORM)))
+    store = VersionedStore(f"{kept_folder(spark)}/abuse_filter/{md5(chr(10).join(made_of).encode()).hexdigest()}")
+    kept = store.read(spark)
+    if kept is not None:
+        return Filter.of_parts({r.name: bytes(r.body) for r in kept.collect()})  # four parts of fixed size
+    docs = table(spark, base, "documents", ["doc_id", "text"])
+    model = train(sample_texts(docs), common=common_words(docs))
+    store.write(spark.createDataFrame(model.parts(), "name string, body binary").coalesce(1), 0)
+    return model
+
+
 def scored(docs: DataFrame, model: Filter | None = None) -> DataFrame:
     """(doc_id, source, score): the probability that the text abuses, threatens,
     degrades, hates or is sexually explicit, that of its worst part. Null, empty and
@@ -349,14 +410,14 @@ def _docs(spark, base):
 
 
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
-    return scored(_docs(spark, base)).where(F.col("score") >= EXCLUDE).select("doc_id").distinct()
+    return scored(_docs(spark, base), fitted(spark, base)).where(F.col("score") >= EXCLUDE).select("doc_id").distinct()
 
 
 def p10_scores(spark: SparkSession, base: str) -> DataFrame:
-    return scored(_docs(spark, base)).select("doc_id", "score", (F.col("score") >= EXCLUDE).alias("exclude"))
+    return scored(_docs(spark, base), fitted(spark, base)).select("doc_id", "score", (F.col("score") >= EXCLUDE).alias("exclude"))
 
 
 def p10_rates(spark: SparkSession, base: str) -> DataFrame:
     """Share of documents to exclude, per source."""
-    s = scored(_docs(spark, base))
+    s = scored(_docs(spark, base), fitted(spark, base))
     return s.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum((F.col("score") >= EXCLUDE).cast("int")).alias("n_exclude"), F.round(F.avg((F.col("score") >= EXCLUDE).cast("double")), 6).alias("rate"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from scoreloom.llm import abuse, abuse_examples
+from tests.llm import abuse_heldout
 
 
 @pytest.fixture(scope="module")
@@ -45,18 +46,54 @@ def test_harmless(model, t):
     assert model.scores([t])[0] < 0.5
 
 
+def test_held_out_sentences():
+    """Sentences that no template gives, in four languages (see ``abuse_heldout``)."""
+    f = abuse.train([])
+    bad, good = (f.scores(abuse_heldout.sentences(t)) >= abuse.EXCLUDE for t in (abuse_heldout.BAD, abuse_heldout.GOOD))
+    assert len(bad) >= 60 and bad.mean() >= 0.9 and good.mean() <= 0.05
+
+
+def test_short_and_foreign_parts_are_read():
+    assert abuse.units("Whore!") == [["whore"]] and abuse.units("You. Idiot.") == [["you", "idiot"]]
+    assert abuse.units("Nice tone. Bravo!") == [["nice", "tone", "bravo"]]
+    assert abuse.units("Ты дурак") == [["ты", "дурак"]] and abuse.units("") == abuse.units(" ... ") == []
+    # a sentence inside the braces of a score is read, its notes are not
+    assert abuse.units("\\relative c' { a4 b8 c You are vermin }")[0][-3:] == ["you", "are", "vermin"]
+    assert abuse.units("\\relative c' { a4 b8 <c e g>2 r4 | \\bar } Good.") == [["good"]]
+
+
+def test_kept_filter_is_the_fitted_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(abuse, "PER_TEMPLATE", 2)
+    monkeypatch.setattr(abuse, "kept_folder", lambda spark: str(tmp_path / "kept"))
+    spark.createDataFrame([(1, "s", "A dry tremolo ruins the coda."), (2, "s", None)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fits = []
+    train = abuse.train
+    monkeypatch.setattr(abuse, "train", lambda *a, **k: fits.append(1) or train(*a, per_template=2, **k))
+    a, b = abuse.fitted(spark, str(tmp_path)), abuse.fitted(spark, str(tmp_path))
+    assert len(fits) == 1 and np.array_equal(a.machine.w, b.machine.w) and a.lexicon.counts == b.lexicon.counts
+    t = ["You filthy rat.", "A bar of rest."]
+    assert np.allclose(a.scores(t), b.scores(t))
+
+
 def test_pair_sum_against_loops():
     m = abuse.Machine(np.random.default_rng(1))
     m.w[:] = np.random.default_rng(2).normal(size=abuse.SLOTS)
-    rows = [[1, 5, 9], [7], []]
-    got = m.margin(abuse.padded(rows))
+    rows = [[9, 5, 1], [7, 0, 0], [0, 0, 0]]
     m.w[0] = 0
-    got = m.margin(abuse.padded(rows))
+    got = m.margin(np.array(rows))
+    rows = [[i for i in r if i] for r in rows]
     for r, g in zip(rows, got):
         want = m.bias + sum(m.w[i] for i in r) + sum(float(m.v[i] @ m.v[j]) for a, i in enumerate(r) for j in r[a + 1 :])
         assert abs(g - want) < 1e-4
 
 
+def test_terms_are_words_and_pairs_once():
+    rows = [["a", "b", "a", "b"], ["x"], [], ["a", "b"]]
+    t = abuse.terms(rows)
+    assert [(t[i] > 0).sum() for i in range(4)] == [6, 1, 0, 3]  # a b; ab ba; a_a b_b
+    assert set(t[3][t[3] > 0]) < set(t[0]) and (abuse.terms(rows[3:])[0] == t[3][:3]).all()
+
+
 def test_training_is_repeatable():
     a, b = (abuse.train(["A dry tremolo ruins the coda."] * 3, per_template=3) for _ in range(2))
     assert np.array_equal(a.machine.w, b.machine.w) and np.array_equal(a.machine.v, b.machine.v)
@@ -79,7 +116,7 @@ def test_common_words_come_from_all_documents(spark, monkeypatch):
         common = abuse.common_words(docs, per_template=10)
         assert "cedro" in common and "cerdoo" not in common
         lexicon = abuse.Lexicon(abuse.example_counts(abuse.example_units(per_template=10)[0]) + common)
-        assert lexicon.plain("cedro") == "cedro" and lexicon.plain("cerdoo") == "cerdo"
+        assert lexicon.plain("cedro") == "cedro" and lexicon.plain("cerdoo") in ("cerdo", "cerdos")
     f = abuse.train([], per_template=3, common=common)
     assert f.lexicon.plain("cedro") == "cedro"
     assert abuse.common_words(docs.limit(0), per_template=3) == {}
