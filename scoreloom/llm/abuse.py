@@ -114,6 +114,10 @@ class Lexicon:
         """Whether ``plain`` might take ``w`` for a misspelling."""
         return len(w) >= 5 and w not in self.counts and "*" not in w and (w in self.near or any(w[:i] + w[i + 1 :] in self.near for i in range(len(w))))
 
+    def neighbours(self, w: str) -> set[str]:
+        """The words about one edit away."""
+        return {v for k in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} for v in self.near.get(k, ()) if abs(len(v) - len(w)) <= 1}
+
     def plain(self, w: str) -> str:
         if w in self.counts or len(w) < 4 and "*" not in w:
             return w
@@ -124,13 +128,9 @@ class Lexicon:
                 hits = self.starred.get((w[0], len(w), "" if w[-1] == "*" else w[-1]), ())
                 got = hits[0] if hits else "*"
             elif len(w) >= 5:
-                best = Counter()
-                for k in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
-                    for v in self.near.get(k, ()):
-                        if abs(len(v) - len(w)) <= 1:
-                            best[v] = self.counts[v]
+                best = self.neighbours(w)
                 if best:
-                    got = max(best, key=lambda v: (best[v], v))
+                    got = max(best, key=lambda v: (self.counts[v], v))
             if len(self.memo) < 500_000:
                 self.memo[w] = got
         return got
@@ -297,10 +297,10 @@ def ordinary(counts: dict[str, int], n_docs: int, lexicon: Lexicon) -> Counter:
     """Of words counted in ``n_docs`` documents those near a word of ``lexicon`` that
     are words themselves and no misspellings: seen ``COMMON`` times, and either that
     often in every ``SAMPLE_DOCS`` documents or no fewer than ``PEER`` times as often as
-    the word they would be taken for. Both are rates, so the size of the corpus doesn't
+    any word they could be taken for. Both are rates, so the size of the corpus doesn't
     matter. With how often they occur in ``SAMPLE_DOCS`` documents, if there are more."""
     scale = min(1.0, SAMPLE_DOCS / max(1, n_docs))
-    return Counter({w: max(1, round(n * scale)) for w, n in counts.items() if n >= COMMON and lexicon.touches(w) and (n * scale >= COMMON or n >= PEER * counts.get(lexicon.plain(w), 0))})
+    return Counter({w: max(1, round(n * scale)) for w, n in counts.items() if n >= COMMON and lexicon.touches(w) and (n * scale >= COMMON or n >= PEER * max((counts.get(v, 0) for v in lexicon.neighbours(w)), default=0))})
 
 
 # letters with marks, by the letter they are a form of
