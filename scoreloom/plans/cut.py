@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _ensure_folder(spark: SparkSession) -> None:
@@ -47,12 +48,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def size_checked(df: DataFrame, rows: int):
-    """``broadcast(df)`` if it has at most ``rows`` rows, else ``df`` itself, so
-    that the join falls back to a shuffle when the small side turns out large."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def size_checked(df: DataFrame, rows: int, mb: int = 24):
+    """``broadcast(df)`` if it has at most ``rows`` rows and, written out as text, at
+    most ``mb`` megabytes, else ``df`` itself, so that the join falls back to a shuffle
+    when the small side turns out large. No more than ``rows`` + 1 rows are looked at."""
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0))
+    n, letters = df.limit(rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= rows and letters <= mb << 20 else df
 
 
 def spread(df: DataFrame) -> DataFrame:

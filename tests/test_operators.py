@@ -404,3 +404,12 @@ def test_gate_keeps_one_of_equal_contents(spark):
     df = spark.createDataFrame([(3, "s", 1), (1, "s", 1), (1, "s", 1), (2, "s", 0), (4, None, 1), (5, None, 1), (6, "t", 1), (None, "t", 1)], "id int, sha string, ok int")
     got = rows(ingest.gate(df, [(F.col("ok") == 0, "BAD")], "id", "sha").select("id", "sha", "code", "winner"))
     assert got == sorted([(3, "s", "DUPLICATE", 1), (1, "s", "DUPLICATE", 1), (1, "s", None, None), (2, "s", "BAD", None), (4, None, None, None), (5, None, None, None), (6, "t", None, None), (None, "t", "DUPLICATE", 6)], key=repr)
+
+
+def test_only_small_sides_are_broadcast(spark):
+    from scoreloom.plans.cut import size_checked
+
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    df = spark.range(100).withColumn("t", F.repeat(F.lit("x"), 1000))
+    assert hinted(size_checked(df, 100)) and hinted(size_checked(df.limit(0), 0))
+    assert not hinted(size_checked(df, 99)) and not hinted(size_checked(df.withColumn("t", F.repeat("t", 300)), 100))
