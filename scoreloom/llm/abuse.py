@@ -25,12 +25,12 @@ SLOTS = 1 << 18  # hashed terms
 FACTORS = 6
 WINDOW, STRIDE = 18, 6  # words of a window over sentences longer than LONG
 LONG = 24
-PER_TEMPLATE = 40  # sentences made of each template
+PER_TEMPLATE = 24  # sentences made of each template
 SAMPLE_DOCS = 4_000  # documents, at most, whose sentences serve as further harmless examples
 SAMPLE_UNITS = 30_000  # sentences, at most, of them
 COMMON = 3  # times from which a word of the corpus may be itself and no misspelling
 PEER = 0.25  # share of another word's frequency that its misspellings don't reach
-EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.08, 2e-6
+EPOCHS, BATCH, RATE, DECAY = 4, 256, 0.08, 2e-6
 SEED = 7
 FORM = 2  # of how words are cut and hashed; a kept filter of another form is not used
 EXCLUDE = 0.5
@@ -154,7 +154,7 @@ def word_ids(words: list[str]) -> list[int]:
 
 def terms(rows: list[list[str]]) -> np.ndarray:
     """For each run of words its hashed words, neighbouring pairs and pairs one apart,
-    each once, in falling order; filled up with slot 0, whose weights are kept at nought."""
+    each once; the rest is slot 0, whose weights are kept at nought."""
     sizes = np.array([len(r) for r in rows], int)
     most = max(1, int(sizes.max(initial=1)))
     h = np.zeros((len(rows), most), np.uint64)
@@ -167,9 +167,9 @@ def terms(rows: list[list[str]]) -> np.ndarray:
     t = np.concatenate(cols, 1)
     t = np.where(t > 0, (t ^ (t >> np.uint64(31))) * _MIX[4] >> np.uint64(20), np.uint64(0)) % np.uint64(SLOTS - 1) + (t > 0)
     t = -np.sort(-t.astype(np.int32), axis=1)
+    t = t[:, : max(1, int((t > 0).sum(1).max(initial=1)))]
     t[:, 1:][t[:, 1:] == t[:, :-1]] = 0
-    t = -np.sort(-t, axis=1)
-    return t[:, : max(1, int((t > 0).sum(1).max(initial=1)))]
+    return t
 
 
 class Machine:
@@ -193,7 +193,7 @@ class Machine:
 
     def fit(self, x_all: np.ndarray, labels: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS) -> None:
         gw, gv, gb = np.full(SLOTS, 1e-6, np.float32), np.full((SLOTS, FACTORS), 1e-6, np.float32), 1e-6
-        order, lengths = np.arange(len(x_all)), (x_all > 0).sum(1)
+        order, lengths = np.arange(len(x_all)), x_all.shape[1] - (x_all[:, ::-1] > 0).argmax(1)
         for _ in range(epochs):
             rng.shuffle(order)
             batches = []
@@ -322,7 +322,7 @@ def common_words(docs: DataFrame, seed: int = SEED, per_template: int = PER_TEMP
     plain = F.translate(F.lower("text"), "".join(_MARKED), "".join(_MARKED.values()))
     words = docs.where("text <> ''").select(F.explode(F.split(plain, "[^a-z]+")).alias("word")).where("length(word) >= 5")
     counted = words.groupBy("word").agg(F.count("*").alias("n")).where(f"n >= {COMMON}").mapInPandas(near, "word string, n long")
-    return ordinary({r.word: r.n for r in counted.collect()}, docs.where("text <> ''").count(), lexicon)
+    return ordinary({r.word: r.n for r in counted.collect()}, docs.count(), lexicon)
 
 
 def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLATE, common: Counter | None = None) -> Filter:

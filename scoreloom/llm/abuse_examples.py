@@ -533,7 +533,7 @@ def examples(per_template: int, seed: int) -> list[tuple[str, int]]:
             out.append((fill(t, slots, rng, lang), 1))
         for t in good:
             # reports and rules use the very words of abuse, so they need more examples
-            out += [(fill(t, slots, rng, lang), 0) for _ in range(4 * per_template)]
+            out += [(fill(t, slots, rng, lang), 0) for _ in range(3 * per_template)]
         for t, _ in itertools.product(plain, range(per_template // 2)):
             out.append((fill(t, slots, rng, lang), 0))
     return out

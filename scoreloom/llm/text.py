@@ -47,7 +47,8 @@ def repair(s: str) -> str:
         s = t
     if s.isascii():
         return CONTROL.sub(" ", s)
-    return CONTROL.sub(" ", unicodedata.normalize("NFKC", INVISIBLE.sub("", s)))
+    s = INVISIBLE.sub("", s)
+    return CONTROL.sub(" ", s if unicodedata.is_normalized("NFKC", s) else unicodedata.normalize("NFKC", s))
 
 
 _found = {c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))}
