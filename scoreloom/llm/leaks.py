@@ -113,7 +113,14 @@ def possible(item: Item, doc: np.ndarray) -> float:
     is at best unaltered if its letters stand in the document in runs of ``ANCHOR``
     letters of the passage, or if it is too short for one: between two altered words,
     fewer letters than that in a row."""
-    known = np.isin(hashes(item.codes, ANCHOR), hashes(doc, ANCHOR))
+    grams, which = np.unique(hashes(item.codes, ANCHOR), return_inverse=True)
+    met = np.zeros(len(grams), bool)
+    if len(grams):
+        of_doc = hashes(doc, ANCHOR)
+        at = np.searchsorted(grams, of_doc)
+        at[at == len(grams)] = 0
+        met[at[grams[at] == of_doc]] = True
+    known = met[which]
     if not known.any():
         return 0.0
     covered = np.convolve(known, np.ones(ANCHOR, int)) > 0
