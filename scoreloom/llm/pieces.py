@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import lru_cache
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.ordering import sliding_compare
 from ..plans.cut import cut, size_checked
 from ..sources.tables import table
+from .graph import components
 from .names import Name, align, osa, parse, skeleton
 from .text import delook, fold, repair
 
@@ -66,8 +68,8 @@ for _w in FORMS:
             _DELETED.setdefault(_k, set()).add(_w)
 FORM_ID = {f: i for i, f in enumerate(sorted(set(FORMS.values())))}
 
-_OPUS = re.compile(r"\b(?:opu*s|op{1,2}|oeuvre|ouevre|opsu|ous|opuss|opu)\b\s*[.:]?\s*(\d{1,3})\b|\bo(\d{1,3})\b|\bop(\d{1,3})\b")
-_NUMBER = re.compile(r"(?:\bno|\bnr|\bnum|\bnumero|\bnumber|\bn|#)\s*[.:]?\s*[°º]?\s*(\d{1,3})\b|\bno(\d{1,3})\b|\bnr(\d{1,3})\b|\bn(\d{1,3})\b")
+_OPUS = re.compile(r"\b(?:opu*s|op{1,2}|oeuvre|ouevre|opsu|ous|opuss|opu)\b\s*[.:]?\s*(\d{1,6})\b|\bo(\d{1,3})\b|\bop(\d{1,3})\b")
+_NUMBER = re.compile(r"(?:\bno|\bnr|\bnum|\bnumero|\bnumber|\bn|#)\s*[.:]?\s*[°º]?\s*(\d{1,6})\b|\bno(\d{1,3})\b|\bnr(\d{1,3})\b|\bn(\d{1,3})\b")
 
 
 @lru_cache(50_000)
@@ -339,55 +341,83 @@ def neighbours(pdf: pd.DataFrame, a_to: int, b_from: int, reach: np.ndarray | No
     return pd.DataFrame(out, columns=["a", "b", "sa", "sb", "ca", "cb", "total"])
 
 
-def hungarian(cost: np.ndarray) -> list[int]:
-    """The column of each row (rows <= columns) in an assignment of least total cost."""
-    n, m = cost.shape
-    u, v, p, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        p[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+def best_assignment(edges: dict[int, dict[int, float]]) -> dict[int, int]:
+    """The partner of each left node that has one in a one-to-one assignment of greatest
+    total gain; ``edges``: for each left node the gains of its right nodes, all positive.
+
+    Shortest augmenting paths over reduced costs, from each left node to the nearest free
+    right node or to being left alone. Only the edges there are are held, so memory grows
+    with them and not with the product of the sides; a search ends at its first goal."""
+    partner: dict[int, int] = {}  # of right nodes
+    chosen: dict[int, int] = {}
+    pot_l = {i: max(gains.values()) for i, gains in edges.items()}  # reduced cost: pot_l + pot_r - gain >= 0
+    pot_r: dict[int, float] = {}
+    for root in sorted(edges):
+        dist, before = {root: 0.0}, {}
+        heap: list[tuple[float, int, int]] = [(0.0, 0, root)]  # distance, side, node
+        dist_r: dict[int, float] = {}
+        done_l: set[int] = set()
+        goal, total = None, np.inf
+        while heap:
+            d, side, k = heapq.heappop(heap)
+            if d >= total:
+                break
+            if side == 0:
+                if k in done_l:
+                    continue
+                done_l.add(k)
+                if d + pot_l[k] < total:  # this one stays alone
+                    goal, total = (0, k), d + pot_l[k]
+                for j, g in edges[k].items():
+                    nd = d + pot_l[k] + pot_r.get(j, 0.0) - g
+                    if nd < dist_r.get(j, np.inf) - 1e-12:
+                        dist_r[j], before[j] = nd, k
+                        heapq.heappush(heap, (nd, 1, j))
+            elif d <= dist_r[k]:
+                if k not in partner:
+                    if d + pot_r.get(k, 0.0) < total:
+                        goal, total = (1, k), d + pot_r.get(k, 0.0)
+                elif d < dist.get(partner[k], np.inf):
+                    dist[partner[k]] = d
+                    heapq.heappush(heap, (d, 0, partner[k]))
+        for i in done_l:
+            pot_l[i] -= max(0.0, total - dist[i])
+        for j, d in dist_r.items():
+            if d < total:
+                pot_r[j] = pot_r.get(j, 0.0) + total - d
+        side, k = goal
+        if side == 0 and k == root:
+            continue
+        # turn the path round
+        j = k if side == 1 else chosen.pop(k)
         while True:
-            used[j0] = True
-            free = ~used[1:]
-            cur = cost[p[j0] - 1] - u[p[j0]] - v[1:]
-            better = free & (cur < least[1:])
-            least[1:][better] = cur[better]
-            way[1:][better] = j0
-            j1 = int(np.argmin(np.where(free, least[1:], np.inf))) + 1
-            d = least[j1]
-            u[p[used]] += d
-            v[used] -= d
-            least[~used] -= d
-            j0 = j1
-            if p[j0] == 0:
+            i = before[j]
+            last = chosen.get(i)
+            partner[j], chosen[i] = i, j
+            if i == root:
                 break
-        while j0:
-            p[j0], j0 = p[way[j0]], way[j0]
-    out = [-1] * n
-    for j in range(1, m + 1):
-        if p[j]:
-            out[p[j] - 1] = j - 1
-    return out
+            j = last
+    return chosen
 
 
 def assign(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of the pairs of one component of two sources the one-to-one set of the greatest
     total confidence."""
     pdf = pdf.sort_values(["a", "b"], kind="stable")
-    left, right = sorted(set(pdf["x"])), sorted(set(pdf["y"]))
-    gain = np.zeros((len(left), len(right) + len(left)))
-    li, ri = {c: i for i, c in enumerate(left)}, {c: i for i, c in enumerate(right)}
-    for r in pdf.itertuples():
-        gain[li[r.x], ri[r.y]] = max(gain[li[r.x], ri[r.y]], r.total)
-    chosen = {(left[i], right[j]) for i, j in enumerate(hungarian(-gain)) if j < len(right) and gain[i, j] > 0}
-    return pdf[[(r.x, r.y) in chosen for r in pdf.itertuples()]]
+    li, ri = ({c: i for i, c in enumerate(sorted(set(pdf[k])))} for k in ("x", "y"))
+    edges: dict[int, dict[int, float]] = {}
+    for x, y, t in zip(pdf["x"], pdf["y"], pdf["total"]):
+        if t > 0:
+            gains = edges.setdefault(li[x], {})
+            gains[ri[y]] = max(gains.get(ri[y], 0.0), t)
+    chosen = best_assignment(edges)
+    return pdf[[chosen.get(li[x]) == ri[y] for x, y in zip(pdf["x"], pdf["y"])]]
 
 
-def one_to_one(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def one_to_one(pairs: DataFrame) -> DataFrame:
     """For each two sources the assignment that maximises total confidence. Pairs whose
-    ends have no other pair there are taken at once; the rest is cut into components by
-    spreading the least id, and each is solved exactly. Components are a few pieces: a
-    pair already needs nearly equal features."""
+    ends have no other pair there are taken at once; the rest is cut into connected
+    components, and each is solved exactly, in memory that grows with its pairs."""
     first = F.col("sa") < F.col("sb")
     extra = [c for c in pairs.columns if c not in ("a", "b", "sa", "sb", "total")]
     result = ["a", "b", "total", *extra]
@@ -401,20 +431,13 @@ def one_to_one(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     ny = oriented.groupBy(*side, "y").agg(F.count("*").alias("ny"))
     counted = cut(oriented.join(nx, [*side, "x"]).join(ny, [*side, "y"]))
     alone = counted.where("nx = 1 and ny = 1").select(*result)
-    rest = cut(counted.where("nx > 1 or ny > 1").select(*side, "x", "y", *result, F.least("x", "y").alias("label")))
+    node = lambda mark, c: F.concat_ws("\x01", "sx", "sy", F.lit(mark), c)
+    rest = cut(counted.where("nx > 1 or ny > 1").select(node("x", "x").alias("nodex"), node("y", "y").alias("nodey"), "x", "y", *result))
     if rest.isEmpty():
         return alone
-    for _ in range(rounds):
-        lx = rest.groupBy(*side, "x").agg(F.min("label").alias("lx"))
-        ly = rest.groupBy(*side, "y").agg(F.min("label").alias("ly"))
-        step = rest.join(lx, [*side, "x"]).join(ly, [*side, "y"]).withColumn("new", F.least("lx", "ly"))
-        step = cut(step.select(*side, "x", "y", *result, F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")))
-        rest = step.drop("moved")
-        if step.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return alone.unionByName(rest.groupBy(*side, "label").applyInPandas(lambda pdf: assign(pdf)[result], "a string, b string, total double" + "".join(f", {c} string" for c in extra)))
+    labels = components(rest.select(F.col("nodex").alias("a"), F.col("nodey").alias("b"))).withColumnRenamed("node", "nodex")
+    solved = rest.join(labels, "nodex").groupBy("component").applyInPandas(lambda pdf: assign(pdf)[result], "a string, b string, total double" + "".join(f", {c} string" for c in extra))
+    return alone.unionByName(solved)
 
 
 def matches(grades: DataFrame, features: DataFrame) -> DataFrame:
@@ -447,7 +470,7 @@ def matches_of(rows: DataFrame) -> DataFrame:
         (keyed.where("kind > 0 and opus >= 0"), ["kind", "who", "opus", "m", "notes", "candidate_id"]),
     ]
     keep = ["candidate_id", "source", "composer", "kind", "form", "number", "opus", "byname", "fifths", "time", "midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm"]
-    parts = max(2, min(4096, -(-rows.count() // RANGE_ROWS)))
+    parts = max(2, min(20_000, -(-rows.count() // RANGE_ROWS)))
     found = sliding_compare([(df.select(*dict.fromkeys([*keep, *order])), order) for df, order in orders], WINDOW, neighbours, "a string, b string, sa string, sb string, ca string, cb string, total double", parts, reach=alike)
     pairs = cut(found.groupBy("a", "b", "sa", "sb").agg(F.max("total").alias("total"), F.first("ca").alias("ca"), F.first("cb").alias("cb")))
     return one_to_one(pairs).select(F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), F.col("ca").alias("composer_a"), F.col("cb").alias("composer_b"), F.round(1 / (1 + F.exp(-(F.col("total") - ACCEPT))), 4).alias("confidence"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..plans.cut import cut
 from ..sources.tables import table
 from .canonical import parsed
+from .graph import followed
 from .names import Name, align, is_cyrillic, skeleton, word_distance
 
 REP = "tokens array<string>, short array<boolean>, surname int, gen int, cyr boolean, m_title boolean"
@@ -50,7 +51,7 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     return near.unionByName(tokens.select(F.col("token").alias("t"), F.col("token").alias("u")))
 
 
-def name_classes(values: DataFrame, rounds: int = 12, ambiguous: bool = False) -> DataFrame:
+def name_classes(values: DataFrame, ambiguous: bool = False) -> DataFrame:
     """Which distinct spellings in ``value`` name the same person.
 
     Columns: ``name``, ``person`` (a representative key), one row per spelling of
@@ -67,7 +68,7 @@ def name_classes(values: DataFrame, rounds: int = 12, ambiguous: bool = False) -
     belong to. A group with several wordings never counts as another's typing error.
     """
     given = values.where("value is not null").groupBy(F.col("value").alias("name")).agg(F.count("*").alias("n"))
-    given = given.where(F.trim(F.regexp_replace("name", "(?U)\\s", " ")) != "")
+    given = cut(given.where(F.trim(F.regexp_replace("name", "(?U)\\s", " ")) != ""))
     names = cut(parsed(given).join(given, "name").where("kind = 'person'"))
     rep = F.struct(*[c.split()[0] for c in REP.split(", ")])
     groups = cut(
@@ -141,15 +142,7 @@ def name_classes(values: DataFrame, rounds: int = 12, ambiguous: bool = False) -
     )
     parent = links.where("fa and aa < ab").groupBy(F.col("a").alias("key")).agg(F.min_by("b", F.struct("cost", F.struct(-F.col("ab.wordings"), -F.col("ab.weight"), F.col("ab.key")))).alias("root"))
     roots = cut(groups.where("full").select("key").join(parent, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
-    for _ in range(rounds):
-        up = roots.select(F.col("key").alias("root"), F.col("root").alias("next"))
-        moved = roots.join(up, "root").select("key", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-        moved = cut(moved)
-        roots = moved.select("key", "root")
-        if moved.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("name pointers did not settle")
+    roots = followed(roots)
     short = (
         links.where("not fa")
         .join(roots.select(F.col("key").alias("b"), "root"), "b")

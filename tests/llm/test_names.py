@@ -112,6 +112,16 @@ def test_mapping(spark, shard):
     assert dict(got) == cases and len(got) == len(cases)
 
 
+@pytest.mark.parametrize("shard", [20_000, 1, 3])
+def test_given_names_are_those_of_the_whole_list(spark, shard):
+    """Mario is no misspelling of Maria where both are given names of the list, in
+    whatever shard they stand."""
+    e = spark.createDataFrame([("Maria Sorell",), ("Mario Kintreva",), ("Anna Vrestol",)], "entry string")
+    v = spark.createDataFrame([("Mario Sorell",), ("Maria Sorel",), ("Marka Sorell",)], "value string")
+    got = {r.raw_composer: r.composer for r in canonical.map_to_list(v, e, shard).collect()}
+    assert got == {"Mario Sorell": "", "Maria Sorel": "Maria Sorell", "Marka Sorell": "Maria Sorell"}
+
+
 def test_mapping_of_empty_tables(spark):
     v = spark.createDataFrame([("Pilar Welveloz",)], "value string")
     e = spark.createDataFrame([("Pilar Welveloz",)], "entry string")
