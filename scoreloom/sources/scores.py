@@ -385,6 +385,56 @@ def header_fields(src: str) -> dict[str, str]:
     return {k: v.replace('\\"', '"') for k, v in re.findall(r'(?m)^\s*([A-Za-z][\w-]*)\s*=\s*(?:\\markup\s*)?"((?:\\.|[^"\\])*)"', body)}
 
 
+def without_header(src: str) -> str:
+    """The text without its first header block."""
+    scan = blank_comments(src)
+    m = re.search(r"\\header\s*\{", scan)
+    end = close_brace(scan, m.end() - 1) if m else -1
+    return src[: m.start()] + src[end:] if end > 0 else src
+
+
+def tab_as_staff(src: str) -> str:
+    """Tablature contexts under the names of ordinary ones."""
+    return re.sub(r"\bTab(Staff|Voice)\b", r"\1", src)
+
+
+_TAB = re.compile(r"\\(?:(?:new|context)\s+)?TabStaff\b\s*(?=\{|<<)")
+
+
+def without_tab(src: str) -> str:
+    """The text without tablature blocks, in braces or double angle brackets; one that
+    has a name or never closes stays."""
+    scan, kept, at = blank_comments(src), [], 0
+    for m in _TAB.finditer(scan):
+        if m.start() < at:
+            continue
+        opens, closes = ("{", "}") if scan[m.end()] == "{" else ("<<", ">>")
+        depth, end = 0, -1
+        for t in re.finditer(f"{opens}|{closes}", scan[m.end() :]):
+            depth += 1 if t.group() == opens else -1
+            if depth == 0:
+                end = m.end() + t.end()
+                break
+        if end > 0:
+            kept.append(src[at : m.start()])
+            at = end
+    return "".join(kept) + src[at:]
+
+
+REWRITES = {"header": without_header, "rename": tab_as_staff, "drop": without_tab}
+
+
+def rewrite(files: DataFrame, kind: str) -> DataFrame:
+    """(id, text) after one of the ``REWRITES``; null stays null."""
+    change = REWRITES[kind]
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(text=[None if t is None else change(t) for t in pdf["text"]])
+
+    return files.select("id", "text").mapInPandas(run, "id string, text string")
+
+
 def split_lilypond(files: DataFrame) -> DataFrame:
     """One row per score block of each file (id, text): (id, movement, block, title,
     composer); files without one give a row of movement 0."""
