@@ -248,11 +248,13 @@ def same_person(a: str, b: str) -> bool:
 
 def alike(pdf: pd.DataFrame, order: list[str]) -> np.ndarray:
     """For each row how many of the next have the same key up to the measures, and
-    measures within ``MEASURES``: where rows are dense, the window is that much wider."""
-    m = pdf["m"].to_numpy(float)
+    measures within ``MEASURES``: where rows are dense, the window is that much wider.
+    Missing values are alike."""
+    m = pdf["measure_count"].fillna(-1.0).to_numpy(float)
     new = np.zeros(len(m), bool)
-    for c in order[: order.index("m")]:
-        v = pdf[c].to_numpy()
+    for c in order[: order.index("measure_count")]:
+        v = pdf[c]
+        v = v.to_numpy() if v.dtype == object else v.fillna(-99.0).to_numpy(float)
         new[1:] |= v[1:] != v[:-1]
     start = np.flatnonzero(np.concatenate([[True], new[1:]])) if len(m) else np.zeros(0, np.int64)
     out = np.zeros(len(m), np.int64)
@@ -271,8 +273,7 @@ def neighbours(pdf: pd.DataFrame, a_to: int, b_from: int, reach: np.ndarray | No
     col = {c: pdf[c].to_numpy() for c in ("kind", "form", "number", "opus")}
     num = {c: pdf[c].to_numpy(float) for c in ("fifths", "time", "midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm")}
     source = pd.factorize(pdf["source"])[0]
-    origin = pdf["source"].to_numpy()
-    cid, composer, byname = (pdf[c].to_numpy() for c in ("candidate_id", "composer", "byname"))
+    row, composer, byname = (pdf[c].to_numpy() for c in ("id", "composer", "byname"))
     has = np.array([bool(b) for b in byname], bool)
     for k in range(1, min(n, WINDOW if reach is None else max(WINDOW, int(reach.max(initial=0)) + 1))):
         if k < WINDOW:
@@ -336,9 +337,8 @@ def neighbours(pdf: pd.DataFrame, a_to: int, b_from: int, reach: np.ndarray | No
                 else:
                     total += 1.5
             if total >= least:
-                p, q = sorted((i, j), key=lambda x: cid[x].encode())
-                out.append((cid[p], cid[q], origin[p], origin[q], composer[p], composer[q], float(total)))
-    return pd.DataFrame(out, columns=["a", "b", "sa", "sb", "ca", "cb", "total"])
+                out.append((*sorted((int(row[i]), int(row[j]))), float(total)))
+    return pd.DataFrame(out, columns=["a", "b", "total"])
 
 
 def best_assignment(edges: dict[int, dict[int, float]]) -> dict[int, int]:
@@ -458,21 +458,27 @@ def matches(grades: DataFrame, features: DataFrame) -> DataFrame:
 
 def matches_of(rows: DataFrame) -> DataFrame:
     """``matches`` for what ``described`` gives, with the composers as spelled."""
-    measures = F.coalesce("measure_count", F.lit(-1.0))
-    keyed = rows.withColumns({"m": measures, "f": F.coalesce("fifths", F.lit(99.0)), "t": F.coalesce("time", F.lit(-1.0)), "notes": F.coalesce("note_count", F.lit(-1.0)), "low": F.coalesce("midi_min", F.lit(-1.0))})
+    # a number for each piece, so that neither the orders nor the pairs carry its texts
+    keyed = rows.withColumn("id", F.monotonically_increasing_id())
+    features = ["fifths", "time", "midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm"]
+    named = ["kind", "who"]
     orders = [
-        (keyed.where("opus >= 0 and number >= 0"), ["opus", "number", "f", "t", "m", "notes", "candidate_id"]),
-        (keyed.where("byname <> ''"), ["byname", "f", "m", "candidate_id"]),
-        (keyed.where("kind > 0"), ["kind", "who", "form", "f", "t", "m", "notes", "candidate_id"]),
-        (keyed.where("kind > 0"), ["kind", "who", "f", "t", "low", "m", "notes", "candidate_id"]),
+        (keyed.where("opus >= 0 and number >= 0"), ["opus", "number", "fifths", "time", "measure_count", "note_count", "id"]),
+        (keyed.where("byname <> ''"), ["byname", "fifths", "measure_count", "id"]),
+        (keyed.where("kind > 0"), [*named, "form", "fifths", "time", "measure_count", "note_count", "id"]),
+        (keyed.where("kind > 0"), [*named, "fifths", "time", "midi_min", "measure_count", "note_count", "id"]),
         # without the key, which may be wrong or missing on one side
-        (keyed.where("kind > 0 and number >= 0"), ["kind", "who", "number", "m", "notes", "candidate_id"]),
-        (keyed.where("kind > 0 and opus >= 0"), ["kind", "who", "opus", "m", "notes", "candidate_id"]),
+        (keyed.where("kind > 0 and number >= 0"), [*named, "number", "measure_count", "note_count", "id"]),
+        (keyed.where("kind > 0 and opus >= 0"), [*named, "opus", "measure_count", "note_count", "id"]),
     ]
-    keep = ["candidate_id", "source", "composer", "kind", "form", "number", "opus", "byname", "fifths", "time", "midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm"]
+    keep = ["id", "source", "composer", "kind", "form", "number", "opus", "byname", *features]
     parts = max(2, min(20_000, -(-rows.count() // RANGE_ROWS)))
-    found = sliding_compare([(df.select(*dict.fromkeys([*keep, *order])), order) for df, order in orders], WINDOW, neighbours, "a string, b string, sa string, sb string, ca string, cb string, total double", parts, reach=alike)
-    pairs = cut(found.groupBy("a", "b", "sa", "sb").agg(F.max("total").alias("total"), F.first("ca").alias("ca"), F.first("cb").alias("cb")))
+    found = sliding_compare([(df.select(*dict.fromkeys([*keep, *order])), order) for df, order in orders], WINDOW, neighbours, "a long, b long, total double", parts, reach=alike)
+    best = found.groupBy("a", "b").agg(F.max("total").alias("total"))
+    for end in "ab":
+        best = best.join(keyed.select(F.col("id").alias(end), F.struct(F.col("candidate_id").alias("i"), F.col("source").alias("s"), F.col("composer").alias("c")).alias(f"_{end}")), end)
+    first, second = F.least("_a", "_b"), F.greatest("_a", "_b")  # by candidate_id
+    pairs = cut(best.select(first.alias("x"), second.alias("y"), "total").select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), F.col("x.s").alias("sa"), F.col("y.s").alias("sb"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"), "total"))
     return one_to_one(pairs).select(F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), F.col("ca").alias("composer_a"), F.col("cb").alias("composer_b"), F.round(1 / (1 + F.exp(-(F.col("total") - ACCEPT))), 4).alias("confidence"))
 
 
