@@ -49,32 +49,44 @@ NOISE = frozenset(
     "largo adagio presto vivace waltz valse prelude edited from manuscript ref untitled title ohne sin sans name nome nom nombre test copyright public domain edition unspecified missing empty blank undefined "
     "default arranger editor arr for in the and y und et by comp page seite pagina error value part parts vol book untitledscore title1 composer1".split()
 )
+# Familiar names that no rule (see ``familiar``) brings to the name they stand for.
 NICKNAMES_TEXT = """
-adela: adele | adelina: adele | ada: adele | ines: agnes | agna: agnes | neza: agnes | alex: alexander | sandro: alexander | sascha: alexander | sasha: alexander | alec: alexander
-anselmo: anselm | selmo: anselm | toni: antonio | tonio: antonio | tono: antonio | antoine: antonio | bart: bartolome | bartolo: bartolome | bartel: bartolome | mea: bartolome | bea: beatriz | trixi: beatriz
-bjorni: bjorn | gitta: brigitte | gitte: brigitte | britta: brigitte | biggi: brigitte | kaspar: caspar | cate: catherine | kate: catherine | cathy: catherine | kitty: catherine | cat: catherine | katie: catherine
-charlie: charles | chuck: charles | charley: charles | chas: charles | clem: clemente | mente: clemente | cosma: cosima | cosi: cosima | dani: daniela | ela: daniela | dieter: dietrich | dirk: dietrich
-mimmo: domenico | menico: domenico | mingo: domenico | nico: domenico | dora: dorothea | thea: dorothea | dorle: dorothea | dot: dorothea | ed: edmund | eddie: edmund | ned: edmund | mundi: edmund | nora: eleonora | leonora: eleonora
-lena: eleonora | ella: eleonora | liz: elizabeth | lizzie: elizabeth | beth: elizabeth | betty: elizabeth | bess: elizabeth | eliza: elizabeth | milo: emilio | emil: emilio | kike: enrique | quique: enrique
-fabri: fabrizio | nando: ferdinando | ferdi: ferdinando | fernando: ferdinando | flori: florian | flo: florian | paco: francisco | pancho: francisco | curro: francisco | kiko: francisco | quico: francisco | cisco: francisco
-fritz: friedrich | fredl: friedrich | fred: friedrich | gasparo: gaspard | trude: gertrud | trudi: gertrud | gerda: gertrud | gianni: giovanni | vanni: giovanni | nino: giovanni | beppe: giuseppe | peppe: giuseppe | peppino: giuseppe | pino: giuseppe
-memo: guillermo | guille: guillermo | hedi: hedwig | hedy: hedwig | wiggi: hedwig | heinz: heinrich | heini: heinrich | heiner: heinrich | hilar: hilarion | hilo: hilarion | hortensia: hortense
-nacho: ignacio | ilsa: ilse | isi: isidro | sidro: isidro | kuba: jakub | jacob: jakub | jb: jean-baptiste | quino: joaquin | ximo: joaquin | chimo: joaquin | hans: johann | hannes: johann | jonah: jonas | pepe: jose | chepe: jose | pepito: jose
-kathi: katharina | katja: katharina | kathe: katharina | trina: katharina | rina: katharina | klarchen: klara | leo: leandro | poldi: leopold | pold: leopold | renzo: lorenzo | lori: lorenzo | enzo: vincenzo | ludo: ludovic | ludwik: ludovic | lutz: ludwig | wiggerl: ludwig | lui: ludwig
-manolo: manuel | manu: manuel | lolo: manuel | marcelino: marcelo | celo: marcelo | chelo: marcelo | peggy: margaret | maggie: margaret | meg: margaret | madge: margaret | greta: margaret | daisy: margaret | marge: margaret
-tilda: mathilde | hilde: mathilde | thilde: mathilde | teo: matteo | misha: mikhail | mischa: mikhail | miska: mikhail | kolya: nikolai | niko: nikolai | klaus: nikolai | nolo: nikolai | norb: norbert | bert: norbert | bertl: norbert | emi: noemie | mimi: noemie
-tavo: octavio | otto: ottavio | tavio: ottavio | pippa: philippa | pip: philippa | pili: pilar | piluca: pilar | quirino: quirin | rafa: rafael | raf: rafael | rafi: rafael | rena: renata | nata: renata | bob: robert | rob: robert | bobby: robert | robbie: robert
-rosa: rosalia | lia: rosalia | sigi: sigrid | siri: sigrid | silvano: silvio | silvi: silvio | soren: soren | tad: tadeo | tedi: tadeo | tere: teresa | tessa: teresa | resi: teresa | ted: theodor | theo: theodor | teddy: theodor | tom: thomas | tommy: thomas | tomas: thomas | thos: thomas
-uli: ulrike | ulla: ulrike | rike: ulrike | urban: urbano | ursel: ursula | uschi: ursula | ursi: ursula | vale: valentina | tina: valentina | vic: viktor | vitya: viktor | vik: viktor | cencio: vincenzo | walt: walter | wally: walter | wat: walter
-wenz: wenzel | vaclav: wenzel | bill: william | will: william | wm: william | billy: william | willy: william | xime: ximena | mena: ximena | yoli: yolanda | yola: yolanda | zach: zacharias | zack: zacharias | zacha: zacharias | stephane: etienne | steve: etienne | tienne: etienne
-maso: damaso | geo: georg | jas: james | jos: joseph | chris: christian | ben: benjamin | gio: giovanni | giov: giovanni | giac: giacomo | bernd: bernhard | gonza: gonzalo | chalo: gonzalo
+adele: adela adelina ada | agnes: ines agna neza | alberto: beto tito | alexander: sandro sascha sasha alec | alexei: alyosha | alois: loisl | ann: nancy | anselm: anselmo selmo
+anthony: tony | antonio: toni tono antoine | august: gustl | bartolome: bartel mea | beatriz: trixi | bernhard: bernd | brigitte: gitta britta biggi | caspar: kaspar
+catherine: cate kate kitty katie | charles: chuck chas | christopher: kit | concepcion: concha | cosima: cosma | daniela: ela | dietrich: dieter dirk | dmitri: mitya dima
+dolores: lola | domenico: mimmo mingo | dorothea: dora dorle dot | edmund: ed eddie ned mundi | eduardo: lalo | eleonora: leonora lena ella | elisabeth: lisl sissi lison
+elizabeth: liz lizzie betty bess | emilio: milo | enrique: kike quique | ernesto: neto | etienne: stephane steve tienne | evgeni: zhenya | ferdinando: fernando | filippo: pippo
+francesco: ciccio cecco | francisco: paco pancho curro kiko quico | frantisek: franta | friedrich: fritz fredl fred | gaspard: gasparo | georg: schorsch jorg
+gertrud: trude trudi gerda | giovanni: gianni nino | giuseppe: beppe peppe peppino pino | gonzalo: chalo | gregorio: goyo | grigori: grisha | guillermo: memo | hedwig: wiggi
+heinrich: heinz heiner | henry: harry hank | hilarion: hilo | hortense: hortensia | ignacio: nacho | ignaz: naz | ilse: ilsa | isidro: sidro | ivan: vanya | jakub: kuba jacob
+james: jas jim jimmy | jan: honza jenda | jean-baptiste: jb | jesus: chus | joaquin: quino ximo chimo | johann: hans hannes | john: jack | jonas: jonah | jose: pepe chepe pepito
+josef: sepp peppi jupp pepik | joseph: joe sepp | karl: kalle | katharina: katja kathe trina | klara: klarchen | konstantin: kostya | lawrence: larry | leandro: leo | leopold: poldi
+lorenz: lenz | ludovic: ludwik | ludwig: lutz wiggerl lui | luigi: gigi gino | manuel: manolo lolo | marcelo: marcelino chelo | margaret: peggy maggie meg madge greta daisy marge
+margarete: gretel | marguerite: margot | marie: manon | mary: polly molly | mathilde: tilda | matteo: teo | michael: mike mick | mikhail: misha mischa miska | nicolas: colin
+nikolai: kolya klaus nolo | noemie: emi mimi | norbert: bertl | octavio: tavo | ottavio: otto | philippa: pippa pip | pierre: perrin pierrot | pilar: piluca | pyotr: petya
+quirin: quirino | richard: dick rick | robert: bob bobby | rosalia: lia | rosario: charo | sarah: sally | sigrid: siri | silvio: silvano | stanislaw: staszek | tadeo: tedi
+teresa: tessa resi | theodor: ted teddy | thomas: tom tommy tomas thos | ulrike: uli ulla | ursula: ursel uschi | veronika: vroni | viktor: vic vitya | vincenzo: cencio
+vladimir: volodya vova | walter: wat | wenzel: vaclav | william: bill wm billy | wojciech: wojtek | zacharias: zack
 """
 # ---------------------------------------------------------------- end of fixed values
 NICKNAMES: dict[str, set[str]] = {}
-for _pair in re.split(r"[|\n]", NICKNAMES_TEXT):
-    if ":" in _pair:
-        _a, _b = (x.strip() for x in _pair.split(":"))
-        NICKNAMES.setdefault(_a, set()).add(_b)
+for _entry in re.split(r"[|\n]", NICKNAMES_TEXT.strip()):
+    _name, _short = _entry.split(":")
+    for _w in _short.split():
+        NICKNAMES.setdefault(_w, set()).add(_name.strip())
+
+
+@lru_cache(200_000)
+def familiar(t: str, u: str) -> bool:
+    """Whether ``t`` is by its form a familiar name of ``u``: its beginning (Zach), its end
+    (Nando), or its beginning with y, ie or i, a consonant doubled or not (Rafi, Danny)."""
+    if len(t) >= 3 and t != u and u.startswith(t):
+        return True
+    if len(t) >= 4 and len(u) - len(t) >= 2 and u.endswith(t):
+        return True
+    m = re.fullmatch(r"(.{3,}?)(?:y|ie|i)", t)
+    return bool(m) and t != u and (u.startswith(m.group(1)) or len(m.group(1)) > 3 and m.group(1)[-1] == m.group(1)[-2] and u.startswith(m.group(1)[:-1]))
+
 
 @lru_cache(100_000)
 def skeleton(token: str) -> str:
@@ -395,7 +407,7 @@ def _align(a: Name, b: Name, givens: frozenset[str]) -> Match | None:
                 row[j] = (0.25, 0)
             elif not is_sur and t in givens and u in givens:
                 continue
-            elif not is_sur and len(t) > 2 and u.startswith(t):
+            elif not is_sur and (familiar(t, u) or familiar(u, t)):
                 row[j] = (0.3, 0)
             else:
                 d = word_distance(t, u)

@@ -6,12 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut
+from ..plans.cut import cut, size_checked
 from ..sources.tables import table
 from .canonical import parsed
 from .graph import followed
-from .names import Name, align, is_cyrillic, skeleton, word_distance
+from .names import NICKNAMES, Name, align, is_cyrillic, skeleton, word_distance
 
+CROWD = 50  # holders of one surname from which their given names decide who meets
 REP = "tokens array<string>, short array<boolean>, surname int, gen int, cyr boolean, m_title boolean"
 
 
@@ -51,6 +52,46 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     return near.unionByName(tokens.select(F.col("token").alias("t"), F.col("token").alias("u")))
 
 
+def given_keys(token: str, asks: bool) -> set[str]:
+    """What a given name shares with every form of it that ``align`` allows: of its own
+    letters and of its skeleton the first, the second, and the second in its place, so
+    that one edit or swap leaves one; the same of the names it is a nickname of; and itself
+    as the end of another, and every end it has, which differ as one asks or offers."""
+    keys = set()
+    for t in (token, *NICKNAMES.get(token, ())):
+        sk = skeleton(t)
+        forms = [("s", sk)] if is_cyrillic(t) else [("s", sk), ("r", t.replace("rn", "m"))]
+        for tag, f in forms:
+            keys.update(tag + c for c in f[:2])
+            keys.update({tag + "2" + f[1]} if len(f) > 1 else ())
+    keys.update(("x" if asks else "w") + token[-n:] for n in range(4, len(token)))
+    keys.add(("w" if asks else "x") + token)
+    return keys
+
+
+def meeting_keys(groups: DataFrame) -> DataFrame:
+    """(key, asks, offers): with what a group asks others of a like surname to compare,
+    and what it offers. A group all of whose words may be the surname asks for those with
+    a surname of so many words."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key, tokens, surname, full, cyr, m_title in zip(*(pdf[c] for c in ("key", "tokens", "surname", "full", "cyr", "m_title"))):
+                n = len(tokens)
+                given = list(tokens) if cyr or not surname else list(tokens[: n - surname])
+                asks = set().union(*(given_keys(t, True) for t in given)) if given else set()
+                if cyr or surname in (0, n):
+                    asks.add(f"*{n}")
+                if m_title:
+                    asks |= given_keys("m", True)
+                offers = {f"*{surname}"} | (given_keys(tokens[0], False) if surname < n else set()) if full and surname else set()
+                rows.append((key, sorted(asks), sorted(offers)))
+            yield pd.DataFrame(rows, columns=["key", "asks", "offers"])
+
+    return groups.select("key", "tokens", "surname", "full", "cyr", "m_title").mapInPandas(run, "key string, asks array<string>, offers array<string>")
+
+
 def name_classes(values: DataFrame, ambiguous: bool = False) -> DataFrame:
     """Which distinct spellings in ``value`` name the same person.
 
@@ -61,10 +102,10 @@ def name_classes(values: DataFrame, ambiguous: bool = False) -> DataFrame:
     share.
 
     Spellings equal up to order, case, accents and decoration form a group at once.
-    Groups meet through surname words within one edit (symmetric-delete index) and
-    are compared by optimal assignment of words; every full group points to the
-    closest one of more authority (more wordings, more rows), and pointers are
-    followed to their end. Short forms join the one person that all groups they fit
+    Groups meet through surname words within one edit (symmetric-delete index) and what
+    their given names share, and are compared by optimal assignment of words; every full
+    group points to the closest one of more authority (more wordings, more rows), and
+    pointers are followed to their end. Short forms join the one person that all groups they fit
     belong to. A group with several wordings never counts as another's typing error.
     """
     given = values.where("value is not null").groupBy(F.col("value").alias("name")).agg(F.count("*").alias("n"))
@@ -87,13 +128,17 @@ def name_classes(values: DataFrame, ambiguous: bool = False) -> DataFrame:
         F.explode(F.expr("case when surname > 0 and not cyr then slice(tokens, -surname, surname) else filter(tokens, (t, i) -> not short[i] and length(t) > 2) end")).alias("token"),
     ).where("length(token) > 2")
     near = similar_tokens(words.select("token").distinct())
+    asking = words.select(F.col("key").alias("a"), F.col("token").alias("t")).join(near, "t").select("a", "u")
+    offering = words.where("full and ordered").select(F.col("key").alias("b"), F.col("token").alias("u"))
+    # where many hold one surname they meet only if their given names share something as
+    # well, so that not all are compared with one another; the pairs found are the same
+    hot = size_checked(offering.groupBy("u").agg(F.count("*").alias("n")).where(f"n > {CROWD}").select("u"), 200_000)
+    keys = cut(meeting_keys(groups))
+    keyed = lambda df, end, c: df.join(hot, "u", "left_semi").join(keys.select(F.col("key").alias(end), F.explode(c).alias("k")), end)
     pairs = (
-        words.select(F.col("key").alias("a"), F.col("token").alias("t"))
-        .join(near, "t")
-        .join(words.where("full and ordered").select(F.col("key").alias("b"), F.col("token").alias("u")), "u")
-        .where("a <> b")
-        .select("a", "b")
-        .distinct()
+        asking.join(hot, "u", "left_anti").join(offering, "u").select("a", "b")
+        .unionByName(keyed(asking, "a", "asks").join(keyed(offering, "b", "offers"), ["u", "k"]).select("a", "b"))
+        .where("a <> b").distinct()
     )
     givens = cut(
         groups.where("full and surname > 0 and not cyr and wordings > 1")

@@ -136,7 +136,9 @@ def test_a_misspelling_with_wordings_of_its_own_is_another_person(spark):
     assert got == {"Ignacio Driergalez": "", "Driergalez, Ignacio": "", "Ignacoi Driergalrz": "Ignacio Isidro Driergalrz"}
 
 
-def test_classes(spark):
+@pytest.mark.parametrize("crowd", [50, 0])
+def test_classes(spark, crowd, monkeypatch):
+    monkeypatch.setattr(variants, "CROWD", crowd)
     a = ["Pilar Welveloz", "Welveloz, Pilar", "PILAR WELVELOZ", "Piler Welveloz", "P. Welveloz", "Пилар Велвелоз", "Pilar Welveloz "]
     b = ["Ottavio Welveloz", "Welveloz, Ottavio", "Ottavio Welveloz (?)"]
     c = ["Zacharias Potelero I", "Potelero, Zacharias sr."]
@@ -162,6 +164,31 @@ def test_pairs_are_those_of_the_classes(spark, tmp_path):
     assert got == sorted([("Pilar Welveloz", "Welveloz, Pilar"), ("Pilar Welveloz", "pilar welveloz"), ("Welveloz, Pilar", "pilar welveloz"), ("Ottavio Welveloz", "Welveloz, Ottavio")])
 
 
+def test_like_names_share_a_meeting_key(spark):
+    """Whatever ``align`` takes for one person meets by a key."""
+    import pandas as pd
+
+    known = [p for pair in SAME for p in pair] + ["Danny Kolb", "Daniel Kolb", "Nando Kolb", "Fernando Kolb", "Kkara Kolb", "Klara Kolb", "Lkara Kolb", "lara Kolb", "Bill Kolb", "William Kolb", "Kolb", "M. Kolb", "Manuel Kolb"]
+    parsed = {raw: parse(raw) for raw in dict.fromkeys(known)}
+    rows = [(raw, n.tokens, n.short, n.surname, n.gen, n.cyr, n.m_title, n.full == len(n.tokens) > 1) for raw, n in parsed.items()]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["key", "tokens", "short", "surname", "gen", "cyr", "m_title", "full"]), "key string, tokens array<string>, short array<boolean>, surname int, gen int, cyr boolean, m_title boolean, full boolean")
+    keys = {r.key: (set(r.asks), set(r.offers)) for r in variants.meeting_keys(df).collect()}
+    pairs = 0
+    for a, x in parsed.items():
+        for b, y in parsed.items():
+            if a != b and y.surname and y.full == len(y.tokens) > 1 and align(x, y):
+                pairs += 1
+                assert keys[a][0] & keys[b][1], (a, b)
+    assert pairs > 30
+
+
+@pytest.mark.parametrize("a,b,want", [("nando", "fernando", True), ("danny", "daniel", True), ("rafi", "rafael", True), ("maria", "maria", False), ("ana", "mariana", False), ("mario", "maria", False), ("anna", "hanna", False)])
+def test_familiar_forms(a, b, want):
+    from scoreloom.llm.names import familiar
+
+    assert familiar(a, b) is want
+
+
 def test_key_ignores_order_case_and_decoration():
     assert parse("Welveloz, Pilar (1761-1803)").key == parse("pilar welveloz").key == parse("by PILAR WELVELOZ *").key
     assert isinstance(parse("a"), Name)
