@@ -56,10 +56,15 @@ def duplicates_by_sha(spark, base):
     return d.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
+def _digest(c):
+    """A number that follows from a text."""
+    return F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("int")
+
+
 def parent_fallback(spark, base):
     """Movements inherit their container's record."""
     g = table(spark, base, "mutopia_candidate", ["candidate_id", "license", "composer"]).groupBy("candidate_id").agg(F.max("license").alias("license"), F.max("composer").alias("composer"))
-    kids = g.select(F.concat("candidate_id", F.when(F.crc32("candidate_id") % 3 == 0, F.lit("")).otherwise(F.lit("#movement01"))).alias("candidate_id")).unionByName(g.limit(0).select("candidate_id"))
+    kids = g.select(F.concat("candidate_id", F.when(_digest("candidate_id") % 3 == 0, F.lit("")).otherwise(F.lit("#movement01"))).alias("candidate_id"))
     return I.parent_fallback(kids, g, "candidate_id", ["license", "composer"])
 
 
@@ -94,7 +99,7 @@ def capped_sections(spark, base):
 
 def path_noise(spark, base):
     a = table(spark, base, "guitar_loot_candidate", ["candidate_id", "path", "page_url"]).distinct()
-    p = F.concat_ws("/", "path", "page_url", F.when(F.crc32("candidate_id") % 50 == 0, F.lit("x/samples/y")))
+    p = F.concat_ws("/", "path", "page_url", F.when(_digest("candidate_id") % 50 == 0, F.lit("x/samples/y")))
     return a.withColumn("noise", I.path_noise(p)).groupBy("noise").agg(F.count("*").alias("n"))
 
 
@@ -117,7 +122,10 @@ QUERIES = {n: globals()[n] for n in NAMES}
 _G = """d as (select *, case when text is not null then sha256(text) end as sha, case when contains(source, 'notes') then 'PATH_NOISE' when text is null then 'FETCH_FAILED' when trim(text, ' ') = '' then 'NO_NOTES' when length(text) < 300 then 'FRAGMENT'
  when lang is null then 'MISSING_COMPOSER' when length(lang) > 2 then 'PLACEHOLDER_METADATA' end as code0 from documents),
 g as (select *, case when code0 is null and row_number() over (partition by sha, code0 is null order by doc_id) > 1 then 'DUPLICATE' else code0 end as code, case when code0 is null and row_number() over (partition by sha, code0 is null order by doc_id) > 1 then first(doc_id) over (partition by sha, code0 is null order by doc_id) end as winner from d)"""
+_MD = "('0x' || md5(candidate_id)[1:6])::int"
 SQL = {
+    "parent_fallback": f"select candidate_id || case when {_MD} % 3 = 0 then '' else '#movement01' end as candidate_id, max(license) as license, max(composer) as composer from mutopia_candidate where candidate_id is not null group by candidate_id",
+    "path_noise": f"with a as (select distinct candidate_id, path, page_url, lower(concat_ws('/', path, page_url, case when {_MD} % 50 = 0 then 'x/samples/y' end)) as p from guitar_loot_candidate) select case " + " ".join(f"when contains(p, '{n}') then '{n}'" for n in X.PATH_NOISE) + " end as noise, count(*) as n from a group by 1",
     "gate_chain": f"with {_G} select doc_id, code, winner from g",
     "reject_counts": f"with {_G} select coalesce(code, 'accepted') as code, count(*) as n from g group by 1",
     "reject_by_source": f"with {_G}, c as (select source, code, count(*) as n from g group by 1, 2) select source, sum(n)::bigint as considered, coalesce(sum(n) filter (code is null), 0)::bigint as accepted, arg_max(code, (n, code)) filter (code is not null) as top_code from c group by 1",

@@ -96,6 +96,7 @@ SQL = {
     "toggle_fold": f"{_E}, a as (select *, case when status is distinct from lag(status) over (partition by profile_id order by updated_at, event_id) then 1 else 0 end as st from log), b as (select *, sum(st) over (partition by profile_id order by updated_at, event_id) as run from a), c as (select profile_id, run, count(*) as n, any_value(status) as status from b group by 1, 2) select profile_id, case when n % 2 = 1 then status end as status from c qualify run = max(run) over (partition by profile_id)",
     "best_take": f"{_E} select profile_id, status as kind, event_id, round(value, 6) as value from log qualify row_number() over (partition by profile_id, status order by value desc, event_id desc) = 1",
     "backup_roundtrip": f"{_E}, {_HALF} select profile_id, candidate_id, r.s as status, r.e as event_id from h where side = 0 and r.s <> 'not_for_me'",
+    "backup_json": f"""{_E}, {_HALF} select profile_id, '{{"version":4,"records":{{' || string_agg('"' || candidate_id || '":{{"status":"' || r.s || '","event_id":' || r.e || '}}', ',' order by candidate_id::varchar) || '}}}}' as backup from h where side = 0 group by 1""",
     "props_records": "select user_id as profile_id, count(*) as n, max((props::json ->> 'k')::bigint) as greatest, sum((props::json ->> 'k')::bigint)::bigint as total from events where (props::json ->> 'k')::bigint >= 10 group by 1",
     "delete_cascade": f"{_E} select profile_id, count(*) as n from log where profile_id not in (select profile_id from log where status = 'too_hard' and value > 60) group by 1",
     "backup_names": f"{_E} select profile_id, '-profile-' || profile_id || '--' || strftime(max(updated_at), '%Y-%m-%d') || '.json' as file from log group by 1",
