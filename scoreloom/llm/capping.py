@@ -9,7 +9,7 @@ from ..operators.ordering import rank_in_group
 from ..plans.cut import cut
 from ..sources.tables import table
 
-SALTS = 16
+SALTS, PART_ROWS = 16, 100_000  # parts of a contributor at least, and rows of one, about
 LEAST, SHARE = 3, 200  # the cap: greatest(LEAST, records div SHARE)
 
 
@@ -32,40 +32,44 @@ def latest(df: DataFrame) -> DataFrame:
     )
 
 
-def capped(df: DataFrame, salts: int = SALTS, least: int = LEAST, share: int = SHARE) -> DataFrame:
-    """The latest row of each candidate_id with ``kept``: whether it is among the
-    first cap records of its contributor, higher quality_score first, null and NaN
-    last as equals, ties by smaller candidate_id. The contributor is (source,
-    composer_normalized), tidied; with a null or blank composer nothing is capped.
-    An empty table gives an empty one.
+def beyond_cap(df: DataFrame, salts: int | None = None, least: int = LEAST, share: int = SHARE) -> DataFrame:
+    """(candidate_id) of the records beyond the cap of their contributor; see ``capped``.
+    Carries keys only.
 
     Only contributors above the cap are ranked; they are fewer than ``share`` (each
     holds more than one part in ``share`` of all records), so their list may be
-    broadcast. They are ranked in ``salts`` parts first: what is beyond the cap in
-    its part is beyond it in all. The survivors get their exact ranks from range
-    partitions with offsets, so no contributor is gathered in one task.
+    broadcast. They are ranked in ``salts`` parts first (as many as keep a part of the
+    largest below ``PART_ROWS``): what is beyond the cap in its part is beyond it in
+    all. The survivors get their exact ranks from range partitions with offsets, so no
+    contributor is gathered in one task.
     """
-    rows = cut(latest(df).withColumn("c_source", F.coalesce(tidy("source"), F.lit(""))).withColumn("c_composer", tidy("composer_normalized")))
-    n = rows.count()
-    cap = max(least, n // share)
-    named = rows.where("c_composer <> ''")
-    large = named.groupBy("c_source", "c_composer").agg(F.count("*").alias("size")).where(F.col("size") > cap).drop("size")
+    keys = df.select("candidate_id", "source", "composer_normalized", "quality_score", "graded_at")
     worst = F.coalesce(-F.nanvl("quality_score", F.lit(None)), F.lit(float("inf")))
+    rows = cut(latest(keys).select("candidate_id", F.coalesce(tidy("source"), F.lit("")).alias("c_source"), tidy("composer_normalized").alias("c_composer"), worst.alias("worst")))
+    cap = max(least, rows.count() // share)
+    named = rows.where("c_composer <> ''")
+    large = cut(named.groupBy("c_source", "c_composer").agg(F.count("*").alias("size")).where(F.col("size") > cap))
+    if salts is None:
+        salts = max(SALTS, -(-(large.agg(F.max("size")).first()[0] or 0) // PART_ROWS))
     ranked = (
-        named.join(F.broadcast(large), ["c_source", "c_composer"], "left_semi")
-        .select("candidate_id", "c_source", "c_composer", worst.alias("worst"))
+        named.join(F.broadcast(large.drop("size")), ["c_source", "c_composer"], "left_semi")
         .withColumn("salt", F.pmod(F.xxhash64("candidate_id"), F.lit(salts)))
         .withColumn("pre", F.row_number().over(Window.partitionBy("c_source", "c_composer", "salt").orderBy("worst", "candidate_id")))
     )
     ranked = cut(ranked)
     alive = ranked.where(F.col("pre") <= cap).select("candidate_id", "c_source", "c_composer", "worst")
     placed = rank_in_group(alive, ["c_source", "c_composer"], ["worst", "candidate_id"])
-    dropped = (
-        ranked.where(F.col("pre") > cap).select("candidate_id")
-        .unionByName(placed.where(F.col("rank") > cap).select("candidate_id"))
-        .withColumn("dropped", F.lit(True))
-    )
-    return rows.join(dropped, "candidate_id", "left").withColumn("kept", F.col("dropped").isNull()).drop("dropped", "c_source", "c_composer")
+    return ranked.where(F.col("pre") > cap).select("candidate_id").unionByName(placed.where(F.col("rank") > cap).select("candidate_id"))
+
+
+def capped(df: DataFrame, salts: int | None = None, least: int = LEAST, share: int = SHARE) -> DataFrame:
+    """The latest row of each candidate_id with ``kept``: whether it is among the
+    first cap records of its contributor, higher quality_score first, null and NaN
+    last as equals, ties by smaller candidate_id. The contributor is (source,
+    composer_normalized), tidied; with a null or blank composer nothing is capped.
+    An empty table gives an empty one."""
+    dropped = beyond_cap(df, salts, least, share).withColumn("_dropped", F.lit(True))
+    return latest(df).join(dropped, "candidate_id", "left").withColumn("kept", F.col("_dropped").isNull()).drop("_dropped")
 
 
 def _grades(spark, base):
@@ -73,7 +77,7 @@ def _grades(spark, base):
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    return capped(_grades(spark, base)).where("not kept").select("candidate_id")
+    return beyond_cap(_grades(spark, base))
 
 
 def p1_capped(spark: SparkSession, base: str) -> DataFrame:

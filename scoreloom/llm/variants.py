@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut, size_checked
+from ..plans.cut import cut, size_checked, spread
 from ..sources.tables import table
 from .canonical import parsed
 from .graph import followed
@@ -110,7 +110,7 @@ def name_classes(values: DataFrame, ambiguous: bool = False) -> DataFrame:
     """
     given = values.where("value is not null").groupBy(F.col("value").alias("name")).agg(F.count("*").alias("n"))
     given = cut(given.where(F.trim(F.regexp_replace("name", "(?U)\\s", " ")) != ""))
-    names = cut(parsed(given).join(given, "name").where("kind = 'person'"))
+    names = cut(parsed(spread(given)).join(given, "name").where("kind = 'person'"))
     rep = F.struct(*[c.split()[0] for c in REP.split(", ")])
     groups = cut(
         names.groupBy("key").agg(
