@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,8 @@ SEMITONES = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 # Pitches of the open strings.
 OPEN_STRINGS = (40, 45, 50, 55, 59, 64)
 FRETS = 24
+LICENCE_CODES = {"cc-zero": "CC0-1.0", "publicdomain": "PD-Marker"}
+PLACEHOLDER = "dummy-"
 # What may trail a composer's name, first one, then the other: a span of years, and the
 # years of a date marked as such with all that follows.
 DATE_TAILS = (r"(?:c\.?\s*)?\d{3,4}\s*[-–]\s*\d{3,4}\s*", r"(?i:fl|c|d)\.?\s*\d{3,4}.*")
@@ -106,6 +109,47 @@ def normalize_composer(raw) -> Column:
     return F.coalesce(F.btrim(F.regexp_replace(bare, r"\s+", " "), F.lit(" ,.;")), F.lit(""))
 
 
+# Letters with marks below U+0250, and the plain letters they decompose to.
+_BASE = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+_BASE |= {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0x1E00, 0x1F00) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+
+
+def fold_text(c) -> Column:
+    """Lower case without diacritics, set apart or not; letters that are no form of
+    another stay. Column expressions only."""
+    return F.lower(F.translate(F.regexp_replace(col(c), r"\p{Mn}+", ""), "".join(_BASE), "".join(_BASE.values())))
+
+
+def licence_code(raw, known: Mapping[str, str] = LICENCE_CODES) -> Column:
+    """The code of a licence's short name: that of a known one, else the name in capitals,
+    'unknown' where there is none."""
+    t = F.coalesce(col(raw), F.lit(""))
+    return F.coalesce(*[F.when(t == k, F.lit(v)) for k, v in known.items()], F.nullif(F.upper(t), F.lit("")), F.lit("unknown"))
+
+
+def is_placeholder(source) -> Column:
+    """Whether a grade's source is a stand-in."""
+    return F.coalesce(col(source).startswith(PLACEHOLDER), F.lit(False))
+
+
+def minutes_to_seconds(typed) -> Column:
+    """Seconds of minutes typed as text: what the text begins with, if that is a positive
+    finite number."""
+    n = F.regexp_extract(F.trim(col(typed)), r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
+    return F.when((n > 0) & (n < float("inf")), n * 60)
+
+
+def clock(ms) -> Column:
+    """Milliseconds as m:ss, cut off; null stays null."""
+    s = F.floor(col(ms) / 1000)
+    return F.when(s.isNotNull(), F.format_string("%d:%02d", F.floor(s / 60).cast("long"), (s % 60).cast("long")))
+
+
+def tracking_label(confidence) -> Column:
+    c = col(confidence)
+    return F.when(c > 0.5, "locked").when(c > 0.15, "searching").otherwise("lost")
+
+
 def slug(c, default: str = "backup") -> Column:
     """Lower case, everything else than letters and digits one hyphen, none outside."""
     s = F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "-")

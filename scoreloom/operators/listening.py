@@ -169,6 +169,10 @@ class Follower:
             blob, self.started, self.position, self.display, self.target, self.held = state
             self.alpha = np.frombuffer(blob, float).copy()
 
+    def reset(self) -> None:
+        """Back to where a take begins."""
+        self.__init__(self.ref, None, self.sigma, self.step_weights, self.jump)
+
     @property
     def state(self) -> tuple:
         return self.alpha.tobytes(), self.started, int(self.position), int(self.display), int(self.target), int(self.held)

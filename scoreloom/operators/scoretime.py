@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import normalize_bands
+
 # ---------------------------------------------------------------- fixed values
 TICKS_PER_QUARTER = 960  # where no bar tells
 PITCH_LOW, PITCH_HIGH = 40, 96
@@ -91,3 +93,39 @@ def spectrum_chroma(spectra: DataFrame, frame: str, db: str, bins: DataFrame) ->
     level = spectra.select(frame, F.posexplode(db).alias("bin", "d")).where((F.col("d") > SILENCE_DB) & ~F.isnan("d") & (F.col("d") < float("inf")))
     of_bin = bins.select("slot", F.explode(F.sequence("first", F.col("last") - 1)).alias("bin"))
     return level.join(F.broadcast(of_bin), "bin").groupBy(frame, "slot").agg(F.sum(F.pow(F.lit(10.0), F.col("d").cast("double") / 20)).alias("weight"))
+
+
+def sane_notes(notes: DataFrame) -> DataFrame:
+    """Notes (start_tick, end_tick, midi) of finite numbers that last."""
+    ok = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in ("start_tick", "end_tick", "midi")]
+    return notes.where(ok[0] & ok[1] & ok[2] & (F.col("end_tick") > F.col("start_tick")))
+
+
+def reference_length(notes: DataFrame, bars: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., ticks): where the last note or bar of each score ends."""
+    ends = notes.select(*by, F.col("end_tick").cast("double").alias("_e")).unionByName(bars.select(*by, (F.col("start") + F.col("duration")).cast("double").alias("_e")))
+    return ends.groupBy(*by).agg(F.max("_e").alias("ticks"))
+
+
+def bar_frames(bars: DataFrame, by: Sequence[str], ms_per_tick: float, rate: float = 20.0) -> DataFrame:
+    """(by..., bar, first_frame, frames): the reference frames, ``rate`` a second, that lie
+    in each bar (bar, start, duration); bars too short to hold one have no row."""
+    at = lambda tick: F.ceil(tick * ms_per_tick * rate / 1000)
+    lo, hi = at(F.col("start")), at(F.col("start") + F.col("duration"))
+    return bars.where("duration > 0").select(*by, "bar", lo.alias("first_frame"), (hi - lo).alias("frames")).where("frames > 0")
+
+
+def bar_of_path(path: DataFrame, frames: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A path of reference frames (by..., t, pos) with the bar each lies in, null past the
+    bars: an equi-join on the frame, of which each bar lists its own."""
+    each = frames.select(*by, "bar", F.explode(F.sequence("first_frame", F.col("first_frame") + F.col("frames") - 1)).alias("pos"))
+    return path.join(each, [*by, "pos"], "left").select(*path.columns, "bar")
+
+
+def halve(frames: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Frames (by..., t, vec, silent; t from 0 without gaps) at half the rate: neighbours
+    averaged, the last alone if it has none, both registers and then the whole scaled to
+    unit length; silent where both are."""
+    pair = frames.groupBy(*by, F.floor(F.col("t") / 2).alias("t")).agg(F.min_by("vec", "t").alias("_a"), F.max_by("vec", "t").alias("_b"), F.min("silent").alias("silent"))
+    mean = F.zip_with("_a", "_b", lambda x, y: (x.cast("double") + y.cast("double")) / 2)
+    return pair.select(*by, "t", normalize_bands(mean, 12).alias("vec"), "silent")

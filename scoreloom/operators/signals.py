@@ -76,3 +76,19 @@ def import_backup(backups: DataFrame, profile: str, record_schema: str, versions
     parsed = backups.withColumn("_b", F.from_json("backup", "version int, records map<string, string>")).where(F.col("_b.version").isin(*versions))
     rows = parsed.select(profile, F.explode("_b.records").alias("key", "json"))
     return rows.withColumn("r", F.from_json("json", record_schema)).select(profile, "key", "r.*").where(valid)
+
+
+def append_capped(kept: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
+    """The records of each key after new ones are added and all but the first ``cap`` in
+    ``order`` are dropped. Two steps, so that a key with many new records is cut down in
+    parts before its parts meet."""
+    every = kept.unionByName(new.select(*kept.columns))
+    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    few = every.withColumn("_salt", F.pmod(F.xxhash64(*kept.columns), F.lit(32))).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= cap)
+    return few.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= cap).select(*kept.columns)
+
+
+def without_profile(profile, *tables: DataFrame) -> list[DataFrame]:
+    """Tables (profile_id, ...) without the records of one profile; records of no profile
+    stay."""
+    return [t.where(~F.col("profile_id").eqNullSafe(F.lit(profile))) for t in tables]

@@ -165,3 +165,32 @@ def longest_prefix(names: DataFrame, name: str, listed: DataFrame, entry: str, b
     asked = names.withColumn("_l", lengths).withColumn("_k", F.explode(F.transform(F.filter("_l", lambda n: n <= F.length(name)), lambda n: F.substring(F.col(name), F.lit(1), n))))
     j = asked.join(listed.select(F.col(entry).alias("_k"), F.col(entry), *body), "_k")
     return j.groupBy(name).agg(F.min_by(F.struct(entry, *body), F.struct(-F.length(entry), *body)).alias("r")).select(name, "r.*")
+
+
+# ---------------------------------------------------------------- fixed values
+HEDGES = ("Attr. ", "Attr.", "after ", "? ", "?")  # before a name, of which the first that fits goes
+UNNAMED = "anon"
+# ---------------------------------------------------------------- end of fixed values
+
+
+def attributed(names: DataFrame, name: str, listed: DataFrame, entry: str, value: str, markers: Sequence[str] = (), marked: str | None = None, hedges: Sequence[str] = HEDGES) -> DataFrame:
+    """(name, found, how) of distinct names: what a list (entry, value) says of each, after
+    one hedge before it is dropped. In this order: the entry itself ('exact'); names that
+    begin like an unnamed author or hold a marker get ``marked`` ('unnamed', 'marker'); the
+    entry in another case ('case'); the longest entry it begins with in any case
+    ('prefix'); else null and 'none'. All by equi-joins on the list."""
+    bare = F.trim(F.col(name))
+    for h in reversed(hedges):
+        bare = F.when(F.trim(F.col(name)).startswith(h), F.trim(F.substring(F.trim(F.col(name)), F.lit(len(h) + 1), F.lit(1 << 30)))).otherwise(bare)
+    n = names.select(name).distinct().withColumn("_n", bare).withColumn("_c", F.lower("_n"))
+    exact = listed.where(F.col(entry) != "").groupBy(F.col(entry).alias("_n")).agg(F.min(value).alias("_exact"), F.lit(True).alias("_is"))
+    folded = listed.where(F.col(entry) != "").groupBy(F.lower(entry).alias("_c")).agg(F.min(value).alias("_v"))
+    prefix = longest_prefix(n.select("_c").distinct(), "_c", folded.withColumnRenamed("_c", "_e"), "_e", ["_v"])
+    j = n.join(exact, "_n", "left").join(prefix, "_c", "left")
+    unnamed = F.col("_c").startswith(UNNAMED)
+    has = F.lit(False)
+    for m in markers:
+        has = has | F.col("_c").contains(m)
+    how = F.when(F.col("_is"), "exact").when(unnamed, "unnamed").when(has, "marker").when(F.col("_e") == F.col("_c"), "case").when(F.col("_e").isNotNull(), "prefix").otherwise("none")
+    found = F.when(how == "exact", F.col("_exact")).when(how.isin("unnamed", "marker"), F.lit(marked)).otherwise(F.col("_v"))
+    return j.select(name, found.alias("found"), how.alias("how"))

@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,8 @@ FILE_LINK = r"ReverseLookup/(\d+)"
 SCORE_TOKENS = ("musicxml", "mxl")
 LICENCES = ("Creative Commons", "Public Domain", "CC0", "CC BY", "Copyright", "PD ")
 NAMESPACES = ("Category:", "File:", "User:", "Talk:")
+BLOCKS, EMPHASIS = frozenset("li p tr div td".split()), frozenset("strong b em i".split())
+KIND_WORDS = frozenset("mxl musicxml xml download".split())
 KEPT_REASONS = ("NO_MOVEMENTS", "LY_CONVERSION_FAILED", "FETCH_FAILED")
 # ---------------------------------------------------------------- end of fixed values
 
@@ -134,6 +137,63 @@ def named_after(root: Node, heading: str = "Composer", link: str = "/wiki/Catego
     return next((t for t in texts if t), "")
 
 
+def around(a: Node, levels: int = 6) -> str:
+    """The text of the closest block (item, paragraph, row, cell, division) around a link,
+    or of its parent."""
+    at: Node | None = a
+    for _ in range(levels):
+        if at is None:
+            break
+        if at.tag in BLOCKS:
+            return " ".join(at.text().split())
+        at = at.parent
+    return " ".join((a.parent or a).text().split())
+
+
+def link_title(a: Node, levels: int = 4) -> str:
+    """What a link is called: its own text, unless that only says what kind of file it is;
+    else the first emphasised text near it; else the file's name."""
+    own = " ".join(a.text().split())
+    if own and own.lower() not in KIND_WORDS:
+        return own
+    at = a.parent
+    for _ in range(levels):
+        if at is None:
+            break
+        near = next((t for t in (" ".join(x.text().split()) for x in at.walk() if x.tag in EMPHASIS) if t), None)
+        if near:
+            return near
+        at = at.parent
+    return a.attrs.get("href", "").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
+def page_scores(pages: DataFrame, suffixes: Sequence[str] = (".mxl", ".musicxml", ".xml")) -> DataFrame:
+    """(url, href, title, context) of the links of pages (url, html) to score files, each
+    href once a page."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for url, html in zip(pdf["url"], pdf["html"]):
+                links = {}
+                for a in page(html).walk():
+                    href = a.attrs.get("href", "") if a.tag == "a" else ""
+                    if href.lower().split("?")[0].endswith(tuple(suffixes)):
+                        links.setdefault(urljoin(url or "", href), a)
+                rows += [(url, href, link_title(a), around(a)) for href, a in links.items()]
+            yield pd.DataFrame(rows, columns=["url", "href", "title", "context"])
+
+    return pages.where(F.col("html").isNotNull()).select("url", "html").mapInPandas(run, "url string, href string, title string, context string")
+
+
+def page_counters(listed: DataFrame, grade: Column) -> DataFrame:
+    """(url, works, links, graded) of listed links (url, work): distinct works, links, and
+    how many of those have a grade; the row without url is over all pages."""
+    return listed.withColumn("_g", grade).groupBy("url").agg(F.countDistinct("work").alias("works"), F.count("*").alias("links"), F.count("_g").alias("graded")).unionByName(
+        listed.withColumn("_g", grade).agg(F.lit(None).cast("string").alias("url"), F.countDistinct("work").alias("works"), F.count("*").alias("links"), F.count("_g").alias("graded"))
+    )
+
+
 def page_candidates(pages: DataFrame) -> DataFrame:
     """(work_id, file_id, title, label, licence, composer) of the files that pages (title,
     html) list. Pages of a namespace and those that could not be read (null) give none."""

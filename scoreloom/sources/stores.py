@@ -49,6 +49,44 @@ def drop_malformed(raw: DataFrame, column: str, record_schema: str, valid) -> Da
     return rows.withColumn("r", F.from_json("json", record_schema)).drop("json").select("*", "r.*").drop("r").where(valid)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One record a line with its keys in order. The folder is replaced as a whole: the
+    write is committed before readers see it, or not at all."""
+    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
+
+
+def read_folder(spark: SparkSession, folder: str, schema: str, apart: tuple[str, ...] = ("schema.json",)) -> DataFrame:
+    """The records of a folder's JSON files with the file's name in ``file``, but for the
+    files named ``apart``."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)
+    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    return df.select("*", name.alias("file")).where(~F.col("file").isin(*apart))
+
+
+def copy_changed(spark: SparkSession, source: str, target: str, known: DataFrame) -> DataFrame:
+    """Copies the files of ``source`` that are new or newer than ``known`` (path, modified)
+    says to ``target``, a folder on a file system that all workers mount, each under its
+    place in ``source``; gives (path, modified, length) of those copied. A file appears
+    whole or not: it is written beside its place and then moved there."""
+    wanted = changed_files(spark, source, known)
+    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path", "content")
+    root = re.sub(r"^file:/*", "/", source).rstrip("/") + "/"
+    out = re.sub(r"^file:/*", "/", target).rstrip("/") + "/"
+
+    def run(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                at = out + re.sub(r"^file:/*", "/", path)[len(root) :]
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                half = f"{at}.{uuid.uuid4().hex}.part"
+                with open(half, "wb") as f:
+                    f.write(content)
+                os.replace(half, at)
+            yield pdf[["path", "modified", "length"]]
+
+    return wanted.join(contents, "path").mapInPandas(run, "path string, modified timestamp, length long")
+
+
 class VersionedStore:
     """A parquet table replaced as a whole, on any file system Spark can write to: a
     version is written beside the last, and the newest one whose job has committed (it

@@ -142,3 +142,58 @@ def test_both_ends_and_loops(spark):
         r = s.select(scoretime.loop_range(F.col("s"), F.col("d"), F.lit(a).cast("int"), F.lit(b).cast("int")).alias("r")).first().r
         assert (None if r is None else tuple(r)) == want
     assert s.select(scoretime.tick_at_frame(F.array().cast("array<double>"), F.lit(3)).alias("t")).first().t == 0.0
+
+
+def test_link_titles_and_context():
+    p = D.page('<li>Grade 3 <b>Lágrima</b> <a href="a/one.mxl">MXL</a> <a href="b/Two.xml">  A  Waltz </a></li><span><a href="/x/three.musicxml">xml</a></span>')
+    links = [a for a in p.walk() if a.tag == "a"]
+    assert [D.link_title(a) for a in links] == ["Lágrima", "A Waltz", "Lágrima"] and D.around(links[0]) == "Grade 3 Lágrima MXL A Waltz"
+    lone = D.page('<span><a href="/x/three.v2.musicxml?d=1">xml</a></span>')
+    a = next(x for x in lone.walk() if x.tag == "a")
+    assert D.link_title(a) == "three.v2" and D.around(a) == "xml"
+
+
+def test_attributed_names(spark):
+    from scoreloom.operators import stats
+
+    listed = spark.createDataFrame([("John Danyel", "renaissance"), ("John", "x"), ("F. Sor", None), ("", "y")], "entry string, era string")
+    names = ["John Danyel", "Attr. John Danyel", "JOHN DANYEL", "John Danyel 1564", "after ?John", "Anon, 16th", "The Board Lute Book", "F. Sor", "Nobody", "", None, "?  john d"]
+    got = {r.n: (r.found, r.how) for r in stats.attributed(spark.createDataFrame([(n,) for n in names], "n string"), "n", listed, "entry", "era", ("lute book",), "old").collect()}
+    assert got == {
+        "John Danyel": ("renaissance", "exact"), "Attr. John Danyel": ("renaissance", "exact"), "JOHN DANYEL": ("renaissance", "case"), "John Danyel 1564": ("renaissance", "prefix"), "after ?John": (None, "none"), "Anon, 16th": ("old", "unnamed"),
+        "The Board Lute Book": ("old", "marker"), "F. Sor": (None, "exact"), "Nobody": (None, "none"), "": (None, "none"), None: (None, "none"), "?  john d": ("x", "prefix"),
+    }
+
+
+def test_folders_and_copies(spark, tmp_path):
+    from scoreloom.sources import stores
+
+    d = tmp_path / "s"
+    d.mkdir()
+    (d / "a.json").write_text('{"k": 1}')
+    (d / "schema.json").write_text('{"k": 9}')
+    assert rows(stores.read_folder(spark, str(d), "k int")) == [(1, "a.json")]
+    stores.write_json(spark.createDataFrame([(1, 2)], "b int, a int"), f"{tmp_path}/w")
+    assert [line for p in (tmp_path / "w").glob("part*.json") for line in p.read_text().splitlines()] == ['{"a":2,"b":1}']
+    none = spark.createDataFrame([], "path string, modified timestamp")
+    first = stores.copy_changed(spark, str(d), f"{tmp_path}/t", none).cache()
+    assert first.count() == 2 and (tmp_path / "t" / "a.json").read_text() == '{"k": 1}'
+    assert stores.copy_changed(spark, str(d), f"{tmp_path}/t", first).count() == 0 and len(list((tmp_path / "t").iterdir())) == 2
+
+
+def test_locale_order(spark):
+    """Titles in the order of a language, not of bytes."""
+    df = spark.createDataFrame([(t,) for t in ("b", "A", "Á", "a", "B", "z")], "t string")
+    assert [r.t for r in df.orderBy(F.collate("t", "UNICODE")).collect()] == ["a", "A", "Á", "b", "B", "z"]
+
+
+def test_reset_follower():
+    from tests.test_listening import varied
+    from scoreloom.operators import listening as L
+
+    ref = varied(2)
+    f, g = L.Follower(ref), L.Follower(ref)
+    for v in ref.frames[:9]:
+        f.step(v, False)
+    f.reset()
+    assert f.state == g.state and [f.step(v, False) for v in ref.frames[:5]] == [g.step(v, False) for v in ref.frames[:5]]
