@@ -27,12 +27,12 @@ WINDOW, STRIDE = 18, 6  # words of a window over sentences longer than LONG
 LONG = 24
 PER_TEMPLATE = 24  # sentences made of each template
 SAMPLE_DOCS = 4_000  # documents, at most, whose sentences serve as further harmless examples
-SAMPLE_UNITS = 30_000  # sentences, at most, of them
+SAMPLE_UNITS = 20_000  # sentences, at most, of them
 COMMON = 3  # times from which a word of the corpus may be itself and no misspelling
 PEER = 0.25  # share of another word's frequency that its misspellings don't reach
 EPOCHS, BATCH, RATE, DECAY = 4, 256, 0.08, 2e-6
 SEED = 7
-FORM = 2  # of how words are cut and hashed; a kept filter of another form is not used
+FORM = 3  # of how words are cut and hashed; a kept filter of another form is not used
 EXCLUDE = 0.5
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -44,18 +44,43 @@ _MAY_DOT, _MAY_SPACE = re.compile(r"(?<=[.\-_*·])[^\W\d_](?=[.\-_*·])"), re.co
 # music as code: only what its notation consists of, so that a sentence in it is read
 _NOTATION = re.compile(r"\\relative\b\s*(?:[a-h](?:is|es)?[',]*)?\s*\{(?:[\s|<>(){}\[\]~^_.\-\"0-9/',!?=:]|\\[A-Za-z]+|(?<![A-Za-z])(?:[a-hrs](?:isis|eses|is|es)?)(?![A-Za-z]))*")
 _CODE = re.compile(r"https?://\S+|</?[A-Za-z][^<>]{0,200}>|<\|?/?[a-z_]+\|?>")
-# words, numbers, words with stars or digits for letters; \x00 ends a sentence
-_TOKEN = re.compile(r"[a-z]+(?![a-z0-9$@*])|[a-z]+(?:\*{1,}[a-z]*)|[a-z][a-z0-9$@]*|[0-9$@]*[$@0-9][a-z$@][a-z0-9$@]*|[0-9]+|\$|@|[^\W\d_a-z]+|\x00")
-_END = re.compile(r"[.!?;]\s+|\n+|[.!?](?=[A-ZÁÉÍÓÚÄÖÜÀÈÇ])")
+# words, numbers, words with stars or digits for letters
+_TOKEN = re.compile(r"[a-z]+(?![a-z0-9$@*])|[a-z]+(?:\*{1,}[a-z]*)|[a-z][a-z0-9$@]*|[0-9$@]*[$@0-9][a-z$@][a-z0-9$@]*|[0-9]+|\$|@|[^\W\d_a-z]+")
+# what may be one of those before it is folded, and where a sentence ends
+_CHUNK = re.compile(r"[\w\u0300-\u036f$@*]+|[.!?;](?=\s)|[.!?](?=[A-ZÁÉÍÓÚÄÖÜÀÈÇ])|\n")
+_ENDS = frozenset(".!?;\n")
 _LINE = re.compile(r"(?:^|\n)\s*>+ ?|-\n\s*(?=[a-zß-ÿ])")
 
 
-def units(text: str) -> list[list[str]]:
-    """The text as runs of plain words: sentences, and windows over long ones, since
-    without punctuation a sentence runs into the next. A sentence of one word belongs to
-    the one after it, or before it at the end. Disguises are undone: look-alike and
-    invisible letters, broken encodings, letters with dots or spaces between, digits and
-    signs for letters. Words with stars keep them."""
+def _words(chunk: str) -> tuple[str, ...] | None:
+    """The plain words of a run of letters, digits and signs; None ends a sentence."""
+    if chunk in _ENDS:
+        return None
+    return tuple(w if w.isalpha() or "*" in w else "0" if w.isdigit() else w.translate(_LEET) for w in _TOKEN.findall(fold(chunk)))
+
+
+class Memo(dict):
+    """What a function says of each chunk, found once; forgotten when there are many."""
+
+    def __init__(self, say, most: int = 500_000):
+        self.say, self.most = say, most
+
+    def __missing__(self, chunk):
+        if len(self) >= self.most:
+            self.clear()
+        got = self[chunk] = self.say(chunk)
+        return got
+
+
+_UNITS = Memo(_words)
+
+
+def units(text: str, memo: Memo = _UNITS) -> list[list]:
+    """The text as runs of plain words (or of what ``memo`` makes of them): sentences, and
+    windows over long ones, since without punctuation a sentence runs into the next. A
+    sentence of one word belongs to the one after it, or before it at the end. Disguises
+    are undone: look-alike and invisible letters, broken encodings, letters with dots or
+    spaces between, digits and signs for letters. Words with stars keep them."""
     s = delook(repair(text))
     if "\\relative" in s:
         s = _NOTATION.sub(" ", s)
@@ -67,24 +92,19 @@ def units(text: str) -> list[list[str]]:
         s = _DOTTED.sub(lambda m: re.sub(r"[.\-_*·]", "", m.group()) + (" ." if m.group().endswith("..") else ""), s)
     if _MAY_SPACE.search(s):
         s = _SPACED.sub(lambda m: m.group().replace(" ", ""), s)
-    parts: list[list[str]] = []
-    words: list[str] = []
-    for w in _TOKEN.findall(fold(_END.sub("\x00", s)) + "\x00"):
-        if w.isalpha():
-            words.append(w)
-        elif w == "\x00":
-            if len(words) > 1:
-                parts.append(words)
-                words = []
-        elif w.isdigit():
-            words.append("0")
-        else:
-            words.append(w if "*" in w else w.translate(_LEET))
-    if words:
-        if parts:
-            parts[-1] = parts[-1] + words
-        else:
+    parts: list[list] = []
+    words: list = []
+    for chunk in _CHUNK.findall(s):
+        got = memo[chunk]
+        if got is not None:
+            words += got
+        elif len(words) > 1:
             parts.append(words)
+            words = []
+    if len(words) > 1 or words and not parts:
+        parts.append(words)
+    elif words:
+        parts[-1] = parts[-1] + words
     out = []
     for words in parts:
         if len(words) <= LONG:
@@ -136,29 +156,23 @@ class Lexicon:
         return got
 
 
-_IDS: dict[str, int] = {}
+def word_id(w: str) -> int:
+    """A number for a word, the same everywhere."""
+    return crc32(w.encode()) + 1
 
 
-def word_ids(words: list[str]) -> list[int]:
-    """A number for each word, the same everywhere."""
-    if len(_IDS) > 1_000_000:
-        _IDS.clear()
-    out = []
-    for w in words:
-        i = _IDS.get(w)
-        if i is None:
-            i = _IDS[w] = crc32(w.encode()) + 1
-        out.append(i)
-    return out
+def ids(rows: list[list[str]]) -> list[list[int]]:
+    known = Memo(word_id)
+    return [[known[w] for w in r] for r in rows]
 
 
-def terms(rows: list[list[str]]) -> np.ndarray:
-    """For each run of words its hashed words, neighbouring pairs and pairs one apart,
-    each once; the rest is slot 0, whose weights are kept at nought."""
+def terms(rows: list[list[int]]) -> np.ndarray:
+    """For each run of words, as numbers, its hashed words, neighbouring pairs and pairs
+    one apart, each once; the rest is slot 0, whose weights are kept at nought."""
     sizes = np.array([len(r) for r in rows], int)
     most = max(1, int(sizes.max(initial=1)))
     h = np.zeros((len(rows), most), np.uint64)
-    h[np.arange(most) < sizes[:, None]] = word_ids([w for r in rows for w in r])
+    h[np.arange(most) < sizes[:, None]] = [w for r in rows for w in r]
     cols = [h * _MIX[0]]
     for gap in (1, 2):
         if most > gap:
@@ -232,15 +246,25 @@ class Filter:
 
     def __init__(self, machine: Machine, lexicon: Lexicon):
         self.machine, self.lexicon = machine, lexicon
+        self.memo = Memo(self._ids)
+
+    def _ids(self, chunk: str) -> tuple[int, ...] | None:
+        words = _words(chunk)
+        return None if words is None else tuple(word_id(self.lexicon.plain(w)) for w in words)
+
+    def __getstate__(self) -> tuple:
+        return self.machine, self.lexicon
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Of each text the highest probability of its parts; 0 without words."""
-        plain = self.lexicon.plain
         rows, owner = [], []
         for i, t in enumerate(texts):
             if t:
-                r = units(t)
-                rows += [[plain(w) for w in u] for u in r]
+                r = units(t, self.memo)
+                rows += r
                 owner += [i] * len(r)
         out = np.zeros(len(texts))
         owners = np.array(owner, int)
@@ -319,9 +343,11 @@ def common_words(docs: DataFrame, seed: int = SEED, per_template: int = PER_TEMP
         for pdf in batches:
             yield pdf[[w in known.counts or known.touches(w) for w in pdf["word"]]]
 
-    plain = F.translate(F.lower("text"), "".join(_MARKED), "".join(_MARKED.values()))
-    words = docs.where("text <> ''").select(F.explode(F.split(plain, "[^a-z]+")).alias("word")).where("length(word) >= 5")
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(f"n >= {COMMON}").mapInPandas(near, "word string, n long")
+    # words are told apart first and folded then: there are fewer of them than text
+    words = docs.where("text <> ''").select(F.explode(F.split(F.lower("text"), "[^a-zß-ɏ]+")).alias("raw")).where("length(raw) >= 5")
+    plain = F.translate(F.replace("raw", F.lit("ß"), F.lit("ss")), "".join(_MARKED), "".join(_MARKED.values()))
+    counted = words.groupBy("raw").agg(F.count("*").alias("n")).groupBy(plain.alias("word")).agg(F.sum("n").alias("n"))
+    counted = counted.where(f"n >= {COMMON}").mapInPandas(near, "word string, n long")
     return ordinary({r.word: r.n for r in counted.collect()}, docs.count(), lexicon)
 
 
@@ -345,9 +371,9 @@ def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLAT
     rows = [hide(u) if y else u for u, y in zip(rows_words, labels)]
     y = np.array(labels, np.float32)
     first = Machine(np.random.default_rng(seed))
-    first.fit(terms(rows), y, np.random.default_rng(seed + 1), 4)
+    first.fit(terms(ids(rows)), y, np.random.default_rng(seed + 1), 4)
     mapped = [[first_lexicon.plain(w) for w in u] for u in sample]
-    p = np.concatenate([first.probability(terms(mapped[i : i + 4096])) for i in range(0, len(mapped), 4096)]) if mapped else np.zeros(0)
+    p = np.concatenate([first.probability(terms(ids(mapped[i : i + 4096]))) for i in range(0, len(mapped), 4096)]) if mapped else np.zeros(0)
     kept = [u for u, q in zip(sample, p) if q < 0.5]
     cut = random.Random(seed)
     pieces = []
@@ -360,7 +386,7 @@ def train(harmless: list[str], seed: int = SEED, per_template: int = PER_TEMPLAT
     rows += [[lexicon.plain(w) for w in u] for u in kept]
     y = np.concatenate([y, np.zeros(len(kept), np.float32)])
     machine = Machine(np.random.default_rng(seed))
-    machine.fit(terms(rows), y, np.random.default_rng(seed + 2))
+    machine.fit(terms(ids(rows)), y, np.random.default_rng(seed + 2))
     return Filter(machine, lexicon)
 
 

@@ -89,6 +89,7 @@ def test_pair_sum_against_loops():
 
 def test_terms_are_words_and_pairs_once():
     rows = [["a", "b", "a", "b"], ["x"], [], ["a", "b"]]
+    rows = abuse.ids(rows)
     t = abuse.terms(rows)
     assert [(t[i] > 0).sum() for i in range(4)] == [6, 1, 0, 3]  # a b; ab ba; a_a b_b
     assert set(t[3][t[3] > 0]) < set(t[0]) and (abuse.terms(rows[3:])[0] == t[3][:3]).all()

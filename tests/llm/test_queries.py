@@ -30,3 +30,21 @@ def test_found_has_its_columns_and_no_repeated_rows(spark, name):
     assert df.columns == COLUMNS[name].split()
     rows = [tuple(map(str, r)) for r in df.collect()]
     assert rows and len(rows) == len(set(rows))
+
+
+def test_no_match_lies_in_two_splits(spark):
+    """Matched pieces, and equal spellings of a composer that is somebody, share a split."""
+    from pyspark.sql import functions as F
+
+    from scoreloom.llm.names import parse
+
+    ship(spark)
+    split = {r.candidate_id: r.split for r in QUERIES["p6_split"](spark, BASE).collect()}
+    pairs = QUERIES["p3_found"](spark, BASE).collect()
+    assert pairs and all(split[r.candidate_a] == split[r.candidate_b] for r in pairs)
+    rows = spark.read.parquet(f"{BASE}/dummy_advisor_grades.parquet").groupBy("candidate_id").agg(F.max_by("composer_normalized", F.struct("graded_at", "title", "composer_normalized")).alias("c")).collect()
+    of = {}
+    for r in rows:
+        if parse(r.c).kind == "person":
+            of.setdefault(r.c, set()).add(split[r.candidate_id])
+    assert of and all(len(s) == 1 for s in of.values())
