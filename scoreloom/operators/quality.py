@@ -51,8 +51,8 @@ def feed_quality(pieces: DataFrame) -> DataFrame:
         return F.when(n >= 2, value_at(j - 1, "duration") + (value_at(j, "duration") - value_at(j - 1, "duration")) * (pos - j))
 
     placed = placed_values(pieces.where("duration is not null").withColumn("_all", F.lit(1)), ["_all"], "duration")
-    lengths = placed.groupBy("n").agg(F.min("duration").alias("least"), *[F.round(quartile(k), 6).alias(f"q{k}") for k in (1, 2, 3)], F.max("duration").alias("greatest")).drop("n")
-    return base.join(F.broadcast(lengths), F.lit(True), "left")  # one row each
+    lengths = placed.groupBy("n").agg(F.struct(F.min("duration").alias("least"), *[F.round(quartile(k), 6).alias(f"q{k}") for k in (1, 2, 3)], F.max("duration").alias("greatest")).alias("l"))
+    return base.withColumn("_l", lengths.agg(F.first("l")).scalar()).select("*", "_l.*").drop("_l")
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:

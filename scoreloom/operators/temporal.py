@@ -7,19 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cut import size_checked
+from .ordering import null_safe, ranged
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, body: Sequence[str]) -> DataFrame:
     """Each left row with the last right row of the same ``by`` whose ``on`` is not later.
-    Both sides are put in one order and the last right row is carried forward: one
-    shuffle and sort on the key, never a product of both sides. Right rows of equal
-    ``on`` are told apart by ``body``; left rows without one get nulls; null ``on``
-    matches nothing."""
+    Both sides are put in one order, which is cut into ranges, and the last right row is
+    carried forward within a range and from range to range: never a product of both
+    sides, and a key may hold any share of the rows. Right rows of equal ``on`` are told
+    apart by ``body``; left rows without one get nulls; null ``on`` matches nothing."""
     r = right.where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.max(F.struct(*body)).alias("_r"))
     ours = left.select(*by, on, F.struct(*left.columns).alias("_l"))
     both = ours.unionByName(r.select(*by, on, "_r"), allowMissingColumns=True).withColumn("_side", F.col("_l").isNotNull().cast("int"))
-    w = Window.partitionBy(*by).orderBy(F.col(on).asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    return carried.select("_l.*", *[F.when(F.col(on).isNotNull(), F.col(f"_r.{c}")).alias(c) for c in body])
+    placed = ranged(both, [*by, on, "_side"])
+    inside = Window.partitionBy("_p", *by).orderBy(F.col(on).asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    # the last right row of each key in each range it lies in, and of the ranges before
+    ends = placed.groupBy("_p", *by).agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col(on))).alias("_e"))
+    before = ends.withColumn("_b", F.last("_e", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
+    known = placed.withColumn("_in", F.last("_r", ignorenulls=True).over(inside)).where("_side = 1").alias("l")
+    carried = known.join(size_checked(before.where("_b is not null").select("_p", *by, "_b"), 500_000).alias("r"), null_safe(["_p", *by]), "left").select("_l", F.coalesce("_in", "_b").alias("_r"))
+    return carried.select("_l.*", *[F.when(F.col(f"_l.{on}").isNotNull(), F.col(f"_r.{c}")).alias(c) for c in body])
 
 
 def asof_small(left: DataFrame, right: DataFrame, on: str, body: Sequence[str], starts: Sequence) -> DataFrame:

@@ -225,7 +225,7 @@ def until_stale(listed: DataFrame, page_col: str, id_col: str, stale: int = 2) -
     pages = listed.select(page_col).distinct().join(fresh, F.col(page_col) == F.col("_first"), "left").select(page_col, F.coalesce("_n", F.lit(0)).alias("_n"))
     recent = Window.orderBy(page_col).rowsBetween(1 - stale, 0)
     ends = pages.withColumn("_end", (F.sum("_n").over(recent) == 0) & (F.count("*").over(recent) == stale)).where("_end").agg(F.min(page_col).alias("_stop"))
-    return first.withColumnRenamed("_first", page_col).join(F.broadcast(ends), F.lit(True)).where(F.col("_stop").isNull() | (F.col(page_col) <= F.col("_stop"))).select(page_col, id_col)
+    return first.withColumnRenamed("_first", page_col).withColumn("_stop", ends.scalar()).where(F.col("_stop").isNull() | (F.col(page_col) <= F.col("_stop"))).select(page_col, id_col)
 
 
 def score_paths(tree: DataFrame) -> DataFrame:

@@ -413,3 +413,20 @@ def test_only_small_sides_are_broadcast(spark):
     df = spark.range(100).withColumn("t", F.repeat(F.lit("x"), 1000))
     assert hinted(size_checked(df, 100)) and hinted(size_checked(df.limit(0), 0))
     assert not hinted(size_checked(df, 99)) and not hinted(size_checked(df.withColumn("t", F.repeat("t", 300)), 100))
+
+
+def test_asof_join_over_ranges(spark):
+    """A key that holds most rows, keys without a right row, ties, nulls: as plain loops."""
+    import random
+
+    rng = random.Random(2)
+    key = lambda: rng.choice(["hot"] * 8 + ["b", None])
+    left = [(i, key(), rng.choice([None, *range(60)])) for i in range(400)]
+    right = [(key(), rng.choice([None, *range(60)]), rng.randrange(9)) for _ in range(60)]
+    l, r = spark.createDataFrame(left, "id int, k string, t int").repartition(5), spark.createDataFrame(right, "k string, t int, v int")
+    want = []
+    for i, k, t in left:
+        ok = [(u, v) for h, u, v in right if h == k and u is not None and t is not None and u <= t]
+        want.append((i, k, t, max(ok)[1] if ok else None))
+    assert rows(temporal.asof_join(l, r, ["k"], "t", ["v"])) == sorted(want, key=repr)
+    assert temporal.asof_join(l.limit(0), r, ["k"], "t", ["v"]).count() == 0 and {x.v for x in temporal.asof_join(l, r.limit(0), ["k"], "t", ["v"]).collect()} == {None}
