@@ -170,20 +170,16 @@ def described(grades: DataFrame, features: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct("source", "title", "composer_normalized", *extra), F.struct("graded_at", "title", "composer_normalized", *extra)).alias("r"))
         .select("candidate_id", F.lower(F.trim("r.source")).alias("source"), "r.title", F.col("r.composer_normalized").alias("composer"), *[f"r.{c}" for c in extra])
     )
-    numbers = ["midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm"]
-    row = F.struct(
-        F.expr("case when regexp_like(key_fifths, '^[+]?-?[0-7]$') then try_cast(key_fifths as int) end").alias("fifths"),
-        F.expr("case when time_sig = 'C' then 404 when regexp_like(time_sig, '^[0-9]+[/-][0-9]+$') then 100 * try_cast(regexp_extract(time_sig, '^([0-9]+)', 1) as int) + try_cast(regexp_extract(time_sig, '([0-9]+)$', 1) as int) end").alias("time"),
-        *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in numbers],
-    )
-    about = features.where("candidate_id is not null").groupBy("candidate_id").agg(F.collect_list(row).alias("rows"))
-
-    def middle(c, low=None):
-        ok = "x is not null" + (f" and x > {low}" if low is not None else "")
-        v = f"array_sort(filter(rows.{c}, x -> {ok}))"
-        return F.expr(f"cast(get({v}, cast((size({v}) - 1) / 2 as int)) as double)").alias(c)
-
-    about = about.select("candidate_id", middle("fifths"), middle("time"), middle("midi_min", 0), middle("midi_max", 0), middle("measure_count", 0), middle("note_count", 0), middle("tempo_bpm", 0))
+    numbers = ["midi_min", "midi_max", "measure_count", "note_count", "tempo_bpm"]  # not positive means missing
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    values = {
+        "fifths": F.expr("case when regexp_like(key_fifths, '^[+]?-?[0-7]$') then try_cast(key_fifths as int) end"),
+        "time": F.expr("case when time_sig = 'C' then 404 when regexp_like(time_sig, '^[0-9]+[/-][0-9]+$') then 100 * try_cast(regexp_extract(time_sig, '^([0-9]+)', 1) as int) + try_cast(regexp_extract(time_sig, '([0-9]+)$', 1) as int) end"),
+        **{c: F.when(number(c) > 0, number(c)) for c in numbers},
+    }
+    # the lower middle of each column, from counts of its values: no list of a piece's rows
+    rows = features.where("candidate_id is not null").select("candidate_id", *[v.cast("double").alias(c) for c, v in values.items()])
+    about = rows.groupBy("candidate_id").agg(*[F.expr(f"percentile_disc(0.5) within group (order by {c})").cast("double").alias(c) for c in values])
 
     def titles(batches):
         memo: dict = {}

@@ -213,10 +213,11 @@ def p2_classes(spark: SparkSession, base: str) -> DataFrame:
     return c.join(c.groupBy("person").agg(F.count("*").alias("spellings")), "person").select("name", "person", "spellings")
 
 
-def p2_found(spark: SparkSession, base: str, salts: int = 8) -> DataFrame:
-    """Every pair of spellings of one person. A person with many spellings is
-    spread over ``salts`` tasks."""
+def p2_found(spark: SparkSession, base: str, part: int = 500) -> DataFrame:
+    """Every pair of spellings of one person, as the query defines. A person with more
+    than ``part`` spellings is spread over as many tasks as keep a part that small."""
     c = cut(name_classes(spelled_names(spark, base)))
-    left = c.select("person", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), F.lit(salts)).alias("salt"))
-    right = c.select("person", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    sized = c.join(c.groupBy("person").agg(F.ceil(F.count("*") / part).alias("parts")), "person")
+    left = sized.select("person", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), F.col("parts")).alias("salt"))
+    right = sized.select("person", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
     return left.join(right, ["person", "salt"]).where("name_a < name_b").select("name_a", "name_b")
