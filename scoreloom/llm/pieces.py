@@ -209,7 +209,9 @@ def described(grades: DataFrame, features: DataFrame) -> DataFrame:
             yield pd.DataFrame({"composer": pdf["composer"], "kind": [k for k, _ in out], "who": [w for _, w in out]})
 
     parsed = latest.mapInPandas(titles, "candidate_id string, source string, composer string, " + "".join(f"{c} int, " for c in extra) + "form int, number int, opus int, byname string")
-    names = cut(latest.select("composer").where("composer is not null").distinct().mapInPandas(people, "composer string, kind int, who string"))
+    # of all deliveries, which needs no second look for the latest
+    spelled = cut(grades.where("composer_normalized is not null").select(F.col("composer_normalized").alias("composer")).distinct())
+    names = cut(spelled.mapInPandas(people, "composer string, kind int, who string"))
     return (
         parsed.join(size_checked(names, 200_000), "composer", "left")
         .fillna({"kind": 0, "who": ""})
