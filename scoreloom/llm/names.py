@@ -76,7 +76,7 @@ for _entry in re.split(r"[|\n]", NICKNAMES_TEXT.strip()):
         NICKNAMES.setdefault(_w, set()).add(_name.strip())
 
 
-@lru_cache(200_000)
+@lru_cache(40_000)
 def familiar(t: str, u: str) -> bool:
     """Whether ``t`` is by its form a familiar name of ``u``: its beginning (Zach), its end
     (Nando), or its beginning with y, ie or i, a consonant doubled or not (Rafi, Danny)."""
@@ -88,7 +88,7 @@ def familiar(t: str, u: str) -> bool:
     return bool(m) and t != u and (u.startswith(m.group(1)) or len(m.group(1)) > 3 and m.group(1)[-1] == m.group(1)[-2] and u.startswith(m.group(1)[:-1]))
 
 
-@lru_cache(100_000)
+@lru_cache(40_000)
 def skeleton(token: str) -> str:
     """A spelling that a Latin name and its Cyrillic transliteration share."""
     if is_cyrillic(token):
@@ -126,7 +126,7 @@ class Name:
         return sum(not s for s in self.short)
 
 
-@lru_cache(200_000)
+@lru_cache(40_000)
 def _near(t: str, words: frozenset[str], least: int = 8) -> bool:
     """Whether ``t`` is one of ``words`` or a misspelling of a long one of them."""
     return t in words or len(t) >= least - 1 and any(len(w) >= least and w[0] == t[0] and abs(len(w) - len(t)) <= 2 and osa(t, w, 2) <= 2 for w in words)
@@ -322,7 +322,7 @@ def osa(a: str, b: str, most: int = 3) -> int:
     return min(one[-1], most + 1)
 
 
-@lru_cache(400_000)
+@lru_cache(60_000)
 def word_distance(a: str, b: str) -> int:
     """0 for the same word, 1 for one edit (swapped neighbours count as one), else
     9. A word in Cyrillic is compared by its skeleton; ``rn`` and ``m``, which

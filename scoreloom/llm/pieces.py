@@ -72,7 +72,7 @@ _OPUS = re.compile(r"\b(?:opu*s|op{1,2}|oeuvre|ouevre|opsu|ous|opuss|opu)\b\s*[.
 _NUMBER = re.compile(r"(?:\bno|\bnr|\bnum|\bnumero|\bnumber|\bn|#)\s*[.:]?\s*[°º]?\s*(\d{1,6})\b|\bno(\d{1,3})\b|\bnr(\d{1,3})\b|\bn(\d{1,3})\b")
 
 
-@lru_cache(50_000)
+@lru_cache(30_000)
 def form_of(word: str) -> str | None:
     """The form a word names, one letter wrong allowed in words of five or more."""
     f = FORMS.get(word)
@@ -89,7 +89,7 @@ _WORDS = re.compile(r"[a-z]+(?:['’][a-z]+)?|\d+")
 _NO_NAME = KEY_WORDS | NOTE_WORDS
 
 
-@lru_cache(100_000)
+@lru_cache(40_000)
 def _word(w: str) -> str | None:
     """None: of no interest; else the form it names after ":" or the word itself."""
     if w in _NO_NAME or len(w) < 3:
@@ -136,7 +136,7 @@ def parse_title(title: str | None) -> tuple[str | None, int, int, str]:
     return form, number, opus, " ".join(rest)
 
 
-@lru_cache(50_000)
+@lru_cache(30_000)
 def byname_likeness(a: str, b: str) -> float:
     """Share of the shorter by-name's letters whose words have a partner within one
     edit in the other."""
@@ -225,13 +225,13 @@ _NAMES: dict[str, Name] = {}
 def _name(s: str) -> Name:
     n = _NAMES.get(s)
     if n is None:
-        if len(_NAMES) > 50_000:
+        if len(_NAMES) > 20_000:
             _NAMES.clear()
         n = _NAMES[s] = parse(s)
     return n
 
 
-@lru_cache(100_000)
+@lru_cache(40_000)
 def same_person(a: str, b: str) -> bool:
     x, y = _name(a), _name(b)
     if x.key == y.key or align(x, y) is not None or align(y, x) is not None:
