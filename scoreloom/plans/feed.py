@@ -40,8 +40,8 @@ def list_composers(spark, base):
 
 
 def browse_page(spark, base):
-    """The first page of a hundred, by composer then title."""
-    return roles.pieces(spark, base).select("candidate_id", "composer", "title", format_duration("duration").alias("length")).orderBy("composer", "title", "candidate_id").limit(100)
+    """The first page of a hundred, by composer then title, in the order of a language."""
+    return roles.pieces(spark, base).select("candidate_id", "composer", "title", format_duration("duration").alias("length")).orderBy(F.collate("composer", "UNICODE"), F.collate("title", "UNICODE"), "candidate_id").limit(100)
 
 
 def onboard_examples(spark, base):
