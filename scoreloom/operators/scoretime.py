@@ -15,6 +15,7 @@ PITCH_LOW, PITCH_HIGH = 40, 96
 UPPER_FROM = 64  # MIDI pitch from which the upper register holds
 SILENCE_DB = -85.0
 CONCERT_A, CONCERT_A_MIDI = 440.0, 69
+STRETCH = 64  # frames that paths and bars meet by
 # ---------------------------------------------------------------- end of fixed values
 
 
@@ -117,9 +118,16 @@ def bar_frames(bars: DataFrame, by: Sequence[str], ms_per_tick: float, rate: flo
 
 def bar_of_path(path: DataFrame, frames: DataFrame, by: Sequence[str]) -> DataFrame:
     """A path of reference frames (by..., t, pos) with the bar each lies in, null past the
-    bars: an equi-join on the frame, of which each bar lists its own."""
-    each = frames.select(*by, "bar", F.explode(F.sequence("first_frame", F.col("first_frame") + F.col("frames") - 1)).alias("pos"))
-    return path.join(each, [*by, "pos"], "left").select(*path.columns, "bar")
+    bars: an equi-join on stretches of ``STRETCH`` frames, of which each bar lists those it
+    touches, and within one by the bar's ends. Bars that overlap give a row each. The list
+    is longer than its plan tells, so it is sorted and never broadcast."""
+    last = F.col("first_frame") + F.col("frames") - 1
+    of = lambda frame: F.floor(frame / STRETCH)
+    each = frames.where("frames > 0").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bar").alias("_bar"), F.col("first_frame").alias("_first"), last.alias("_last"), F.explode(F.sequence(of(F.col("first_frame")), of(last))).alias("_of"))
+    same = of(F.col("pos")) == F.col("_of")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return path.join(each.hint("merge"), same & F.col("pos").between(F.col("_first"), F.col("_last")), "left").select(*path.columns, F.col("_bar").alias("bar"))
 
 
 def halve(frames: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import exprs as X
-from scoreloom.operators import feed, grading, ingest, ordering, profile, signals, stats, temporal
+from scoreloom.operators import feed, grading, ingest, ordering, profile, scoretime, signals, stats, temporal
 
 
 def rows(df):
@@ -430,3 +430,15 @@ def test_asof_join_over_ranges(spark):
         want.append((i, k, t, max(ok)[1] if ok else None))
     assert rows(temporal.asof_join(l, r, ["k"], "t", ["v"])) == sorted(want, key=repr)
     assert temporal.asof_join(l.limit(0), r, ["k"], "t", ["v"]).count() == 0 and {x.v for x in temporal.asof_join(l, r.limit(0), ["k"], "t", ["v"]).collect()} == {None}
+
+
+def test_bars_of_a_path_are_not_broadcast(spark):
+    """Bars that overlap, gaps, frames before nought and a null; long bars make a list
+    that its plan takes for a small one."""
+    bars = [(1, 0, -70, 80), (1, 1, 5, 200), (1, 2, 300, 1), (2, 0, 0, 64), (2, 1, 64, 1000)]
+    path = [(k, t, pos) for k in (1, 2, 3) for t, pos in enumerate([None, *range(-80, 320, 7), 63, 64, 128, 204, 205, 300, 301, 1063, 1064])]
+    got = scoretime.bar_of_path(spark.createDataFrame(path, "k int, t int, pos long"), spark.createDataFrame(bars, "k int, bar int, first_frame long, frames long"), ["k"])
+    want = [(k, t, pos, b) for k, t, pos in path for b in [bar for j, bar, a, n in bars if j == k and pos is not None and a <= pos < a + n] or [None]]
+    by = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in got.collect()), key=by) == sorted(want, key=by)
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
