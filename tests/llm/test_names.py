@@ -192,3 +192,29 @@ def test_familiar_forms(a, b, want):
 def test_key_ignores_order_case_and_decoration():
     assert parse("Welveloz, Pilar (1761-1803)").key == parse("pilar welveloz").key == parse("by PILAR WELVELOZ *").key
     assert isinstance(parse("a"), Name)
+
+
+def test_names_of_any_number_of_words():
+    long = "Maria Ana Luisa Teresa Carmen Rosa Elena Pilar Isabel Welveloz"
+    assert align(parse(long), parse(long)).cost == 0
+    assert align(parse("Welveloz, Maria A. L. T. C. R. E. P. I."), parse(long)) is not None
+    assert align(parse("Maria Ana Luisa Teresa Carmen Rosa Elena Piler Isabel Wevleloz"), parse(long)).edits == 2
+    assert align(parse("Maria Welveloz"), parse(long)) is not None and align(parse(long), parse("Maria Welveloz")) is not None
+    assert align(parse("Maria Ana Luisa Teresa Carmen Rosa Elena Pilar Isabel Dotgau"), parse(long)) is None
+
+
+def test_long_names_of_like_words_end_soon():
+    """Where every word fits every other there are too many ways to try them all."""
+    same = lambda n, sur: Name("person", ["a"] * n + sur, [True] * n + [False] * len(sur), len(sur))
+    full = lambda n, sur: Name("person", [f"a{chr(98 + k)}x" for k in range(n)] + sur, [False] * (n + len(sur)), len(sur))
+    assert align(same(24, ["lopez"]), full(24, ["lopez"])).given == 24
+    assert align(same(40, ["lopez"]), full(20, ["lopez"])).given == 20
+    assert align(same(24, ["lopez"]), full(24, ["lopez", "lopez"])) is None
+    assert align(same(900, ["lopez"]), full(2, ["lopez"])).given == 2
+
+
+def test_values_of_many_words_are_mapped(spark):
+    long = "Maria Ana Luisa Teresa Carmen Rosa Elena Pilar Isabel Welveloz"
+    values = ["Welveloz, Maria Ana Luisa Teresa Carmen Rosa Elena Pilar Isabel", "Maria Ana Luisa Teresa Carmen Rosa Elena Pilar Isobel Welveloz"]
+    got = canonical.map_to_list(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame([(long,), ("Octavio Dotgau",)], "entry string")).collect()
+    assert {r.raw_composer: r.composer for r in got} == dict.fromkeys(values, long)
