@@ -442,3 +442,19 @@ def test_bars_of_a_path_are_not_broadcast(spark):
     by = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted((tuple(r) for r in got.collect()), key=by) == sorted(want, key=by)
     assert "Broadcast" not in got._jdf.queryExecution().toString()
+
+
+def test_folds_are_fitted_together(spark, monkeypatch):
+    """The models of ``evaluate`` for each fold, in as many passes as one of them takes."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3)) * [1, 50, 0.01] + [0, 1000, 0]
+    y = (x[:, 0] + rng.normal(size=400) * 0.7 > 0).astype(int) + 2 * (x[:, 1] + rng.normal(size=400) * 20 > 1030)
+    df = spark.createDataFrame([(f"k{i}", int(v), *map(float, r)) for i, (v, r) in enumerate(zip(y, x))], "k string, label int, a double, b double, c double")
+    passes, summed = [], grading.summed
+    monkeypatch.setattr(grading, "summed", lambda *a: passes.append(1) or summed(*a))
+    got = grading.cross_validate(df, ["a", "b", "c"], "k", k=3).first()
+    dealt = grading.folds(df, "label", "k", 3, 42).cache()
+    want = [grading.evaluate(dealt.where(F.col("fold") != i), dealt.where(F.col("fold") == i), ["a", "b", "c"]).first() for i in range(3)]
+    assert (got.folds, got.n) == (3, sum(r.n for r in want)) and len(passes) < 60
+    assert abs(got.exact - np.mean([r.exact for r in want])) < 0.004 and abs(got.within_one - np.mean([r.within_one for r in want])) < 0.004
+    assert abs(got.exact_std - np.std([r.exact for r in want])) < 0.004
