@@ -321,6 +321,30 @@ def test_sliding_compare_reaches_over_partitions(spark, parts, chunk):
     assert sorted(got) == want
 
 
+def test_sliding_compare_samples_few_orders_at_once(spark, monkeypatch):
+    """The driver holds border samples of at most so many ranges, from few rows each."""
+    import pandas as pd
+
+    name, seen, cut = "spark.sql.execution.rangeExchange.sampleSizePerPartition", [], ordering.cut
+
+    def watched(df):
+        seen.append((df.rdd.getNumPartitions(), int(spark.conf.get(name))))
+        return cut(df)
+
+    def compare(pdf, a_to, b_from):
+        k = pdf["k"].tolist()
+        return pd.DataFrame([(k[i], k[j]) for i in range(min(a_to, len(k))) for j in range(max(i + 1, b_from), min(len(k), i + 3))], columns=["x", "y"])
+
+    monkeypatch.setattr(ordering, "cut", watched)
+    monkeypatch.setattr(ordering, "AT_ONCE", 10)
+    before = spark.conf.get(name)
+    orders = [(spark.range(n, n + 200).select(F.col("id").alias("k")), ["k"]) for n in (0, 1000, 2000, 3000)]
+    got = rows(ordering.sliding_compare(orders, 3, compare, "x long, y long", [6, 4, 7, 12]))
+    assert sorted(got) == sorted((n + i, n + j) for n in (0, 1000, 2000, 3000) for i in range(200) for j in range(i + 1, min(200, i + 3)))
+    assert [n for n, _ in seen] == [10, 7, 12] and {k for _, k in seen} == {ordering.BORDER_ROWS}
+    assert spark.conf.get(name) == before
+
+
 def test_every_column_of_every_load_is_profiled(spark, tmp_path):
     from datetime import datetime
 
